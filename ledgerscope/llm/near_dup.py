@@ -11,7 +11,7 @@
 4. Merge: each class is checked against the member of its lists with which it collides most often
    among the members that lead them; then lists that still span several components are merged in
    blocks, counting agreements over whole signatures, and pairs of different components above the
-   threshold of 93 in 128 are checked. Pairs within a component can't change it.
+   threshold of 93 in 128 are checked there. Pairs within a component can't change it.
 5. Checks intersect the full sets. Components of confirmed links give the groups.
 
 Defined results: a document without words (null, empty or white space) has the empty set, is its
@@ -39,7 +39,7 @@ SHINGLE_WORDS = 5
 PERCENT = 85
 COORDINATES, POSTED, AGREE_POSTED, AGREE_ALL = 128, 64, 43, 93
 #: Members of a list that one group of the merge holds of each side.
-BLOCK = 1024
+BLOCK = 512
 
 _A = (mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)).astype(np.uint32) | np.uint32(1)
 _B = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).astype(np.uint32)
@@ -133,38 +133,70 @@ def kept_postings(classes: DataFrame) -> DataFrame:
     return useful.filter(F.size("lists") >= AGREE_POSTED).select("cid", F.explode(prefix).alias("list")).select(F.col("list.key").alias("key"), "cid")
 
 
-def _agreeing(pdf: pa.Table) -> pa.Table:
-    """Pairs of one group of the merge: ``side`` 0 against ``side`` 1, of different components."""
-    side = pdf.column("side").to_numpy()
-    cid, comp, n = (pdf.column(c).to_numpy() for c in ("cid", "comp", "n_shingles"))
-    signed = pdf.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    agree = np.zeros((len(one), len(two)), dtype=np.uint8)
-    for k in range(COORDINATES):
-        agree += signed[one, k][:, None] == signed[two, k][None, :]
-    near = (agree >= AGREE_ALL) & (comp[one][:, None] != comp[two][None, :])
-    low, high = np.minimum(n[one][:, None], n[two][None, :]), np.maximum(n[one][:, None], n[two][None, :])
-    x, y = np.nonzero(near & (100 * low >= PERCENT * high))
-    a, b = cid[one[x]], cid[two[y]]
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-
-def merged_pairs(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of agreeing classes of different components that share a list.
+def _merge(percent: int):
+    """Confirmed links between components in one group of the merge: ``side`` 0 against ``side`` 1."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, cid, comp, n, key = (table.column(c).to_numpy() for c in ("side", "cid", "comp", "n_shingles", "key"))
+        signed = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        agree = np.zeros((len(one), len(two)), dtype=np.uint8)
+        for k in range(COORDINATES):
+            agree += signed[one, k][:, None] == signed[two, k][None, :]
+        near = (agree >= AGREE_ALL) & (comp[one][:, None] != comp[two][None, :])
+        low, high = np.minimum(n[one][:, None], n[two][None, :]), np.maximum(n[one][:, None], n[two][None, :])
+        x, y = np.nonzero(near & (100 * low >= percent * high))
+        order = np.argsort(-agree[x, y].astype(np.int16), kind="stable")
+        hashes, lists = table.column("hashes"), table.column("keys")
+        sets: dict[int, tuple] = {}
+        parent: dict[int, int] = {}
+
+        def content(i: int) -> tuple:
+            if i not in sets:
+                sets[i] = np.frombuffer(hashes[i].as_py(), dtype=np.uint64), frozenset(lists[i].as_py())
+            return sets[i]
+
+        def root(c: int) -> int:
+            while c in parent:
+                c = parent[c]
+            return c
+
+        links = []
+        for i, j in zip(one[x[order]].tolist(), two[y[order]].tolist()):
+            r, t = root(comp[i]), root(comp[j])
+            if r == t:
+                continue
+            (a, a_lists), (b, b_lists) = content(i), content(j)
+            if min(a_lists & b_lists) != key[0]:
+                continue  # the pair is looked at in the first list that both are in
+            both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                parent[max(r, t)] = min(r, t)
+                links.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def merged_links(lists: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Confirmed links ``a, b`` that join different components, between classes that share a list.
 
     The members outside the largest component of a list are compared with all its members. Both
-    are dealt into blocks, so a group of the merge is bounded whatever the length of a list.
+    are dealt into blocks, so a group of the merge is bounded whatever the length of a list. A group
+    checks full sets, best agreement first, and gives one link for each two components it joins.
     """
     rows = lists.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("comp"))
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     spread = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("comps")).filter("comps > 1")
     spread = spread.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("total") / BLOCK).cast("int").alias("n_all"), F.ceil((F.col("total") - F.col("main.n")) / BLOCK).cast("int").alias("n_minor"))
-    rows = rows.join(spread, "key").join(classes.select("cid", "n_shingles", "signature"), "cid")
+    rows = materialize(rows.join(spread, "key"), "spread")
+    whole = rows.groupBy("cid").agg(F.collect_list("key").alias("keys")).join(classes.select("cid", "n_shingles", "signature"), "cid").join(sets, "cid")
     mine = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = rows.select("key", "cid", "comp", "n_shingles", "signature", F.lit(0).alias("side"), mine("n_all").alias("i"), every("n_minor").alias("j"))
-    minors = rows.filter("comp <> main").select("key", "cid", "comp", "n_shingles", "signature", F.lit(1).alias("side"), mine("n_minor").alias("j"), every("n_all").alias("i"))
-    return members.unionByName(minors).groupBy("key", "i", "j").applyInArrow(_agreeing, "a long, b long").distinct()
+    members = rows.select("key", "cid", "comp", F.lit(0).alias("side"), mine("n_all").alias("i"), every("n_minor").alias("j"))
+    minors = rows.filter("comp <> main").select("key", "cid", "comp", F.lit(1).alias("side"), mine("n_minor").alias("j"), every("n_all").alias("i"))
+    dealt = members.unionByName(minors).join(whole, "cid")
+    return dealt.groupBy("key", "i", "j").applyInArrow(_merge(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -184,7 +216,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     sets = materialize(class_sets(docs, materialize(wanted, "wanted"), size), "sets")
     links = materialize(confirmed(first_pairs, sets, percent), "links")
     labels = components(links, "a", "b")
-    more = materialize(confirmed(materialize(merged_pairs(lists, labels, classes), "pairs"), sets, percent), "links")
+    more = materialize(merged_links(lists, labels, classes, sets, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more), "a", "b")
 
