@@ -228,5 +228,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest")
 
 
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """Documents without all but one of each group.
+
+    Ids of the others are dropped; rows that repeat an id and all other columns are reduced to one.
+    """
+    found = near_duplicates(docs)
+    gone = materialize(found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = materialize(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice")), "twice")
+    if twice.isEmpty():
+        return kept
+    at = F.col("doc_id") == F.col("_twice")
+    return kept.join(small(twice), at, "left_anti").unionByName(kept.join(small(twice), at, "left_semi").dropDuplicates())
+
+
 def op7_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("digest")

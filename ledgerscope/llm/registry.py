@@ -1,6 +1,8 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
+from ledgerscope.llm.cotrain import op3_cotraining_quality
 from ledgerscope.llm.decontaminate import OP4_SQL, op4_size_partitioned_containment
+from ledgerscope.llm.lang_id import op5_partial_matching
 from ledgerscope.llm.near_dup import op7_signature_inverted_join
 from ledgerscope.llm.packing import op2_sum_of_squares_packing
 from ledgerscope.llm.pii import op8_offset_preserving_deobfuscation
@@ -14,7 +16,9 @@ QUERIES = {
     for f in (
         op1_merkle_fixity_audit,
         op2_sum_of_squares_packing,
+        op3_cotraining_quality,
         op4_size_partitioned_containment,
+        op5_partial_matching,
         op6_distribution_divergence,
         op7_signature_inverted_join,
         op8_offset_preserving_deobfuscation,
