@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.text import slices
-from ledgerscope.llm.tokens import END_ID, Encoder
+from ledgerscope.llm.tokens import END_ID, encoder
 from ledgerscope.session import materialize
 
 CAPACITY = 2048
@@ -39,11 +39,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
     """``doc_id, piece, start, length, ids`` with ids as little-endian unsigned 32-bit bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
+        ids_of, end = encoder(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode([t or "" for t in part.column("text").to_pylist()])):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of.encode([t or "" for t in part.column("text").to_pylist()])):
                     ids += end
                     n = len(ids) // 4
                     first = n % capacity or capacity

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from ledgerscope.llm import simple8b
 from ledgerscope.llm.text import slices
-from ledgerscope.llm.tokens import END_ID, Encoder
+from ledgerscope.llm.tokens import END_ID, encoder
 from ledgerscope.session import fresh_path, materialize, small
 
 #: Ids at which a block is closed.
@@ -48,12 +48,12 @@ def _block(doc_ids: list, raw: list[bytes], before: int) -> pa.RecordBatch:
 
 def _encode(vocabulary: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
+        ids_of, end = encoder(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
         doc_ids, raw, held, before = [], [], 0, 0
         for batch in batches:
             for part in slices(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of.encode(texts)):
                     doc_ids.append(doc_id)
                     raw.append(ids + end)
                     held += len(ids) // 4 + 1

@@ -58,3 +58,13 @@ class Encoder:
         heads = self.whole([text if o else pieces[0] for text, pieces, o in zip(texts, cut, odd)])
         get = known.__getitem__
         return [head if o else head + b"".join(map(get, pieces[1:])) for head, pieces, o in zip(heads, cut, odd)]
+
+
+_ENCODERS: dict[str | None, Encoder] = {}
+
+
+def encoder(vocabulary: str | None = None) -> Encoder:
+    """The encoder of this worker process, which keeps what it remembers from task to task."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
