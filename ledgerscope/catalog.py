@@ -1,4 +1,6 @@
 """The registered queries over the ledger that the driver's tables stand for, and their SQL."""
 
-QUERIES = {}
-SQL = {}
+from ledgerscope.plans import queries_clusters, queries_ledger
+
+QUERIES = {**queries_ledger.QUERIES, **queries_clusters.QUERIES}
+SQL = {**queries_ledger.SQL, **queries_clusters.SQL}
