@@ -1,6 +1,6 @@
 """The registered queries over the ledger that the driver's tables stand for, and their SQL."""
 
-from ledgerscope.plans import queries_clusters, queries_ledger
+from ledgerscope.plans import queries_clusters, queries_graph, queries_ledger
 
-QUERIES = {**queries_ledger.QUERIES, **queries_clusters.QUERIES}
-SQL = {**queries_ledger.SQL, **queries_clusters.SQL}
+QUERIES = {**queries_ledger.QUERIES, **queries_clusters.QUERIES, **queries_graph.QUERIES}
+SQL = {**queries_ledger.SQL, **queries_clusters.SQL, **queries_graph.SQL}
