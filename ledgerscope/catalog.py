@@ -1,6 +1,6 @@
 """The registered queries over the ledger that the driver's tables stand for, and their SQL."""
 
-from ledgerscope.plans import queries_clusters, queries_graph, queries_ledger, queries_trace
+from ledgerscope.plans import queries_amounts, queries_clusters, queries_graph, queries_ledger, queries_trace
 
-QUERIES = {**queries_ledger.QUERIES, **queries_clusters.QUERIES, **queries_graph.QUERIES, **queries_trace.QUERIES}
-SQL = {**queries_ledger.SQL, **queries_clusters.SQL, **queries_graph.SQL, **queries_trace.SQL}
+QUERIES = {**queries_ledger.QUERIES, **queries_clusters.QUERIES, **queries_graph.QUERIES, **queries_trace.QUERIES, **queries_amounts.QUERIES}
+SQL = {**queries_ledger.SQL, **queries_clusters.SQL, **queries_graph.SQL, **queries_trace.SQL, **queries_amounts.SQL}
