@@ -27,8 +27,9 @@ COMMON_WORDS = {
     "es": "el la los las de que y en un por con para".split(),
 }
 WORDS = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-#: Java regex character classes; what is in none of them counts as a last class.
-CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "letter": r"\p{L}&&[^A-Za-z]", "space": r"\x20\x09-\x0D", "stop": ".,;:'?\"()-", "bar": "|<>", "mark": "!#*$%&=/+@~^_"}
+#: Java regex character classes; lower-case letters and what is in none of them make a last class.
+CLASSES = {"upper": "A-Z", "digit": "0-9", "letter": r"\x{80}-\x{10FFFF}", "stop": ".,;:'?\"()-", "bar": "|<>", "mark": "!#*$%&=/+@~^_"}
+SYMBOLS = "#*$%&|<>"
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: Largest Jensen-Shannon distances (0 to 1), and the fewest characters or words for each test.
@@ -40,14 +41,19 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def _only(text: Column, inside: str) -> Column:
     """Number of code points of a class."""
-    return F.length(F.regexp_replace(text, f"[^{inside}]+" if "&&" not in inside else f"[^[{inside}]]+", "")).cast("long")
+    return F.length(F.regexp_replace(text, f"[^{inside}]+", "")).cast("long")
+
+
+def _odd(text: Column) -> Column:
+    """The text without what most of it is: one pass over it, after which classes are counted in a short rest."""
+    return F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """Add the base counts to ``docs(text)``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     trimmed = F.expr("btrim(_text, '\\u0020\\u0009\\u000A\\u000B\\u000C\\u000D')")
-    df = docs.withColumn("_text", text).withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE)))
+    df = docs.withColumn("_text", text).withColumn("_odd", _odd(F.col("_text"))).withColumn("_words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE)))
     df = df.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     last = f"size(_words) - {WINDOW - 1}"
     df = df.withColumn("_windows", F.expr(f"case when {last} > 0 then transform(sequence(1, {last}), i -> xxhash64(slice(_words, i, {WINDOW}))) else array() end"))
@@ -59,7 +65,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "*",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        _only(F.col("_text"), r"#*$%&|<>").alias("n_symbols"),
+        _only(F.col("_odd"), SYMBOLS).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.expr(covered), F.lit(0)).cast("long").alias("n_repeat_words"),
     ).drop("_words", "_lines", "_windows", "_sorted", "_starts")
@@ -69,9 +75,9 @@ def _letters(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def _classes(text: Column) -> list[Column]:
-    counts = [_only(text, inside) for inside in CLASSES.values()]
-    return [*counts, F.length(text).cast("long") - sum(counts[1:], counts[0])]
+def _classes(odd: Column, n_space: Column, n_chars: Column) -> list[Column]:
+    counts = [n_space.cast("long"), *(_only(odd, inside) for inside in CLASSES.values())]
+    return [*counts, n_chars.cast("long") - sum(counts[1:], counts[0])]
 
 
 def references(docs: DataFrame) -> list[dict]:
@@ -80,8 +86,9 @@ def references(docs: DataFrame) -> list[dict]:
     One pass of partial sums by language and class, one by language and word.
     """
     known = docs.filter(F.col("lang").isin(*COMMON_WORDS) & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
-    names = [*CLASSES, "other"]
-    sums = known.select("lang", F.length("text").alias("n_chars"), *(c.alias(n) for c, n in zip(_classes(F.col("text")), names))).groupBy("lang").agg(F.sum("n_chars").alias("n_chars"), *(F.sum(n).alias(n) for n in names)).collect()
+    names = ["space", *CLASSES, "rest"]
+    shaped = known.select("lang", F.length("text").alias("n_chars"), (F.length("text") - F.length(F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))).alias("n_space"), _odd(F.col("text")).alias("odd"))
+    sums = shaped.select("lang", "n_chars", *(c.alias(n) for c, n in zip(_classes(F.col("odd"), F.col("n_space"), F.col("n_chars")), names))).groupBy("lang").agg(F.sum("n_chars").alias("n_chars"), *(F.sum(n).alias(n) for n in names)).collect()
     word = F.explode(_letters(F.col("text")))
     counts: dict[str, dict] = {}
     for r in known.select("lang", word.alias("word")).select("lang", F.when(F.col("word").isin(WORDS), F.col("word")).alias("word")).groupBy("lang", "word").count().collect():
@@ -113,7 +120,7 @@ def quality_rules(docs: DataFrame, known: list[dict] | None = None) -> DataFrame
         df = df.withColumn("_n_letters", F.size("_letters")).withColumn("_common", F.filter("_letters", lambda w: w.isin(WORDS)))
         counts = [F.size("_common") - F.size(F.array_remove("_common", w)) for w in WORDS]
         df = df.withColumn("_word_shares", F.transform(F.array(*counts, F.col("_n_letters") - F.size("_common")), lambda n: n / F.col("_n_letters")))
-        df = df.withColumn("_class_shares", F.transform(F.array(*_classes(F.col("_text"))), lambda n: n / F.length("_text")))
+        df = df.withColumn("_class_shares", F.transform(F.array(*_classes(F.col("_odd"), F.length("_text") - F.col("word_chars"), F.length("_text"))), lambda n: n / F.length("_text")))
         nearest = lambda column, of: F.array_min(F.array(*(F.expr(_distance(column, r[of])) for r in known)))
         df = df.withColumn("character_distance", F.when(F.length("_text") >= MIN_CHARACTERS, nearest("_class_shares", "classes")))
         df = df.withColumn("word_distance", F.when(F.col("_n_letters") >= MIN_HISTOGRAM_WORDS, nearest("_word_shares", "words")))
@@ -121,7 +128,7 @@ def quality_rules(docs: DataFrame, known: list[dict] | None = None) -> DataFrame
     else:
         df = df.withColumns({"character_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")})
     near = (F.coalesce("character_distance", F.lit(0.0)) <= MAX_CHARACTER_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return df.withColumn("kept", ~F.col("base_failed") & near).drop("_text")
+    return df.withColumn("kept", ~F.col("base_failed") & near).drop("_text", "_odd")
 
 
 def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
