@@ -16,8 +16,13 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _LIMIT = np.uint64(1) << np.uint64(60)
 
 
+_SHORT = np.maximum(1, np.ceil(np.log2(np.arange(1 << 16) + 1))).astype(np.uint8)
+
+
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs, 1 at least."""
+    if not len(values) or int(values.max()) < 1 << 16:
+        return _SHORT[values.astype(np.uint16)]
     out = np.ones(len(values), dtype=np.uint8)
     for width in range(1, 60):
         more = values >> np.uint64(width) != 0

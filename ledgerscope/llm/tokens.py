@@ -6,12 +6,15 @@ The vocabulary file is a parameter; it is read where it lies on each worker and
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 END_ID = 0
-#: Distinct pieces whose ids a worker remembers; beyond it the memory is emptied and refilled.
-REMEMBERED = 700_000
+#: A space beside white space, or white space at an end: such texts are not cut.
+_ODD = re.compile(r" \s|\s(?= )|\s\Z|\A\s")
+#: Distinct pieces and words whose ids a worker remembers; beyond it the memory is emptied and refilled.
+REMEMBERED = 1_200_000
 
 
 def default_vocabulary() -> str:
@@ -23,8 +26,11 @@ def default_vocabulary() -> str:
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, by the tokenizers library.
 
-    Byte-level BPE never merges over a single space before a visible character, so a text is cut
-    there and each distinct piece goes through the library once; texts with other spacing go whole.
+    Byte-level BPE splits a text before merging: always before a single space with a visible
+    character after it, around a single newline between visible characters, and between letters and
+    the full stop or comma after them. So a text is cut at spaces into pieces, a piece into words and
+    marks, and each distinct word goes through the library once. Other pieces, and texts with other
+    white space, go through it whole.
     """
 
     def __init__(self, vocabulary: str | None = None):
@@ -32,31 +38,74 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary or default_vocabulary())
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # of words behind a newline
         named = self.library.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(named.values()) + 1, dtype=bool)  # ids whose bytes begin with a space
         self.opens[[i for token, i in named.items() if token.startswith("\u0120")]] = True
+        self.newline, self.stop, self.comma = (self.whole([c])[0] for c in "\n.,")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, wanted: list[str], kept: dict[str, bytes], mark: str) -> None:
+        """Encode words behind a space or a newline together and cut the ids there."""
+        for at in range(0, len(wanted), 4096):
+            part = wanted[at : at + 4096]
+            ids = np.array(self.library.encode(mark + mark.join(part), add_special_tokens=False).ids, dtype="<u4")
+            raw, own = ids.tobytes(), 4 if mark == "\n" else 0
+            cuts = (np.flatnonzero(ids == np.frombuffer(self.newline, dtype="<u4")[0] if own else self.opens[ids]) * 4).tolist()
+            kept.update(zip(part, [raw[a + own : b] for a, b in zip(cuts, [*cuts[1:], len(raw)])], strict=True))
+
+    def _recall(self, wanted: set[str]) -> None:
+        """Add the ids of pieces, each behind a space."""
+        pieces, bare = self.pieces, self.bare
+        spaced = {p for p in wanted if p.isalpha()}
+        fresh, plans, other = set(), [], []
+        for piece in wanted - spaced:
+            lines = piece.split("\n")
+            if len(lines) != len(piece.split()):  # an empty line, or other white space
+                other.append(piece)
+                continue
+            plan = []
+            for i, line in enumerate(lines):
+                last = line[-1]
+                mark = (last == "." or last == ",") and line[:-1].isalpha()
+                word = line[:-1] if mark else line
+                if not i and word == piece:  # nothing was cut off
+                    other.append(piece)
+                    break
+                if i:
+                    plan.append((self.newline, None))
+                    if word not in bare:
+                        fresh.add(word)
+                elif word not in pieces:
+                    spaced.add(word)
+                plan.append((bare if i else pieces, word))
+                if mark:
+                    plan.append((self.stop if last == "." else self.comma, None))
+            else:
+                plans.append((piece, plan))
+        self._learn(list(spaced), pieces, " ")
+        self._learn(list(fresh), bare, "\n")
+        if other:
+            plain = [p for p in other if p.split() == [p]]
+            self._learn(plain, pieces, " ")
+            left = list(set(other).difference(plain))
+            pieces.update(zip(left, self.whole([" " + p for p in left])))
+        for piece, plan in plans:
+            pieces[piece] = b"".join([x if word is None else x[word] for x, word in plan])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without an end id."""
         cut = [text.split(" ") for text in texts]
-        odd = [any(not p or p[0].isspace() for p in set(pieces[1:])) for pieces in cut]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        wanted = set().union(*(pieces[1:] for pieces, o in zip(cut, odd) if not o)) - known.keys()
-        wanted = list(wanted)
-        for at in range(0, len(wanted), 4096):
-            part = wanted[at : at + 4096]
-            ids = np.array(self.library.encode(" " + " ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cuts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
-            raw = ids.tobytes()
-            known.update(zip(part, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])], strict=True))
+        odd = [_ODD.search(text) is not None for text in texts]
+        if len(self.pieces) + len(self.bare) > REMEMBERED:
+            self.pieces.clear()
+            self.bare.clear()
+        self._recall(set().union(*(pieces[1:] for pieces, o in zip(cut, odd) if not o)) - self.pieces.keys())
         heads = self.whole([text if o else pieces[0] for text, pieces, o in zip(texts, cut, odd)])
-        get = known.__getitem__
+        get = self.pieces.__getitem__
         return [head if o else head + b"".join(map(get, pieces[1:])) for head, pieces, o in zip(heads, cut, odd)]
 
 
