@@ -1 +1 @@
-"""Transaction-graph privacy analytics as Spark jobs."""
+"""Incremental jobs over the ledger's log, as Structured Streaming."""
