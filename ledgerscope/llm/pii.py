@@ -201,6 +201,10 @@ def _joined(spans: Column) -> Column:
 def op8_offset_preserving_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["base"])
-    counts = [F.size(F.filter("pii", lambda s, i=i: s["base"] & (s["order"] == i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+
+    def found_of(order: int) -> Column:
+        return F.size(F.filter("pii", lambda s: s["base"] & (s["order"] == order))).cast("long")
+
+    counts = [found_of(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
     n_added = F.size(F.filter("pii", lambda s: ~s["base"])).cast("long").alias("n_added")
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"), n_added)
