@@ -65,7 +65,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for g, n in zip(*(x.tolist() for x in np.unique(grams, return_counts=True))):
                     own[g] = own.get(g, 0) + n
     for lang, own in counts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "n"])
 
 
 class Model:
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     shares = 1 / np.exp2(-mean).sum(axis=1)
                     for i, k, p in zip(usable, bits.argmin(axis=1), shares):
                         langs[i], scores[i] = model.languages[k], float(p)
-                yield pa.RecordBatch.from_arrays([*(c for n, c in zip(part.schema.names, part.columns) if n != "text"), pa.array(langs), pa.array(scores, pa.float64())], names=[*(n for n in part.schema.names if n != "text"), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c for n, c in zip(part.schema.names, part.columns) if n != "text"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(n for n in part.schema.names if n != "text"), "lang_pred", "score"])
 
     rest = [f for f in docs.schema.fields if f.name != "text"]
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "lang_pred string", "score double"]))
