@@ -131,6 +131,16 @@ def quality_rules(docs: DataFrame, known: list[dict] | None = None) -> DataFrame
     return df.withColumn("kept", ~F.col("base_failed") & near).drop("_text", "_odd")
 
 
+def without_rejected(docs: DataFrame) -> DataFrame:
+    """The documents that the rules keep, with their own columns.
+
+    The row number keeps the filter above the columns that it is made from: pushed below them, each
+    of its terms would be spelled out down to the text, and planning would not end.
+    """
+    judged = quality_rules(docs.withColumn("_whole", F.struct(*docs.columns))).select("_whole", "kept", F.monotonically_increasing_id().alias("_row"))
+    return judged.filter("kept and _row >= 0").select("_whole.*")
+
+
 def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     return quality_rules(docs).drop("text", "lang")
