@@ -13,12 +13,12 @@ from ledgerscope.llm.decontaminate import contained_items, without_ids
 from ledgerscope.llm.near_dup import without_duplicates
 from ledgerscope.llm.packing import packed_documents
 from ledgerscope.llm.pii import redact
-from ledgerscope.llm.quality_rules import quality_rules
+from ledgerscope.llm.quality_rules import without_rejected
 from ledgerscope.session import materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules(docs).filter("kept").select(docs.columns)
+    return without_rejected(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
