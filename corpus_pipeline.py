@@ -16,13 +16,16 @@ from ledgerscope.llm.pii import redact
 from ledgerscope.llm.quality_rules import without_rejected
 from ledgerscope.session import materialize
 
+#: Near-duplicates of a corpus: this share of common five-word shingles or more; op7 alone asks for 85.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_rejected(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_duplicates(docs)
+    return without_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

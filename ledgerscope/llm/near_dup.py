@@ -2,16 +2,18 @@
 
 1. A document's set is its distinct 5-word shingles. Equal sets form one class.
 2. A class has a MinHash signature of 128 coordinates. It is posted under the pair of number and
-   value of each of the first 64. Pairs of documents of the wanted similarity agree in at least 43
-   of these (a pair at 0.85 exactly misses this with a chance below 1e-4, others with less).
-3. Prefix: values that one class alone has are of no use; a class with fewer than 43 others has no
-   partner. Of its c useful postings, a class keeps the c - 42 rarest: two classes that agree in 43
-   share a posting that both keep. So the long lists, of passages and such, are skipped by all
+   value of each of the first 64. Pairs of documents of the wanted similarity agree in at least n
+   of these: 43 for 0.85, 39 for 0.8 (a pair at exactly that similarity misses this with a chance
+   below 1.5e-4, others with less).
+3. Prefix: values that one class alone has are of no use; a class with fewer than n others has no
+   partner. Of its c useful postings, a class keeps the c - (n - 1) rarest: two classes that agree
+   in n share a posting that both keep. So the long lists, of passages and such, are skipped by all
    classes that have enough rare postings.
 4. Merge: each class is checked against the member of its lists with which it collides most often
    among the members that lead them; then lists that still span several components are merged in
    blocks, counting agreements over whole signatures, and pairs of different components above the
-   threshold of 93 in 128 are checked there. Pairs within a component can't change it.
+   threshold (of 128, 93 for 0.85 and 85 for 0.8; missed with a chance below 1.5e-4 as well) are
+   checked there. Pairs within a component can't change it.
 5. Checks intersect the full sets. Components of confirmed links give the groups.
 
 Defined results: a document without words (null, empty or white space) has the empty set, is its
@@ -22,7 +24,9 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +41,9 @@ from ledgerscope.session import materialize, small
 SHINGLE_WORDS = 5
 #: Links have 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 85
-COORDINATES, POSTED, AGREE_POSTED, AGREE_ALL = 128, 64, 43, 93
+COORDINATES, POSTED = 128, 64
+#: Chance that a pair at exactly the wanted similarity falls below a threshold of agreements.
+MISS = 1.5e-4
 #: Members of a list that one group of the merge holds of each side.
 BLOCK = 512
 
@@ -45,6 +51,17 @@ _A = (mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97
 _B = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).astype(np.uint32)
 
 
+@functools.cache
+def least_agreement(coordinates: int, percent: int) -> int:
+    """The largest threshold that pairs at ``percent`` similarity fall below with a chance of at most ``MISS``."""
+    p, below = percent / 100, 0.0
+    for k in range(coordinates):
+        below += math.comb(coordinates, k) * p**k * (1 - p) ** (coordinates - k)
+        if below > MISS:
+            return k
+    return coordinates
+
+
 def signature(distinct: np.ndarray) -> np.ndarray:
     """Smallest value of each of the 128 mixings over a set of 64-bit hashes."""
     out = np.full(COORDINATES, 0xFFFFFFFF, dtype=np.uint32)
@@ -124,18 +141,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return with_y.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def kept_postings(classes: DataFrame) -> DataFrame:
+def kept_postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``key, cid``: the postings that classes ``cid, signature`` keep after the prefix rule."""
     posted = classes.select("cid", F.posexplode(F.slice("signature", 1, POSTED)).alias("number", "value")).select("cid", F.xxhash64("number", "value").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     useful = posted.join(shared, "key").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("members", "key"))).alias("lists"))
-    prefix = F.expr(f"slice(lists, 1, size(lists) - {AGREE_POSTED - 1})")
-    return useful.filter(F.size("lists") >= AGREE_POSTED).select("cid", F.explode(prefix).alias("list")).select(F.col("list.key").alias("key"), "cid")
+    least = least_agreement(POSTED, percent)
+    prefix = F.expr(f"slice(lists, 1, size(lists) - {least - 1})")
+    return useful.filter(F.size("lists") >= least).select("cid", F.explode(prefix).alias("list")).select(F.col("list.key").alias("key"), "cid")
 
 
 def _merge(percent: int):
     """Confirmed links between components in one group of the merge: ``side`` 0 against ``side`` 1."""
 
+    least = least_agreement(COORDINATES, percent)
+
     def run(table: pa.Table) -> pa.Table:
         side, cid, comp, n, key = (table.column(c).to_numpy() for c in ("side", "cid", "comp", "n_shingles", "key"))
         signed = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
@@ -143,7 +163,7 @@ def _merge(percent: int):
         agree = np.zeros((len(one), len(two)), dtype=np.uint8)
         for k in range(COORDINATES):
             agree += signed[one, k][:, None] == signed[two, k][None, :]
-        near = (agree >= AGREE_ALL) & (comp[one][:, None] != comp[two][None, :])
+        near = (agree >= least) & (comp[one][:, None] != comp[two][None, :])
         low, high = np.minimum(n[one][:, None], n[two][None, :]), np.maximum(n[one][:, None], n[two][None, :])
         x, y = np.nonzero(near & (100 * low >= percent * high))
         order = np.argsort(-agree[x, y].astype(np.int16), kind="stable")
@@ -204,7 +224,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     sketched = materialize(sketches(docs, size), "sketches")
     classes = sketched.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    posted = materialize(kept_postings(classes), "postings")
+    posted = materialize(kept_postings(classes, percent), "postings")
 
     lead = posted.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cid").alias("h"), "cid")).alias("lead"), F.count("*").alias("members")).filter("members > 1").select("key", F.col("lead.cid").alias("lead"))
     lists = materialize(posted.join(lead, "key"), "lists")
@@ -228,12 +248,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest")
 
 
-def without_duplicates(docs: DataFrame) -> DataFrame:
+def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Documents without all but one of each group.
 
     Ids of the others are dropped; rows that repeat an id and all other columns are reduced to one.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, percent=percent)
     gone = materialize(found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     kept = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     twice = materialize(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice")), "twice")

@@ -1,9 +1,10 @@
 import re
 
 import duckdb
+import numpy as np
 
 import corpus_pipeline
-from ledgerscope.llm import pii, quality_rules
+from ledgerscope.llm import near_dup, pii, quality_rules
 from tests.llm import brute
 
 
@@ -23,3 +24,29 @@ def test_pipeline_is_its_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert sorted(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == sorted(p for i, t in left for p in brute.pieces(i, t))
     assert got.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_near_duplicates_between_80_and_85_percent_are_linked(spark):
+    """Pairs of 0.80 to 0.85 similarity: the stage leaves one document of each, op7's own threshold both."""
+    rng = np.random.default_rng(8)
+    docs, expected = [], set()
+    for i in range(300):
+        base = [f"w{rng.integers(0, 10**9)}" for _ in range(104)]
+        other = list(base)
+        for at in (20, 60)[: 1 + i % 2]:
+            other[at] = "edited"
+        # two edits leave 90 of 110 shingles; one edit and a shorter end leave 88 of 105
+        if i % 2 == 0:
+            other = other[:-7]
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        a, b = brute.shingle_set(docs[-2][1]), brute.shingle_set(docs[-1][1])
+        assert 0.80 <= len(a & b) / len(a | b) < 0.85
+        expected.add(2 * i)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()} == expected
+    assert near_dup.without_duplicates(frame).count() == len(docs)
+
+
+def test_thresholds_follow_the_similarity():
+    least = near_dup.least_agreement
+    assert [least(64, 85), least(128, 85), least(64, 80), least(128, 80)] == [43, 93, 39, 85]
