@@ -5,7 +5,9 @@ follow. The probability of a byte is that of its longest known context; a byte n
 pays the context's escape (method C: distinct / (total + distinct)) and goes on to the next shorter
 one, without the bytes that the longer one had (exclusion), down to a uniform choice of 256. The
 statistics are frozen after learning, so the code length of every byte in every context and language
-is computed once into a table, and a text's exact code lengths are sums of table rows.
+is computed once into a table, and a text's exact code lengths are sums of table rows. Languages are
+dealt into blocks of ``BLOCK_LANGUAGES``, each with a table of its own over the bytes that any block
+knows, so a code length is the same in every block; a task holds one table at a time.
 
 Learning uses at most ``MAX_TEXTS`` texts of a language in expectation, drawn by a hash; their
 counts are made by Spark tasks and merged by a sum. Prediction reads whole texts.
@@ -17,6 +19,8 @@ is scored whole; rows that repeat are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.text import slices
+from ledgerscope.session import materialize, small
 
 ORDER = 3
 #: Documented bound: texts learned from, by language, in expectation.
 MAX_TEXTS = 400
-#: Contexts that occur less often are left to the shorter ones; languages kept, most texts first.
-LEAST_COUNT, MAX_LANGUAGES = 2, 32
+#: Contexts that occur less often are left to the shorter ones; languages of a table.
+LEAST_COUNT, BLOCK_LANGUAGES = 2, 4
 UNDECIDED = "und"
 
 
@@ -41,13 +46,10 @@ def held_out(doc_id: Column) -> Column:
 def learning_texts(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
     """``lang, text``: about ``max_texts`` texts of each language, by a hash of the text."""
     known = docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = sorted(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
-    if not sizes:
-        return known.limit(0)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(max_texts / r["count"])).otherwise(share)
-    return known.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30))
+    sizes = materialize(known.groupBy("lang").agg(F.count("*").alias("texts")), "languages")
+    share = F.lit(float(max_texts)) / F.col("texts")
+    known = known.join(small(sizes), "lang")
+    return known.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +73,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Frozen code lengths: ``cost[context, symbol, language]`` in bits."""
 
-    def __init__(self, rows: list[tuple[str, int, int]]):
+    def __init__(self, rows: list[tuple[str, int, int]], symbols: list[int] | None = None):
         self.languages = sorted({r[0] for r in rows})
         trees = []
         for lang in self.languages:
@@ -82,7 +84,7 @@ class Model:
                     followers = levels[o].setdefault(context & ((1 << 8 * o) - 1), {})
                     followers[symbol] = followers.get(symbol, 0) + n
             trees.append([levels[0], *({c: f for c, f in level.items() if sum(f.values()) >= LEAST_COUNT} for level in levels[1:])])
-        symbols = sorted({s for t in trees for f in t[0].values() for s in f})
+        symbols = symbols if symbols is not None else sorted({s for t in trees for f in t[0].values() for s in f})
         # one symbol more stands for all bytes never seen, and for the start of a text
         self.code = np.full(256, len(symbols), dtype=np.int32)
         self.code[symbols] = np.arange(len(symbols))
@@ -137,13 +139,39 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Model:
-    """Learn from ``docs(text, lang)``. The counts have at most one row by language and run of four bytes of the bounded texts."""
+class Blocks:
+    """Models of some languages each; more than one are kept packed and opened in turn."""
+
+    def __init__(self, models: Iterator[Model]):
+        self.languages: list[str] = []
+        self.packed: list[bytes] = []
+        for model in models:
+            self.languages += model.languages
+            self.packed.append(zlib.compress(pickle.dumps(model), 1))
+        self._open: Model | None = None
+
+    def bits(self, steps: list[list[bytes]]) -> list[np.ndarray]:
+        """Code length of each text of each step in each language."""
+        found: list[list[np.ndarray]] = [[] for _ in steps]
+        for packed in self.packed:
+            if self._open is None or len(self.packed) > 1:
+                self._open = None
+                self._open = pickle.loads(zlib.decompress(packed))
+            for parts, texts in zip(found, steps):
+                parts.append(self._open.bits(texts) if texts else np.zeros((0, len(self._open.languages))))
+        return [np.concatenate(parts, axis=1) for parts in found]
+
+
+def learn(docs: DataFrame, max_texts: int = MAX_TEXTS, block: int = BLOCK_LANGUAGES) -> Blocks:
+    """Learn every language of ``docs(text, lang)``. The driver holds the counts of one block at a time."""
     counts = learning_texts(docs, max_texts).mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model([tuple(r) for r in counts.collect()])
+    counts = materialize(counts, "grams")
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    symbols = sorted(r["symbol"] for r in counts.select((F.col("gram") % 256).cast("int").alias("symbol")).distinct().collect())
+    return Blocks(Model([tuple(r) for r in counts.filter(F.col("lang").isin(languages[at : at + block])).collect()], symbols) for at in range(0, len(languages), block))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Blocks) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to documents: the language of fewest bits, and its share of a
     mean code probability per byte against the other languages."""
     docs = docs.drop("lang_pred", "score")
@@ -152,16 +180,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch):
-                texts = part.column("text").to_pylist()
-                usable = [i for i, t in enumerate(texts) if t and model.languages and any(c.isalpha() for c in t)]
-                langs, scores = [UNDECIDED] * len(texts), [0.0] * len(texts)
-                if usable:
-                    raw = [texts[i].encode() for i in usable]
-                    bits = model.bits(raw)
+            parts = list(slices(batch))
+            texts = [part.column("text").to_pylist() for part in parts]
+            usable = [[i for i, t in enumerate(own) if t and model.languages and any(c.isalpha() for c in t)] for own in texts]
+            coded = [[own[i].encode() for i in at] for own, at in zip(texts, usable)]
+            for part, own, raw, bits in zip(parts, usable, coded, model.bits(coded) if model.languages else coded):
+                langs, scores = [UNDECIDED] * part.num_rows, [0.0] * part.num_rows
+                if own:
                     mean = (bits - bits.min(axis=1, keepdims=True)) / np.array([[len(t)] for t in raw]) ** 0.5
                     shares = 1 / np.exp2(-mean).sum(axis=1)
-                    for i, k, p in zip(usable, bits.argmin(axis=1), shares):
+                    for i, k, p in zip(own, bits.argmin(axis=1), shares):
                         langs[i], scores[i] = model.languages[k], float(p)
                 yield pa.RecordBatch.from_arrays([*(c for n, c in zip(part.schema.names, part.columns) if n != "text"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(n for n in part.schema.names if n != "text"), "lang_pred", "score"])
 

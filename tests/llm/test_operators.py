@@ -289,3 +289,17 @@ def test_empty_token_files(spark, odd, tmp_path):
     rows = token_files.read_token_files(spark, str(tmp_path / "odd")).toPandas().sort_values("start")
     assert len(rows) == odd.count() and (rows["start"].iloc[1:].to_numpy() == (rows["start"] + rows["n_tokens"]).iloc[:-1].to_numpy()).all()
     assert pd.isna(rows["doc_id"].iloc[0])
+
+
+def test_every_language_is_learned(spark):
+    """More languages than one table holds, in blocks of any size: the rarest are named, and alike."""
+    rng = np.random.default_rng(6)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyzàéîõü"))
+    rows = []
+    for n in range(40):
+        own = ["".join(rng.choice(alphabet, 5)) for _ in range(6)]
+        rows += [(1000 * n + i, " ".join(rng.choice(own, 40)), f"l{n:02}") for i in range(2 + (n < 35) * 2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = [{r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in lang_id.predict(frame, lang_id.learn(frame, block=block)).collect()} for block in (4, 40)]
+    assert {i: p for i, (p, _) in found[0].items()} == {i: lang for i, _, lang in rows}
+    assert found[0] == found[1]
