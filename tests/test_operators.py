@@ -158,3 +158,16 @@ def test_seeded_sweep(spark):
     mapping = spark.createDataFrame([(0, "cA", "a"), (0, "cB", "b")], "run int, node string, image string")
     got = {r["node"]: (r["outcome"], r["mapped"]) for r in P.propagation_sweep(target, aux, mapping, 0.1).collect()}
     assert got["cX"] == ("accepted", "x")
+
+
+def test_rounds_and_steps_have_no_cap(spark, monkeypatch):
+    from ledgerscope.operators import behaviour, provenance
+
+    monkeypatch.setattr(behaviour, "MAX_ROUNDS", 1, raising=False)
+    monkeypatch.setattr(provenance, "MAX_STEPS", 2, raising=False)
+    scores = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.5), (2, 3, 0.6), (3, 4, 0.55), (3, 5, 0.3), (4, 5, 0.2)], "a long, b long, score double")
+    assert sorted((r["round"], r["a"], r["b"]) for r in behaviour.match_rounds(scores, 0.5).collect()) == [(0, 1, 2), (1, 3, 4)]
+    events = spark.createDataFrame([(i, [i, i + 1]) for i in range(3)], "event long, coins array<long>")
+    clusters = spark.createDataFrame([(i, 0) for i in range(4)], "coin_id long, rep long")
+    pairs = spark.createDataFrame([(0, 3)], "a long, b long")
+    assert [r["chain"] for r in provenance.support(events, clusters, pairs).collect()] == [[0, 1, 2]]
