@@ -14,8 +14,9 @@ from ledgerscope.session import materialize
 from ledgerscope.sources.ledger import Ledger
 
 TOLERANCE = 500
-#: Larger transactions are inconclusive: their subsets are not enumerated.
-MAX_INPUTS, MAX_OUTPUTS = 10, 12
+#: Verdicts are inconclusive beyond this many inputs, beyond this many outputs (the bits of a mask), and
+#: where subsets of inputs times multisets of output values are more than this.
+MAX_INPUTS, MAX_OUTPUTS, MAX_READINGS = 10, 62, 1 << 22
 
 
 def amounts(ledger: Ledger) -> DataFrame:
@@ -28,83 +29,120 @@ def amounts(ledger: Ledger) -> DataFrame:
 
 def subset_sums(values: DataFrame, column: str, max_degree: int | None = None) -> DataFrame:
     """``tid, mask, total`` of nonempty subsets of an array column, of ``max_degree`` elements at most."""
-    masks = values.filter(F.size(column) > 0).select("tid", column, F.explode(F.expr(f"sequence(1, cast(shiftleft(1, size({column})) - 1 as int))")).alias("mask"))
-    if max_degree is not None:
-        masks = masks.filter(F.bit_count("mask") <= max_degree)
-    total = F.expr(f"aggregate(transform({column}, (v, i) -> if(shiftright(mask, i) & 1 = 1, v, 0L)), 0L, (a, x) -> a + x)")
-    return masks.select("tid", "mask", total.alias("total"))
+    if max_degree is None:
+        masks = values.filter(F.size(column) > 0).select("tid", column, F.explode(F.expr(f"sequence(1L, shiftleft(1L, size({column})) - 1)")).alias("mask"))
+        return masks.select("tid", "mask", _masked(column).alias("total"))
+    # a subset of one element more takes an element behind its last
+    level = values.select("tid", F.col(column).alias("all"), F.posexplode(column).alias("last", "total")).withColumn("mask", F.expr("shiftleft(1L, last)"))
+    out = level
+    for _ in range(max_degree - 1):
+        level = level.filter("last + 1 < size(all)").withColumn("last", F.explode(F.expr("sequence(last + 1, size(all) - 1)")))
+        level = level.withColumns({"total": F.col("total") + F.expr("all[last]"), "mask": F.col("mask").bitwiseOR(F.expr("shiftleft(1L, last)"))})
+        out = out.unionByName(level)
+    return out.select("tid", "mask", "total")
 
 
-def _band(a: DataFrame, b: DataFrame, below: Column, above: Column, width: Column) -> DataFrame:
-    """Rows of ``tid, total, ...`` and ``tid, other, ...`` with ``total - below <= other <= total + above``.
+def _masked(column: str) -> Column:
+    return F.expr(f"aggregate(transform({column}, (v, i) -> if(shiftright(mask, i) & 1 = 1, v, 0L)), 0L, (a, x) -> a + x)")
 
-    ``width`` is at least ``below + above + 1`` and constant in a transaction, so two buckets cover a band.
+
+def ambiguity(values: DataFrame, tol: int | Column = TOLERANCE) -> DataFrame:
+    """D3: ``tid, density``: the share of distinct input sums within ``tol`` of an output sum.
+
+    Sums of the outputs are those of their first half plus those of the rest, matched by a band join:
+    ``tol`` is constant in a transaction, so two buckets of 2 tol + 1 cover a band. Amounts are positive.
     """
-    low = F.floor((F.col("total") - below) / width)
-    spread = a.withColumn("bucket", F.explode(F.array(low, low + 1)))
-    dealt = b.withColumn("bucket", F.floor(F.col("other") / width))
-    return spread.join(dealt, ["tid", "bucket"]).filter((F.col("other") >= F.col("total") - below) & (F.col("other") <= F.col("total") + above)).drop("bucket")
-
-
-def ambiguity(values: DataFrame, tol: int = TOLERANCE) -> DataFrame:
-    """D3: ``tid, density``: the share of distinct input sums within ``tol`` of an output sum."""
-    fit = values.filter((F.size("ins") <= MAX_INPUTS) & (F.size("outs") <= MAX_OUTPUTS))
-    sums = subset_sums(fit, "ins").select("tid", "total").distinct()
-    other = subset_sums(fit, "outs").select("tid", F.col("total").alias("other")).distinct()
-    near = _band(sums, other, F.lit(tol), F.lit(tol), F.lit(2 * tol + 1)).select("tid", "total").distinct().groupBy("tid").agg(F.count("*").alias("k"))
+    values = values.withColumn("tol", F.lit(tol) if isinstance(tol, int) else tol)
+    sums = subset_sums(values, "ins").select("tid", "total").distinct()
     n = sums.groupBy("tid").agg(F.count("*").alias("n"))
-    return fit.select("tid").join(n, "tid", "left").join(near, "tid", "left").select("tid", F.coalesce(F.col("k") / F.col("n"), F.lit(0.0)).alias("density"))
+    half = F.expr("cast(size(outs) / 2 as int)")
+
+    def half_sums(part: Column, name: str) -> DataFrame:
+        masks = values.withColumn("part", part).select("tid", "tol", "part", F.explode(F.expr("sequence(0L, shiftleft(1L, size(part)) - 1)")).alias("mask"))
+        return masks.select("tid", "tol", _masked("part").alias(name)).distinct()
+
+    first, rest = half_sums(F.slice("outs", F.lit(1), half), "x"), half_sums(F.slice("outs", half + 1, F.size("outs")), "y")
+    width = 2 * F.col("tol") + 1
+    wanted = sums.join(first, "tid").withColumn("want", F.col("total") - F.col("x")).filter("want >= -tol")
+    low = F.floor((F.col("want") - F.col("tol")) / width)
+    near = wanted.withColumn("bucket", F.explode(F.array(low, low + 1))).join(rest.withColumn("bucket", F.floor(F.col("y") / width)).drop("tol"), ["tid", "bucket"])
+    near = near.filter((F.abs(F.col("y") - F.col("want")) <= F.col("tol")) & (F.col("x") + F.col("y") > 0)).select("tid", "total").distinct().groupBy("tid").agg(F.count("*").alias("k"))
+    return values.select("tid").join(n, "tid", "left").join(near, "tid", "left").select("tid", F.coalesce(F.col("k") / F.col("n"), F.lit(0.0)).alias("density"))
+
+
+def _within(part: str, whole: str) -> str:
+    return f"forall(zip_with({part}, {whole}, (x, y) -> x <= y), z -> z)"
 
 
 def balanced(values: DataFrame, tol: int = TOLERANCE) -> DataFrame:
-    """``tid, i, o``: subsets whose inputs exceed their outputs by at least -tol and at most fee + tol."""
-    ins = subset_sums(values, "ins").join(values.select("tid", "fee"), "tid").withColumnRenamed("mask", "i")
-    outs = subset_sums(values, "outs").join(values.select("tid", "fee"), "tid").select("tid", F.col("mask").alias("o"), F.col("total").alias("other"), (F.col("fee") + 2 * tol + 1).alias("width_o"))
-    ins = ins.withColumn("width", F.col("fee") + 2 * tol + 1)
+    """``tid, i, o``: inputs that exceed outputs by at least -tol and at most fee + tol.
+
+    ``i`` is a mask; ``o`` says how often each of the distinct output values ``kinds`` is taken, out of
+    ``counts``, so equal outputs are not told apart.
+    """
+    width = F.col("fee") + 2 * tol + 1
+    ins = subset_sums(values, "ins").join(values.select("tid", "fee"), "tid").select("tid", F.col("mask").cast("int").alias("i"), "total", "fee", width.alias("width"))
+    radix = F.expr("transform(counts, (c, k) -> aggregate(slice(counts, 1, k), 1L, (a, x) -> a * (x + 1)))")
+    outs = values.select("tid", "fee", "kinds", "counts", radix.alias("radix"), F.explode(F.expr("sequence(1L, aggregate(counts, 1L, (a, x) -> a * (x + 1)) - 1)")).alias("code"))
+    outs = outs.withColumn("o", F.expr("transform(counts, (c, k) -> cast((code div radix[k]) % (c + 1) as int))"))
+    outs = outs.select("tid", "o", F.expr("aggregate(zip_with(o, kinds, (x, v) -> x * v), 0L, (a, x) -> a + x)").alias("other"), width.alias("width"))
     low = F.floor((F.col("total") - F.col("fee") - tol) / F.col("width"))
-    spread = ins.withColumn("bucket", F.explode(F.array(low, low + 1)))
-    dealt = outs.withColumn("bucket", F.floor(F.col("other") / F.col("width_o")))
+    spread = ins.withColumn("bucket", F.explode(F.array(low, low + 1))).drop("width")
+    dealt = outs.withColumn("bucket", F.floor(F.col("other") / F.col("width"))).drop("width")
     gap = F.col("total") - F.col("other")
     return spread.join(dealt, ["tid", "bucket"]).filter((gap >= -tol) & (gap <= F.col("fee") + tol)).select("tid", "i", "o")
 
 
 def minimal_parts(pairs: DataFrame) -> DataFrame:
     """Balanced pairs without a balanced pair of proper subsets of both sides inside."""
+    several = pairs.select("tid", "i").distinct().filter("i & (i - 1) <> 0")
+    inside = several.select("tid", "i", F.explode(F.expr("filter(sequence(1, i - 1), s -> s & i = s)")).alias("i2"))
     inner = pairs.select("tid", F.col("i").alias("i2"), F.col("o").alias("o2"))
-    inside = (F.col("i").bitwiseAND(F.col("i2")) == F.col("i2")) & (F.col("i") != F.col("i2")) & (F.col("o").bitwiseAND(F.col("o2")) == F.col("o2")) & (F.col("o") != F.col("o2"))
-    return pairs.join(inner, (pairs["tid"] == inner["tid"]) & inside, "left_anti")
+    more = pairs.join(inside, ["tid", "i"]).join(inner, ["tid", "i2"]).filter(f"o2 <> o and {_within('o2', 'o')}").select("tid", "i", "o").distinct()
+    return pairs.join(more, ["tid", "i", "o"], "left_anti")
 
 
 def subtx_verdict(values: DataFrame, tol: int = TOLERANCE) -> DataFrame:
     """``tid, kind, parts``; parts are pairs of masks, given where the partition is unique.
 
     Exact covers of all inputs and outputs by minimal parts, counted up to two: each round takes the
-    part that holds the lowest free input. Transactions of more than ten inputs or twelve outputs
-    are inconclusive.
+    part that holds the lowest free input. A part that takes some but not all outputs of a value could
+    take others of them, so it counts twice. Transactions beyond ``MAX_INPUTS``, ``MAX_OUTPUTS`` or
+    ``MAX_READINGS`` are inconclusive.
     """
     sized = values.withColumn("n", F.size("ins")).withColumn("m", F.size("outs"))
     trivial = sized.filter("n < 2 or m < 2").select("tid", F.lit("atomic").alias("kind"))
-    large = sized.filter(f"n >= 2 and m >= 2 and (n > {MAX_INPUTS} or m > {MAX_OUTPUTS})").select("tid", F.lit("inconclusive").alias("kind"))
-    fit = materialize(sized.filter(f"n between 2 and {MAX_INPUTS} and m between 2 and {MAX_OUTPUTS}"), "amounts")
+    sized = sized.filter("n >= 2 and m >= 2").withColumn("kinds", F.array_sort(F.array_distinct("outs"))).withColumn("counts", F.expr("transform(kinds, v -> size(filter(outs, x -> x = v)))"))
+    sized = sized.withColumn("readings", F.expr("pow(2D, n) * aggregate(counts, 1D, (a, x) -> a * (x + 1))"))
+    fits = f"n <= {MAX_INPUTS} and m <= {MAX_OUTPUTS} and readings <= {MAX_READINGS}"
+    large = sized.filter(f"not ({fits})").select("tid", F.lit("inconclusive").alias("kind"))
+    fit = sized.filter(fits).withColumn("places", F.expr("transform(kinds, v -> aggregate(transform(outs, (x, k) -> if(x = v, shiftleft(1L, k), 0L)), 0L, (a, x) -> a | x))"))
+    fit = materialize(fit, "amounts")
     # the whole is no part of two, and parts are found within what balances
-    whole = fit.select("tid", F.expr("cast(shiftleft(1, n) - 1 as int)").alias("all_i"), F.expr("cast(shiftleft(1, m) - 1 as int)").alias("all_o"))
-    parts = materialize(minimal_parts(materialize(balanced(fit, tol), "balanced")).join(whole, "tid").filter("i <> all_i and o <> all_o").select("tid", "i", "o"), "parts")
-    state = whole.select("tid", F.col("all_i").alias("free_i"), F.col("all_o").alias("free_o"), F.lit(1).alias("ways"), F.expr("cast(array() as array<struct<i: int, o: int>>)").alias("parts"))
+    whole = fit.select("tid", F.expr("cast(shiftleft(1, n) - 1 as int)").alias("all_i"), F.col("counts").alias("all_o"), "places")
+    parts = minimal_parts(materialize(balanced(fit, tol), "balanced")).join(whole, "tid").filter("i <> all_i and o <> all_o")
+    several = F.expr("if(forall(zip_with(o, all_o, (x, c) -> x = 0 or x = c), z -> z), 1, 2)")
+    mask = F.expr("aggregate(zip_with(o, places, (x, p) -> if(x > 0, p, 0L)), 0L, (a, x) -> a | x)")
+    parts = materialize(parts.select("tid", "i", "o", several.alias("several"), mask.alias("mask")), "parts")
+    empty = "cast(array() as array<struct<i: int, o: bigint>>)"
+    state = whole.select("tid", F.col("all_i").alias("free_i"), F.col("all_o").alias("free_o"), F.lit(1).alias("ways"), F.expr(empty).alias("parts"))
     done = None
     for _ in range(MAX_INPUTS):
         lowest = F.col("free_i").bitwiseAND(-F.col("free_i"))
-        taken = state.join(parts, "tid").filter((F.col("i").bitwiseAND(lowest) != 0) & (F.col("i").bitwiseAND(F.col("free_i")) == F.col("i")) & (F.col("o").bitwiseAND(F.col("free_o")) == F.col("o")))
-        moved = taken.select("tid", (F.col("free_i") - F.col("i")).alias("free_i"), (F.col("free_o") - F.col("o")).alias("free_o"), "ways", F.array_append("parts", F.struct("i", "o")).alias("parts"))
+        taken = state.join(parts, "tid").filter((F.col("i").bitwiseAND(lowest) != 0) & (F.col("i").bitwiseAND(F.col("free_i")) == F.col("i")) & F.expr(_within("o", "free_o")))
+        left = F.expr("zip_with(free_o, o, (x, y) -> x - y)")
+        moved = taken.select("tid", (F.col("free_i") - F.col("i")).alias("free_i"), left.alias("free_o"), (F.col("ways") * F.col("several")).alias("ways"), F.array_append("parts", F.struct("i", F.col("mask").alias("o"))).alias("parts"))
         state = materialize(moved.groupBy("tid", "free_i", "free_o").agg(F.least(F.sum("ways"), F.lit(2)).cast("int").alias("ways"), F.min("parts").alias("parts")), "covers")
-        ended = state.filter("free_i = 0 and free_o = 0")
+        used = F.expr("forall(free_o, x -> x = 0)")
+        ended = state.filter((F.col("free_i") == 0) & used)
         done = ended if done is None else done.union(ended)
-        state = state.filter("free_i <> 0 and free_o <> 0")
+        state = state.filter((F.col("free_i") != 0) & ~used)
         if state.isEmpty():
             break
     found = done.groupBy("tid").agg(F.sum("ways").alias("ways"), F.min("parts").alias("parts"))
     kind = F.when(F.col("ways").isNull(), "atomic").when(F.col("ways") == 1, "unique").otherwise("ambiguous")
     judged = fit.select("tid").join(found, "tid", "left").select("tid", kind.alias("kind"), F.when(F.col("ways") == 1, F.col("parts")).alias("parts"))
-    none = F.lit(None).cast("array<struct<i: int, o: int>>")
+    none = F.lit(None).cast("array<struct<i: int, o: bigint>>")
     return judged.unionByName(trivial.withColumn("parts", none)).unionByName(large.withColumn("parts", none))
 
 
@@ -129,15 +167,9 @@ def merge_inputs(inputs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def session_scores(values: DataFrame, parties: DataFrame) -> DataFrame:
     """``tid, density, kind, determined`` with a tolerance that grows by the fee a party bears."""
-    tol = values.join(parties, "tid").withColumn("tol", (F.lit(TOLERANCE) + F.ceil(F.col("fee") / F.col("parties"))).cast("long"))
-    fit = tol.filter((F.size("ins") <= MAX_INPUTS) & (F.size("outs") <= MAX_OUTPUTS))
-    sums = subset_sums(fit, "ins").select("tid", "total").distinct().join(fit.select("tid", "tol"), "tid")
-    other = subset_sums(fit, "outs").select("tid", F.col("total").alias("other")).distinct().join(fit.select("tid", F.col("tol").alias("tol_o")), "tid")
-    low = F.floor((F.col("total") - F.col("tol")) / (2 * F.col("tol") + 1))
-    near = sums.withColumn("bucket", F.explode(F.array(low, low + 1))).join(other.withColumn("bucket", F.floor(F.col("other") / (2 * F.col("tol_o") + 1))), ["tid", "bucket"])
-    near = near.filter(F.abs(F.col("other") - F.col("total")) <= F.col("tol")).select("tid", "total").distinct().groupBy("tid").agg(F.count("*").alias("k"))
-    density = sums.groupBy("tid").agg(F.count("*").alias("n")).join(near, "tid", "left").select("tid", F.coalesce(F.col("k") / F.col("n"), F.lit(0.0)).alias("density"))
-    return density.join(subtx_verdict(values.join(parties.select("tid"), "tid", "left_semi")).select("tid", "kind"), "tid").withColumn("determined", F.col("kind").isin("unique", "atomic"))
+    of = values.join(parties, "tid")
+    density = ambiguity(of, (F.lit(TOLERANCE) + F.ceil(F.col("fee") / F.col("parties"))).cast("long"))
+    return density.join(subtx_verdict(of).select("tid", "kind"), "tid").withColumn("determined", F.col("kind") == "unique")
 
 
 def pick_session(scores: DataFrame, order: DataFrame, excluding: int | None = None) -> DataFrame:

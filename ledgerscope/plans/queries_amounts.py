@@ -10,6 +10,7 @@ from ledgerscope.operators.links import remeet_groups
 from ledgerscope.plans.queries_ledger import small_amounts
 from ledgerscope.plans.registry import Registry
 from ledgerscope.session import materialize
+from ledgerscope.sources import adapter
 from ledgerscope.sources.ledger import Ledger
 
 R = Registry()
@@ -18,11 +19,11 @@ QUERIES, SQL = R.queries, R.sql
 _UNITS = """
 uv as (select coin_id, case when producer is null then 3 * (value % 40 + 1) else value % 25 + 1 end as v from coins),
 ui as (select tid, in_pos, v from tx_inputs join uv using (coin_id)), uo as (select tid, out_pos, v from tx_outputs join uv using (coin_id)),
-am as (select tid, i.n, o.m, i.s - o.s as fee, i.a as ins, o.a as outs from (select tid, count(*) as n, sum(v)::bigint as s, list(v order by in_pos) as a from ui group by 1) i
-  join (select tid, count(*) as m, sum(v)::bigint as s, list(v order by out_pos) as a from uo group by 1) o using (tid) where i.s >= o.s and n >= 2)"""
+am as (select tid, i.n, o.m, greatest(i.s - o.s, 0) as fee, i.a as ins, o.a as outs from (select tid, count(*) as n, sum(v)::bigint as s, list(v order by in_pos) as a from ui group by 1) i
+  join (select tid, count(*) as m, sum(v)::bigint as s, list(v order by out_pos) as a from uo group by 1) o using (tid))"""
 _SUMS = _UNITS + """,
-si as (select tid, mask, list_sum(list_transform(range(0, n), lambda k: case when (mask >> k) & 1 = 1 then ins[k + 1] else 0 end))::bigint as total from am, unnest(range(1, 1 << n::int)) u(mask) where n <= 10),
-so as (select tid, mask, list_sum(list_transform(range(0, m), lambda k: case when (mask >> k) & 1 = 1 then outs[k + 1] else 0 end))::bigint as total from am, unnest(range(1, 1 << m::int)) u(mask) where m <= 12)"""
+si as (select tid, mask, list_sum(list_transform(range(0, n), lambda k: case when (mask >> k) & 1 = 1 then ins[k + 1] else 0 end))::bigint as total from am, unnest(range(1, 1 << n::int)) u(mask)),
+so as (select tid, mask, list_sum(list_transform(range(0, m), lambda k: case when (mask >> k) & 1 = 1 then outs[k + 1] else 0 end))::bigint as total from am, unnest(range(1, 1 << m::int)) u(mask))"""
 
 
 def unit_ledger(g: Ledger) -> Ledger:
@@ -31,9 +32,8 @@ def unit_ledger(g: Ledger) -> Ledger:
     value = coins.select("coin_id", "value")
     side = lambda legs, name: legs.join(value, "coin_id").groupBy("tid").agg(F.sum("value").alias(name))
     fee = side(g.tx_inputs, "paid").join(side(g.tx_outputs, "received"), "tid")
-    txs = g.txs.drop("fee").join(fee, "tid").filter("paid >= received and n_in >= 2").withColumn("fee", F.col("paid") - F.col("received")).drop("paid", "received")
-    kept = txs.select("tid")
-    return Ledger(coins, g.coin_truth, txs, g.tx_inputs.join(kept, "tid", "left_semi"), g.tx_outputs.join(kept, "tid", "left_semi"))
+    txs = g.txs.drop("fee").join(fee, "tid").withColumn("fee", F.greatest(F.col("paid") - F.col("received"), F.lit(0))).drop("paid", "received")
+    return Ledger(coins, g.coin_truth, txs, g.tx_inputs, g.tx_outputs)
 
 
 _UNIT: dict = {}
@@ -47,15 +47,15 @@ def unit_amounts(g: Ledger) -> DataFrame:
 
 @R.ledger(f"{_SUMS} select tid, mask::int as mask, total from si")
 def d1_subset_sums(g: Ledger) -> DataFrame:
-    return A.subset_sums(unit_amounts(g).filter(F.size("ins") <= A.MAX_INPUTS), "ins")
+    return A.subset_sums(unit_amounts(g), "ins").withColumn("mask", F.col("mask").cast("int"))
 
 
 @R.ledger(f"{_SUMS} select tid, mask::int as mask, total from so where bit_count(mask::int) <= 2")
 def d2_bounded_sums(g: Ledger) -> DataFrame:
-    return A.subset_sums(unit_amounts(g).filter(F.size("outs") <= A.MAX_OUTPUTS), "outs", 2)
+    return A.subset_sums(unit_amounts(g), "outs", 2).withColumn("mask", F.col("mask").cast("int"))
 
 
-@R.ledger(f"{_SUMS}, di as (select distinct tid, total from si), do2 as (select distinct tid, total from so), nr as (select distinct tid, a.total from di a join do2 b using (tid) where abs(a.total - b.total) <= 1) select tid, (select count(*) from nr where nr.tid = am.tid) / (select count(*) from di where di.tid = am.tid) as density from am where n <= 10 and m <= 12")
+@R.ledger(f"{_SUMS}, di as (select distinct tid, total from si), do2 as (select distinct tid, total from so), nr as (select distinct tid, a.total from di a join do2 b using (tid) where abs(a.total - b.total) <= 1) select tid, (select count(*) from nr where nr.tid = am.tid) / (select count(*) from di where di.tid = am.tid) as density from am")
 def d3_ambiguity(g: Ledger) -> DataFrame:
     return A.ambiguity(unit_amounts(g), 1)
 
@@ -83,7 +83,7 @@ def d6_merged_inputs(g: Ledger) -> DataFrame:
 
 @R.ledger()
 def d7_session_scores(g: Ledger) -> DataFrame:
-    sessions = unit_amounts(g).filter("tid % 3 = 0").select("tid", F.size("ins").alias("parties"))
+    sessions = unit_amounts(g).join(adapter.sessions(g), "tid", "left_semi").select("tid", F.size("ins").alias("parties"))
     return A.session_scores(unit_amounts(g), sessions)
 
 

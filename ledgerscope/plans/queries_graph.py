@@ -199,10 +199,23 @@ SQL["h6_net_positions"] = adapter.LEDGER_SQL.rstrip() + f""", {_TWO}, cy as (sel
 select "group", party, sum(net)::bigint as net, sum(gross)::bigint as gross from (select "group", payer as party, -cents as net, cents as gross from cy join obligations using (id) union all select "group", payee, cents, 0 from cy join obligations using (id)) group by 1, 2"""
 
 
-@R.ledger("select 'cioh' as method, tid, count(distinct owner) as owners from tx_inputs join coin_truth using (coin_id) join txs using (tid) where n_in >= 2 group by tid having count(distinct owner) > 1")
+@R.ledger("""
+lk as (select 'cioh' as method, null as basis, tid, tid::varchar as place, coin_id from tx_inputs join txs using (tid) where n_in >= 2
+ union all select 'subtx', 'bound', i.tid, concat_ws('/', i.coin_id, o.coin_id), unnest([i.coin_id, o.coin_id]) from tx_inputs i join tx_outputs o using (tid) join txs using (tid) where n_in >= 2 and i.in_pos + 1 = o.out_pos
+ union all select 'change', 'residue', i.tid, i.tid::varchar, unnest([i.coin_id, o.coin_id]) from tx_inputs i join tx_outputs o using (tid) join txs using (tid) where in_pos = 0 and out_pos = n_out)
+select method, tid, place, count(distinct owner) as owners, case method when 'cioh' then 'inputs of several owners' when 'change' then 'payment of another owner taken for change' else 'forced pair is a payment' end as reason
+ from lk join coin_truth using (coin_id) group by method, tid, place having count(distinct owner) > 1""")
 def i6_grade_links(g: Ledger) -> DataFrame:
-    groups = L.input_groups(g).select(F.lit("cioh").alias("method"), F.col("group").alias("tid"), "coin_id")
-    return G.grade_links(groups, g.coin_truth)
+    """Three kinds of links, several of a kind in a transaction: inputs, inputs and outputs of one place, last outputs as change."""
+    n = g.txs.select("tid", "n_in", "n_out")
+    ins = g.tx_inputs.select("tid", "in_pos", F.col("coin_id").alias("i"))
+    both = ins.join(g.tx_outputs.select("tid", "out_pos", F.col("coin_id").alias("o")), "tid").join(n, "tid")
+    lit = lambda df, method, basis, place: df.select(F.lit(method).alias("method"), F.lit(basis).cast("string").alias("basis"), "tid", place.cast("string").alias("place"), F.explode("coins").alias("coin_id"))
+    links = lit(L.input_groups(g).select(F.col("group").alias("tid"), F.array("coin_id").alias("coins")), "cioh", None, F.col("tid"))
+    paired = both.filter("n_in >= 2 and in_pos + 1 = out_pos").withColumn("coins", F.array("i", "o"))
+    last = both.filter("in_pos = 0 and out_pos = n_out").withColumn("coins", F.array("i", "o"))
+    links = links.unionByName(lit(paired, "subtx", "bound", F.concat_ws("/", "i", "o"))).unionByName(lit(last, "change", "residue", F.col("tid")))
+    return G.grade_links(links.withColumnRenamed("place", "event"), g.coin_truth).withColumnRenamed("event", "place")
 
 
 def _grade(of: str) -> str:
@@ -247,13 +260,13 @@ def i14_wallet_shape(g: Ledger) -> DataFrame:
     return G.wallet_shape(g, adapter.payments(g))
 
 
-_SES = "ses as (select tid from txs where tid % 3 = 0)"
+_SES = "ses as (select tid from payments where form = 'coinjoin')"
 
 
 @R.ledger(f"""{_SES}, m as (select i.tid, label, c.producer in (select tid from ses) as s from tx_inputs i join coins c using (coin_id) join coin_truth using (coin_id))
 select tid from m where tid not in (select tid from ses) group by 1 having count(*) >= 2 and bool_or(coalesce(s and label = 'change', false)) and bool_or(coalesce(s, false) and label is distinct from 'change')""")
 def i15_toxic_spends(g: Ledger) -> DataFrame:
-    return G.toxic_spends(g, g.txs.filter("tid % 3 = 0").select("tid"))
+    return G.toxic_spends(g, adapter.sessions(g))
 
 
 @R.ledger("select payer, memo, form, count(*) as n from payments group by 1, 2, 3")

@@ -9,6 +9,7 @@ from ledgerscope.operators import trace as T
 from ledgerscope.plans.queries_clusters import CIOH, cioh_clusters
 from ledgerscope.plans.registry import Registry
 from ledgerscope.session import materialize
+from ledgerscope.sources import adapter
 from ledgerscope.sources.ledger import Ledger
 
 R = Registry()
@@ -17,7 +18,7 @@ QUERIES, SQL = R.queries, R.sql
 _SEEDS = "sd as (select coin_id as seed from coins join txs on tid = producer where n_in >= 3)"
 _STEP = "st as (select o.coin_id, i.coin_id as before from tx_outputs o join tx_inputs i using (tid))"
 _CONE = f"{_SEEDS}, {_STEP}, cone(seed, coin_id) as (select seed, seed from sd union select seed, before from cone join st using (coin_id))"
-_SESSION = "ses as (select tid from txs where tid % 3 = 0)"
+_SESSION = "ses as (select tid from payments where form = 'coinjoin')"
 
 
 def seeds(g: Ledger) -> DataFrame:
@@ -131,20 +132,20 @@ _PAST = f"{_CONE}, {_SESSION}, ps as (select distinct seed, producer as tid from
 
 @R.ledger(f"{_PAST} select seed, tid from ps")
 def e13_session_pasts(g: Ledger) -> DataFrame:
-    return T.session_pasts(g, cones(g), g.txs.filter("tid % 3 = 0").select("tid"))
+    return T.session_pasts(g, cones(g), adapter.sessions(g))
 
 
 @R.ledger(f"""{_PAST}, np as (select seed, count(*) as n from ps group by 1), sh as (select x.seed as a, y.seed as b, count(*) as k from ps x join ps y using (tid) where x.seed < y.seed group by 1, 2)
 select a, b, (p.n > k)::int + (q.n > k)::int as tier from sh join np p on p.seed = a join np q on q.seed = b where (p.n > k)::int + (q.n > k)::int > 0""")
 def e13_apart_pairs(g: Ledger) -> DataFrame:
-    return T.apart_pairs(materialize(T.session_pasts(g, cones(g), g.txs.filter("tid % 3 = 0").select("tid")), "pasts"))
+    return T.apart_pairs(materialize(T.session_pasts(g, cones(g), adapter.sessions(g)), "pasts"))
 
 
 @R.ledger(f"own2 as (select coin_id, first_value(coin_id) over (partition by addr_key order by coin_seq) as rep from coins), {_SESSION} select tid, count(distinct rep) as candidates from tx_inputs join own2 using (coin_id) where tid in (select tid from ses) group by 1")
 def e14_fresh_origin(g: Ledger) -> DataFrame:
     from ledgerscope.operators.components import cluster_by
 
-    return T.fresh_origin(g, cluster_by(g.coins, F.col("addr_key")), g.txs.filter("tid % 3 = 0").select("tid"))
+    return T.fresh_origin(g, cluster_by(g.coins, F.col("addr_key")), adapter.sessions(g))
 
 
 @R.ledger(f"{CIOH} select rep, coin_id, dest as tid from cl join coins using (coin_id)")

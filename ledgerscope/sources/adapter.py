@@ -84,6 +84,11 @@ def payments(ledger: Ledger) -> DataFrame:
     return ledger.txs.select("tid", "day").join(first_in, "tid").join(first_out, "tid").select("tid", "day", "payer", F.when(F.col("tid") % 7 != 0, F.col("payee")).alias("payee"), memo.alias("memo"), form.alias("form"))
 
 
+def sessions(ledger: Ledger) -> DataFrame:
+    """``tid`` of the transactions that several parties made together."""
+    return payments(ledger).filter("form = 'coinjoin'").select("tid")
+
+
 def obligations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What nations of customers owe to nations of suppliers, one obligation for each pair."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")

@@ -171,3 +171,28 @@ def test_rounds_and_steps_have_no_cap(spark, monkeypatch):
     clusters = spark.createDataFrame([(i, 0) for i in range(4)], "coin_id long, rep long")
     pairs = spark.createDataFrame([(0, 3)], "a long, b long")
     assert [r["chain"] for r in provenance.support(events, clusters, pairs).collect()] == [[0, 1, 2]]
+
+
+def test_verdicts_beyond_twelve_outputs_by_brute_force(spark):
+    rnd, rows = random.Random(3), []
+    for m in (13, 14, 15, 16):
+        for spread in (4, 900, 10**9):
+            outs = [rnd.randint(1, spread) * 10 for _ in range(m)]
+            cut = rnd.randint(1, m - 1)
+            rows.append(([sum(outs[:cut]), sum(outs[cut:])], outs, 0))
+    rows.append(([140, 150], [20] * 7 + [50] * 3, 0))  # whole values: one way only
+    rows.append(([140, 150], [1] * 13, 0))
+
+    def kind(ins, outs):
+        ways = sum(sum(x for k, x in enumerate(outs) if mask >> k & 1) == ins[0] for mask in range(1, (1 << len(outs)) - 1))
+        return "atomic" if not ways or sum(ins) != sum(outs) else "unique" if ways == 1 else "ambiguous"
+
+    got = verdicts(spark, rows, 0)
+    assert got == [kind(i, o) for i, o, _ in rows] and {"unique", "ambiguous", "atomic"} == set(got)
+
+
+def test_links_are_graded_one_by_one(spark):
+    g = build(spark, {1: 10, 2: 10, 3: 10, 4: 10}, [(5, 1, 1, [1, 2, 3, 4], [20, 20])], {1: 10, 2: 10, 3: 11, 4: 11, 501: 10})
+    rows = [(1, "subtx", None, 5, c) for c in (1, 2)] + [(2, "subtx", None, 5, c) for c in (3, 4)] + [(3, "change", "radix", 5, c) for c in (501, 3)] + [(4, "reuse", None, None, c) for c in (1, 3)] + [(5, "cioh", None, 5, c) for c in (1, 502)]
+    links = spark.createDataFrame(rows, "event long, method string, basis string, tid long, coin_id long")
+    assert sorted(map(tuple, G.grade_links(links, g.coin_truth).collect())) == [(3, "change", 5, 2, "repeated amount of another owner"), (5, "cioh", 5, 2, "inputs of several owners")]

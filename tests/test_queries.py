@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ledgerscope import catalog
@@ -13,7 +14,7 @@ SLOW = {"e11_most_damaging_grant", "e10_aux_decay", "e3_tx_ancestry", "e6_joint_
 
 def canonical(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v
+    plain = lambda v: None if pd.isna(v) else round(float(v), 6) if isinstance(v, float) else v
     return sorted(repr(tuple(plain(v) for v in row)) for row in df.itertuples(index=False, name=None))
 
 
