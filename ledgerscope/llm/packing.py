@@ -20,13 +20,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerscope.llm.text import slices
-from ledgerscope.llm.tokens import END_ID, encoder
+from ledgerscope.llm.text import slices, unused
+from ledgerscope.llm.tokens import END_ID, STEP_BYTES, encoder, id_bytes
 from ledgerscope.session import materialize
 
 CAPACITY = 2048
@@ -39,17 +39,16 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
     """``doc_id, piece, start, length, ids`` with ids as little-endian unsigned 32-bit bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of.encode([t or "" for t in part.column("text").to_pylist()])):
-                    ids += end
-                    n = len(ids) // 4
-                    first = n % capacity or capacity
-                    cuts = [0, *range(first, n + 1, capacity)]
-                    rows += [(doc_id, i, a, b - a, ids[4 * a : 4 * b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECES)], schema=_PIECES)
+            for part in slices(batch, limit=STEP_BYTES):
+                ids, counts = encoder(vocabulary).encode(part.column("text"), END_ID)
+                first, cuts = (counts - 1) % capacity + 1, -(-counts // capacity)
+                of = np.repeat(np.arange(len(counts)), cuts)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                length = np.where(piece == 0, first[of], capacity)
+                start = np.where(piece == 0, 0, first[of] + (piece - 1) * capacity)
+                columns = part.column("doc_id").take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), id_bytes(ids, length)
+                yield pa.RecordBatch.from_arrays(list(columns), schema=_PIECES)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
@@ -88,33 +87,38 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk_pieces: int = CHUNK_
     """Add ``sequence_id`` and ``offset`` to pieces that have a ``length`` from 1 to ``capacity``."""
     pieces = pieces.drop("sequence_id", "offset")
     kept = pieces.columns
-    waiting = materialize(pieces.withColumn("_pack_row", F.monotonically_increasing_id()), "pieces")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in waiting.schema) + ", sequence_id long, offset long, _pack_open boolean"
+    row_at, chunk_at, open_at = unused(kept, "_pack_row", "_pack_chunk", "_pack_open")
+    waiting = materialize(pieces.withColumn(row_at, F.monotonically_increasing_id()), "pieces")
+    added = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField(open_at, T.BooleanType())])
+    schema = T.StructType([*waiting.schema, *added])
     done, turn, before = [], 0, 0
     while True:
         rows = waiting.count()
         chunks = -(-rows // chunk_pieces)
         number = turn << 56
 
-        def place(pdf: pd.DataFrame) -> pd.DataFrame:
-            sequence, offset, gaps = sum_of_squares(pdf["length"].to_numpy(), capacity)
-            base = number + (int(pdf["_pack_chunk"].iloc[0]) << 24)
-            return pdf.drop(columns="_pack_chunk").assign(sequence_id=base + sequence, offset=offset, _pack_open=gaps[sequence] > 0)
+        def place(chunk: pa.Table) -> pa.Table:
+            sequence, offset, gaps = sum_of_squares(chunk.column("length").to_numpy(), capacity)
+            base = number + (chunk.column(chunk_at)[0].as_py() << 24)
+            chunk = chunk.drop_columns([chunk_at])
+            for name, values in zip(added.names, (base + sequence, offset, gaps[sequence] > 0)):
+                chunk = chunk.append_column(name, pa.array(values))
+            return chunk
 
-        chunk = F.pmod(F.xxhash64("_pack_row", F.lit(turn)), F.lit(max(chunks, 1)))
-        placed = materialize(waiting.withColumn("_pack_chunk", chunk).groupBy("_pack_chunk").applyInPandas(place, schema), "packed")
+        chunk = F.pmod(F.xxhash64(F.col(row_at), F.lit(turn)), F.lit(max(chunks, 1)))
+        placed = materialize(waiting.withColumn(chunk_at, chunk).groupBy(chunk_at).applyInArrow(place, schema), "packed")
         # the first chunks are dealt again even if there is one: its open sequences seldom stay as many;
         # later rounds end at one chunk, or where most pieces stay in sequences with room
         if not rows or turn and (chunks == 1 or 2 * rows > before):
             done.append(placed)
             break
-        done.append(placed.filter(~F.col("_pack_open")))
-        waiting = placed.filter("_pack_open").drop("sequence_id", "offset", "_pack_open")
+        done.append(placed.filter(~F.col(open_at)))
+        waiting = placed.filter(F.col(open_at)).drop(*added.names)
         turn, before = turn + 1, rows
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*kept, "sequence_id", "offset")
+    return out.select(*(F.col(f"`{c}`") for c in kept), "sequence_id", "offset")
 
 
 def packed_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:

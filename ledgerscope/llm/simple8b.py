@@ -52,29 +52,44 @@ def encode(values: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, byt
     bits = _bits(values)
     step = np.ones(n, dtype=np.int64)
     selector = np.full(n, len(BITS) - 1, dtype=np.uint8)
+    most = int(bits.max())
+    left = None  # the places where the selector before fits; others can't fit one of more values of fewer bits
     for s in range(len(BITS) - 2, -1, -1):
         c = COUNTS[s]
+        if most <= BITS[s]:
+            selector[:], step[:] = s, c
+            continue
         wide = np.zeros(n + c, dtype=np.int32)
         np.cumsum(bits > BITS[s], out=wide[1 : n + 1])
         wide[n + 1 :] = wide[n]
-        fits = wide[c:] == wide[:n]
-        if not fits.any():
-            break  # narrower selectors take more values of fewer bits
-        selector[fits] = s
-        step[fits] = c
-    after = np.minimum(np.arange(n) + step, np.repeat(ends, ends - begins)).tolist()
-    starts, i = [], 0
+        left = np.flatnonzero(wide[c:] == wide[:n]) if left is None else left[wide[left + c] == wide[left]]
+        if not len(left):
+            break
+        selector[left], step[left] = s, c
+    after = np.minimum(np.arange(n) + step, np.repeat(ends, ends - begins))
+    # every eighth word is found one by one, those between by following eight at a time
+    far = np.append(after, n)
+    for _ in range(3):
+        far = far[far]
+    far, eighths, i = far.tolist(), [], 0
     while i < n:
-        starts.append(i)
-        i = after[i]
-    starts = np.array(starts)
+        eighths.append(i)
+        i = far[i]
+    starts, after = np.empty((8, len(eighths)), dtype=np.int64), np.append(after, n)
+    starts[0] = eighths
+    for j in range(1, 8):
+        starts[j] = after[starts[j - 1]]
+    starts = starts.T.ravel()
+    starts = starts[starts < n]
     used = selector[starts]
     padded = np.concatenate([values, np.zeros(60, dtype=np.uint64)])
     words = used.astype(np.uint64) << np.uint64(60)
     for s in np.unique(used):
         mine = np.flatnonzero(used == s)
+        at, held = starts[mine], np.zeros(len(mine), dtype=np.uint64)
         for j in range(COUNTS[s]):
-            words[mine] |= padded[starts[mine] + j] << np.uint64(j * BITS[s])
+            held |= padded[at + j] << np.uint64(j * BITS[s])
+        words[mine] |= held
     return words.astype("<u8").tobytes(), np.searchsorted(starts, begins), escapes
 
 
@@ -88,8 +103,9 @@ def decode(words: bytes, first: np.ndarray, counts: np.ndarray, escapes: bytes)
     for s in np.unique(used):
         mine = np.flatnonzero(used == s)
         mask = np.uint64((1 << int(BITS[s])) - 1)
+        at, held = starts[mine], packed[mine]
         for j in range(COUNTS[s]):
-            out[starts[mine] + j] = (packed[mine] >> np.uint64(j * BITS[s])) & mask
+            out[at + j] = (held >> np.uint64(j * BITS[s])) & mask
     runs = [out[starts[a] : starts[a] + n] for a, n in zip(first, counts)]
     if escapes:
         ends = np.cumsum(counts)

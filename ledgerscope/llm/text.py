@@ -18,6 +18,12 @@ SLICE_BYTES = 4 << 20
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
 
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Column names like those wanted that no column has, whatever the case of its letters."""
+    there = {c.lower() for c in columns}
+    return [next(n for n in (w + "_" * k for k in range(len(there) + 1)) if n.lower() not in there) for w in wanted]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(33))

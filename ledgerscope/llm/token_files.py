@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from ledgerscope.llm import simple8b
 from ledgerscope.llm.text import slices
-from ledgerscope.llm.tokens import END_ID, encoder
+from ledgerscope.llm.tokens import END_ID, STEP_BYTES, encoder, id_bytes
 from ledgerscope.session import fresh_path, materialize, small
 
 #: Ids at which a block is closed.
@@ -39,29 +39,32 @@ READ = "doc_id long, start long, n_tokens long, ids binary"
 _READ_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def _block(doc_ids: list, raw: list[bytes], before: int) -> pa.RecordBatch:
-    counts = np.array([len(r) // 4 for r in raw])
-    words, first, escapes = simple8b.encode(np.frombuffer(b"".join(raw), dtype="<u4"), np.cumsum(counts))
-    row = {"doc_ids": doc_ids, "counts": counts.tolist(), "first_word": first.tolist(), "before": before, "n_ids": int(counts.sum()), "words": words, "escapes": escapes}
+def _block(doc_ids: list, counts: np.ndarray, ids: np.ndarray, before: int) -> pa.RecordBatch:
+    words, first, escapes = simple8b.encode(ids, np.cumsum(counts))
+    row = {"doc_ids": doc_ids, "counts": counts, "first_word": first, "before": before, "n_ids": int(counts.sum()), "words": words, "escapes": escapes}
     return pa.RecordBatch.from_pylist([row], schema=_SCHEMA)
 
 
 def _encode(vocabulary: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
-        doc_ids, raw, held, before = [], [], 0, 0
+        ids_of, doc_ids, before = encoder(vocabulary), [], 0
+        counts, ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
         for batch in batches:
-            for part in slices(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), ids_of.encode(texts)):
-                    doc_ids.append(doc_id)
-                    raw.append(ids + end)
-                    held += len(ids) // 4 + 1
-                    if held >= BLOCK_IDS:
-                        yield _block(doc_ids, raw, before)
-                        doc_ids, raw, held, before = [], [], 0, before + held
+            for part in slices(batch, limit=STEP_BYTES):
+                more, n = ids_of.encode(part.column("text"), END_ID)
+                doc_ids += part.column("doc_id").to_pylist()
+                counts, ids = np.concatenate([counts, n]), np.concatenate([ids, more])
+                # a block ends with the document that brings it to BLOCK_IDS
+                ends = np.cumsum(counts)
+                a = at = 0
+                while a < len(ends) and ends[-1] - at >= BLOCK_IDS:
+                    b = int(np.searchsorted(ends, at + BLOCK_IDS)) + 1
+                    yield _block(doc_ids[a:b], counts[a:b], ids[at : ends[b - 1]], before)
+                    before += int(ends[b - 1]) - at
+                    a, at = b, int(ends[b - 1])
+                doc_ids, counts, ids = doc_ids[a:], counts[a:], ids[at:]
         if doc_ids:
-            yield _block(doc_ids, raw, before)
+            yield _block(doc_ids, counts, ids, before)
 
     return run
 
@@ -85,11 +88,10 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None)
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            counts = np.array(row["counts"])
+            counts = np.array(row["counts"], dtype=np.int64)
             starts = row["part_start"] + row["before"] + np.cumsum(counts) - counts
             runs = simple8b.decode(row["words"], row["first_word"], counts, row["escapes"])
-            ids = [run.astype("<u4").tobytes() for run in runs]
-            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(counts), pa.array(ids, pa.binary())], schema=_READ_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(counts), id_bytes(np.concatenate(runs), counts)], schema=_READ_SCHEMA)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

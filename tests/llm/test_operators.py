@@ -46,7 +46,10 @@ def test_encoder_is_the_library(text):
     global ENCODER
     if "ENCODER" not in globals():
         ENCODER = Encoder()
-    assert ENCODER.encode([text]) == ENCODER.whole([text])
+    texts = ["", text, "a " + text + "b", None, text[::-1]]
+    ids, counts = ENCODER.encode(pa.array(texts), 7)
+    assert ids.tolist() == [i for t in texts for i in [*ENCODER.whole([t or ""])[0].tolist(), 7]] and counts.sum() == len(ids)
+    assert ENCODER.encode(pa.array(texts))[0].tolist() == [i for t in texts for i in ENCODER.whole([t or ""])[0].tolist()]
 
 
 def test_shingles_agree_with_sets(docs):
