@@ -77,6 +77,27 @@ def joint_trace(cones: DataFrame, sets: DataFrame, clusters: DataFrame | None =
     return partial.join(whole, ["trace", "coin_id"], "full").select("trace", "coin_id", F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
+def trace_tx(ledger: Ledger, tids: DataFrame, clusters: DataFrame | None = None, truth: bool = False) -> DataFrame:
+    """``trace, kind, id, whole``: the joint trace of all inputs of each transaction, and the transaction.
+
+    ``kind`` is coin or tx; ``whole`` says that every input's cone has it, or by ``truth`` some input's true flow.
+    """
+    sets = materialize(ledger.tx_inputs.join(tids.select("tid"), "tid", "left_semi").select(F.col("tid").alias("trace"), F.col("coin_id").alias("seed")), "sets")
+    seeds = sets.select("seed", F.col("seed").alias("coin_id")).distinct()
+    cones = materialize(ancestry(ledger, seeds), "cones")
+    named = lambda df, kind, column: df.select("trace", F.lit(kind).alias("kind"), F.col(column).alias("id"), "whole")
+    if truth:
+        flow = materialize(true_flow(ledger, seeds), "flow")
+        coins, txs = (sets.join(part, "seed").select("trace", c).distinct().join(sets.join(held, "seed").select("trace", c, F.lit(True).alias("whole")).distinct(), ["trace", c], "left") for c, part, held in (("coin_id", cones, flow), ("tid", cone_txs(ledger, cones), cone_txs(ledger, flow))))
+    else:
+        coins = joint_trace(cones, sets, clusters)
+        n = sets.groupBy("trace").agg(F.count("*").alias("n"))
+        k = sets.join(cone_txs(ledger, cones), "seed").groupBy("trace", "tid").agg(F.count("*").alias("k"))
+        txs = k.join(n, "trace").select("trace", "tid", ((F.col("n") > 1) & (F.col("k") == F.col("n"))).alias("whole"))
+    own = sets.select("trace", F.lit("tx").alias("kind"), F.col("trace").alias("id"), F.lit(True).alias("whole")).distinct()
+    return named(coins, "coin", "coin_id").unionByName(named(txs, "tx", "tid")).withColumn("whole", F.coalesce("whole", F.lit(False))).unionByName(own)
+
+
 def origins(ledger: Ledger, cone: DataFrame) -> DataFrame:
     """``seed, coin_id`` of the roots in cones."""
     return cone.join(ledger.coins.filter("producer is null").select("coin_id"), "coin_id", "left_semi")

@@ -38,13 +38,17 @@ class Options:
 
 @dataclass(frozen=True)
 class Reading:
-    """``events(event, seq, stage, pos, tid, method, basis, via, coins, ...)`` accepted, clusters, and what was read of change."""
+    """``events(event, seq, stage, pos, tid, method, basis, via, coins, ...)`` accepted, clusters, and what was read of change.
+
+    ``drawn`` are all events, those that did not hold too.
+    """
 
     events: DataFrame
     clusters: DataFrame
     change_reads: DataFrame
     pay_guess: DataFrame
     change_guess: DataFrame
+    drawn: DataFrame
 
 
 def units(ledger: Ledger, verdicts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -98,35 +102,55 @@ def identify_payments(ledger: Ledger, prices: DataFrame, parts: DataFrame, grant
     return outs.select("unit", "coin_id", role.alias("role"), F.when(role == "payment", kinds).otherwise(F.lit(0)).alias("kinds"))
 
 
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Accepted events of one component in record order."""
-    parent: dict = {}
-
-    def root(c):
-        while parent.get(c, c) != c:
-            parent[c] = parent.get(parent[c], parent[c])
-            c = parent[c]
-        return c
-
-    kept = []
-    for row in pdf.sort_values(["seq", "stage", "pos", "event"]).itertuples():
-        if row.requires is not None and len({root(c) for c in row.requires}) > 1:
-            continue
-        roots = {root(c) for c in row.coins}
-        if row.new_only and len(roots) == 1:
-            continue
-        kept.append(row.event)
+class Joined:
+    """Coins joined so far."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, coin: int) -> int:
+        parent = self.parent
+        while (up := parent.get(coin, coin)) != coin:
+            parent[coin] = parent.get(up, up)
+            coin = parent[coin]
+        return coin
+
+    def roots(self, coins) -> set:
+        return {self.root(c) for c in coins}
+
+    def take(self, coins, requires, new_only: bool) -> bool:
+        """Join the coins of an event if it holds."""
+        if requires is not None and len(self.roots(requires)) > 1:
+            return False
+        roots = self.roots(coins)
+        if new_only and len(roots) == 1:
+            return False
         low = min(roots)
         for r in roots:
-            parent[r] = low
+            self.parent[r] = low
+        return True
+
+
+ORDER = ["seq", "stage", "pos", "event"]
+
+
+def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Accepted events of one component in record order."""
+    joined = Joined()
+    kept = [row.event for row in pdf.sort_values(ORDER).itertuples() if joined.take(row.coins, row.requires, row.new_only)]
     return pd.DataFrame({"event": pd.Series(kept, dtype="int64")})
 
 
+def within_components(events: DataFrame) -> DataFrame:
+    """Events with the ``label`` of the component that all of them would make."""
+    pairs = events.select(F.element_at("coins", 1).alias("a"), F.explode("coins").alias("b"))
+    labels = components(pairs, "a", "b")
+    return events.withColumn("a", F.element_at("coins", 1)).join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")).drop("a")
+
+
 def accepted(events: DataFrame) -> DataFrame:
     """Events that hold; those of components without a dependent link all do."""
-    pairs = events.select("event", F.element_at("coins", 1).alias("a"), F.explode("coins").alias("b"))
-    labels = components(pairs, "a", "b")
-    placed = materialize(events.withColumn("a", F.element_at("coins", 1)).join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")).drop("a"), "events")
+    placed = materialize(within_components(events), "events")
     dependent = placed.filter("requires is not null or new_only").select("label").distinct()
     free = placed.join(dependent, "label", "left_anti").select("event")
     replayed = placed.join(dependent, "label", "left_semi").select("label", "event", "seq", "stage", "pos", "coins", "requires", "new_only").groupBy("label").applyInPandas(_replay, "event long")
@@ -134,11 +158,12 @@ def accepted(events: DataFrame) -> DataFrame:
 
 
 def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(), grants: DataFrame | None = None, excluded: DataFrame | None = None) -> Reading:
-    """Read the whole record; ``excluded(tid)`` are transactions that give no evidence of their own."""
+    """Read the whole record; ``excluded(tid)`` are transactions that give no evidence of their own.
+
+    They stay on record all the same: another session may still point to one that issued its inputs.
+    """
     seen = ledger
-    if excluded is not None:
-        out = lambda df: df.join(excluded, "tid", "left_anti")
-        seen = Ledger(ledger.coins, ledger.coin_truth, out(ledger.txs), out(ledger.tx_inputs), out(ledger.tx_outputs))
+    out = lambda df: df if excluded is None else df.join(excluded.select("tid"), "tid", "left_anti")
     seq = seen.txs.select("tid", "tx_seq")
     none = F.lit(None)
     found: list[DataFrame] = []
@@ -211,11 +236,11 @@ def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(
         single = change_links(live.filter(F.size("unknowns") == 1).withColumn("coin", F.element_at("unknowns", 1)), "coin")
         clear = F.bit_count("kinds") >= opts.bar
         event(single.filter(clear & ~F.col("refuted")), "change", 3, F.col("part"), basis=F.lit("residue"), requires=requires)
-        reads, pay = read, roles.filter("role = 'payment'").join(parts.select("unit", "tid"), "unit").select("tid", "coin_id")
+        reads, pay = out(read), roles.filter("role = 'payment'").join(out(parts.select("unit", "tid")), "unit").select("tid", "coin_id")
     events = found[0]
     for more in found[1:]:
         events = events.unionByName(more)
-    events = materialize(events.withColumn("event", F.monotonically_increasing_id()), "events")
+    events = materialize(out(events).withColumn("event", F.monotonically_increasing_id()), "events")
     held = accepted(events)
     pairs = held.select(F.element_at("coins", 1).alias("a"), F.explode("coins").alias("b"))
     from ledgerscope.operators.components import cluster
@@ -224,7 +249,7 @@ def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(
     guess = held.filter("basis = 'residue'").select("tid", F.element_at("coins", 1).alias("coin_id"), F.col("pos").cast("int").alias("part"))
     if reads is None:
         empty = held.limit(0)
-        return Reading(held, clusters, empty, empty, guess.drop("part"))
+        return Reading(held, clusters, empty, empty, guess.drop("part"), events)
     met = materialize(one_cluster(reads.filter("state = 'contingent'"), events, held), "met")
     reads = reads.join(met, "unit", "left").join(guess.withColumnRenamed("coin_id", "change"), ["tid", "part"], "left")
     linked = (F.col("state") == "linked") | F.coalesce("met", F.lit(False))
@@ -232,34 +257,23 @@ def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(
     why = F.when(~linked, F.when(rest, F.when(F.col("state") == "contingent", "inputs").otherwise(F.col("state"))))
     why = F.when(linked, F.when((F.size("unknowns") == 1) & (F.bit_count("kinds") < opts.bar), "bar").when((F.size("unknowns") == 1) & F.col("change").isNull(), "refuted").when(F.size("unknowns") > 1, "batch")).otherwise(why)
     change_reads = reads.select("tid", F.col("part").alias("part_no"), "payments", F.when(linked, F.col("selfs")).otherwise(F.array().cast("array<long>")).alias("selfs"), "change", F.size("unknowns").alias("unknowns"), why.alias("abstain"))
-    return Reading(held, clusters, change_reads, pay, guess.drop("part"))
+    return Reading(held, clusters, change_reads, pay, guess.drop("part"), events)
 
 
 def one_cluster(contingent: DataFrame, events: DataFrame, held: DataFrame) -> DataFrame:
     """C11: ``unit, met``: whether earlier links join the inputs of each contingent unit."""
     ends = contingent.select(F.col("unit").alias("event"), F.col("tx_seq").alias("seq"), F.lit(3).alias("stage"), F.lit(-1).cast("long").alias("pos"), F.col("ins").alias("coins"), F.col("ins").alias("requires"))
     rows = held.select("event", "seq", "stage", "pos", "coins", F.lit(None).cast("array<long>").alias("requires")).withColumn("ask", F.lit(False)).unionByName(ends.withColumn("ask", F.lit(True)))
-    labels = components(rows.select(F.element_at("coins", 1).alias("a"), F.explode("coins").alias("b")), "a", "b")
-    placed = rows.withColumn("a", F.element_at("coins", 1)).join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    placed = within_components(rows)
     asked = placed.filter("ask").select("label").distinct()
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def root(c):
-            while parent.get(c, c) != c:
-                c = parent[c]
-            return c
-
-        out = []
-        for row in pdf.sort_values(["seq", "stage", "pos", "event"]).itertuples():
-            roots = {root(c) for c in row.coins}
+        joined, out = Joined(), []
+        for row in pdf.sort_values(ORDER).itertuples():
             if row.ask:
-                out.append((row.event, len(roots) == 1))
+                out.append((row.event, len(joined.roots(row.coins)) == 1))
             else:
-                low = min(roots)
-                for r in roots:
-                    parent[r] = low
+                joined.take(row.coins, None, False)
         return pd.DataFrame(out, columns=["unit", "met"]).astype({"unit": "int64", "met": "bool"})
 
     return placed.join(asked, "label", "left_semi").select("label", "event", "seq", "stage", "pos", "coins", "ask").groupBy("label").applyInPandas(answer, "unit long, met boolean")

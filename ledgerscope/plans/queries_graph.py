@@ -281,7 +281,7 @@ def i19_consolidations(g: Ledger) -> DataFrame:
 
 @R.ledger("""
 pay as (select tid, count(distinct owner) as n, min(owner) as payer from tx_inputs join coin_truth using (coin_id) group by 1),
-c as (select coin_id, coin_seq, owner, coalesce(day, entered, -1) as d, coalesce(producer is not null and n = 1 and payer = owner, false) as internal from coins join coin_truth using (coin_id) left join txs t on t.tid = producer left join pay on pay.tid = producer)
+c as (select coin_id, coin_seq, owner, coalesce(day, entered, -1) as d, coalesce(producer is not null and (funder = owner or funder is null and n = 1 and payer = owner), false) as internal from coins join coin_truth using (coin_id) left join txs t on t.tid = producer left join pay on pay.tid = producer)
 select coin_id, owner, internal, (row_number() over (partition by owner, internal order by d, coin_seq) - 1)::int as index from c""")
 def j1_address_indexes(g: Ledger) -> DataFrame:
     return G.assign_addresses(g)

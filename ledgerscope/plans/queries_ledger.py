@@ -54,7 +54,7 @@ def a6_public_lines(g: Ledger) -> DataFrame:
     return public_lines(g)
 
 
-@R.ledger("select coin_id, concat_ws(' ', coin_id, owner, '-', coalesce(label, '-'), kyc) as line from coin_truth")
+@R.ledger("select coin_id, concat_ws(' ', coin_id, owner, coalesce(funder::varchar, '-'), coalesce(label, '-'), kyc) as line from coin_truth")
 def a6_truth_lines(g: Ledger) -> DataFrame:
     return truth_lines(g)
 

@@ -38,6 +38,10 @@ def reading(g: Ledger) -> O.Reading:
     return kept("reading", g, lambda: O.cluster_observer(g, adapter.prices(g), O.Options(), K.kyc_grants(g.coin_truth)))
 
 
+def plain_reading(g: Ledger) -> O.Reading:
+    return kept("plain reading", g, lambda: O.cluster_observer(g, adapter.prices(g)))
+
+
 _MEDIAN = "med as (select day, feerate as median from (select day, feerate, row_number() over (partition by day order by feerate) - 1 as i, count(*) over (partition by day) as n from txs) where i = n // 2)"
 _AMT = "least(greatest(floor(log2(greatest(value, 1)))::int - 8, 0), 23)"
 _EIGHTH = "least(greatest(floor(greatest(d, 0) * 8 / (top + 1))::int, 0), 7)"
@@ -178,12 +182,12 @@ def i2_remove_one_method(g: Ledger) -> DataFrame:
 
 @R.ledger()
 def i3_payjoin_detection(g: Ledger) -> DataFrame:
-    return V.payjoin_detection(g, adapter.prices(g), reading(g))
+    return V.payjoin_detection(g, plain_reading(g))
 
 
 @R.ledger()
 def i4_picked_payjoin(g: Ledger) -> DataFrame:
-    return V.pick_payjoin(g, V.payjoin_detection(g, adapter.prices(g), reading(g)), adapter.payments(g))
+    return V.pick_payjoin(g, V.payjoin_detection(g, plain_reading(g)), adapter.payments(g))
 
 
 @R.ledger()

@@ -46,9 +46,12 @@ def e1_ancestry_txs(g: Ledger) -> DataFrame:
     return T.cone_txs(g, cones(g))
 
 
-@R.ledger(f"{_CONE} select seed, coin_id from cone")
+_FLOW = f"{_SEEDS}, {_STEP}, tst as (select st.coin_id, before from st join coin_truth o on o.coin_id = st.coin_id join coin_truth i on i.coin_id = before where o.funder is null or o.funder = i.owner)"
+_FLOW += ", flow(seed, coin_id) as (select seed, seed from sd union select seed, before from flow join tst using (coin_id))"
+
+
+@R.ledger(f"{_FLOW} select seed, coin_id from flow")
 def e2_true_flow(g: Ledger) -> DataFrame:
-    """Without recorded funders every payer funds every output, so flow and cone agree."""
     return T.true_flow(g, seeds(g))
 
 
@@ -77,11 +80,21 @@ def e5_joint_trace_clusters(g: Ledger) -> DataFrame:
     return T.joint_trace(cones(g), _sets(g), materialize(cioh_clusters(g), "clusters"))
 
 
-@R.ledger(f"{_JOINT} select distinct trace, coin_id from sets join cone using (seed)")
+@R.ledger(f"{_FLOW} select distinct producer as trace, flow.coin_id from flow join coins on coins.coin_id = seed")
 def e6_joint_true_flow(g: Ledger) -> DataFrame:
     return _sets(g).join(T.true_flow(g, seeds(g)), "seed").select("trace", "coin_id").distinct()
 
 
+_INS = f"{_STEP}, ti as (select tid as trace, coin_id as seed from tx_inputs), tic(seed, coin_id) as (select distinct seed, seed from ti union select seed, before from tic join st using (coin_id)), tn as (select trace, count(*) as n from ti group by 1)"
+
+
+@R.ledger(f"""{_INS}, tk as (select trace, coin_id, count(*) as k, bool_or(coin_id = seed) as s from ti join tic using (seed) group by 1, 2),
+xk as (select trace, producer as tid, count(distinct seed) as k from ti join tic using (seed) join coins using (coin_id) where producer is not null group by 1, 2)
+select trace, 'coin' as kind, coin_id as id, s or n > 1 and k = n as whole from tk join tn using (trace) union all select trace, 'tx', tid, n > 1 and k = n from xk join tn using (trace) union all select trace, 'tx', trace, true from tn""")
+def e7_trace_txs(g: Ledger) -> DataFrame:
+    return T.trace_tx(g, g.txs.select("tid"))
+
+
 @R.ledger(f"{_CONE} select seed, coin_id from cone join coins using (coin_id) where producer is null")
 def e8_origins(g: Ledger) -> DataFrame:
     return T.origins(g, cones(g))

@@ -45,7 +45,10 @@ def build(spark: SparkSession, sf_dir: str) -> Ledger:
     spenders = materialize(coins.filter("dest is not null").select(F.col("dest").alias("tid")).distinct(), "spenders")
     is_tx = spenders.select(F.col("tid").alias("made_by"), F.lit(True).alias("is_tx"))
     coins = materialize(coins.join(is_tx, "made_by", "left").withColumn("producer", F.when(F.col("is_tx"), F.col("made_by"))), "coins")
-    truth = coins.select("coin_id", "owner", F.lit(None).cast("array<int>").alias("funders"), F.when(F.col("value") % 7 == 0, F.lit("change")).alias("label"), (F.pmod("coin_id", F.lit(11)) == 0).alias("kyc"))
+    # every fourth output is on record as paid by the owner of its transaction's first input alone
+    first = coins.filter("in_pos = 0").select(F.col("dest").alias("producer"), F.array("owner").alias("funders"))
+    truth = coins.join(first, "producer", "left").withColumn("funders", F.when(F.col("coin_id") % 4 == 0, F.col("funders")))
+    truth = truth.select("coin_id", "owner", "funders", F.when(F.col("value") % 7 == 0, F.lit("change")).alias("label"), (F.pmod("coin_id", F.lit(11)) == 0).alias("kyc"))
     inputs = coins.filter("dest is not null").select(F.col("dest").alias("tid"), "in_pos", "coin_id", (F.pmod("coin_id", F.lit(3)) > 0).alias("low_r"))
     outputs = coins.filter("producer is not null").select(F.col("producer").alias("tid"), "out_pos", "coin_id")
     paid = coins.filter("dest is not null").groupBy(F.col("dest").alias("tid")).agg(F.sum("value").alias("paid"), F.count("*").cast("int").alias("n_in"))
@@ -123,7 +126,8 @@ with recursive ords as (
 ), coins as materialized (
   select coin_id, seq * 100 + out_pos as coin_seq, value, producer, case when producer is not null then out_pos end as out_pos, dest, in_pos, case when producer is null then day end as entered, addr_key, script from allcoins
 ), coin_truth as (
-  select coin_id, owner, case when value % 7 = 0 then 'change' end as label, coin_id % 11 = 0 as kyc from allcoins
+  select a.coin_id, a.owner, case when a.coin_id % 4 = 0 then p.owner end as funder, case when a.value % 7 = 0 then 'change' end as label, a.coin_id % 11 = 0 as kyc
+  from allcoins a left join allcoins p on p.in_pos = 0 and p.dest = a.producer
 ), tx_inputs as (
   select dest as tid, in_pos, coin_id, coin_id % 3 > 0 as low_r from allcoins where dest is not null
 ), tx_outputs as (
