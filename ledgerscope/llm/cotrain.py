@@ -3,8 +3,10 @@
 The text view has shares of byte classes, word statistics and hashed words; the metadata view has
 the length, the line layout, and hashed language and source. Each view is a logistic regression,
 first fitted on a bounded sample of labelled documents. In each round both views score all
-unlabelled documents, and the surest ones of each class (``EXCHANGED`` by class and view) get the
-view's label in the training set of the other. At the end each view is calibrated on labelled
+unlabelled documents that neither has labelled yet, and the surest texts of each class (``EXCHANGED`` by
+class and view, whatever the size of the corpus: a documented bound) get the view's label in the
+training set of the other. Copies of a text count once; a text on which the views disagree in a round is
+left out of that round; equally sure texts go by the hash of the text. At the end each view is calibrated on labelled
 documents kept apart, and the calibrated log odds are added, the prior counted once.
 
 Defined results: a null text counts as empty, null metadata as a bucket of its own; labels that
@@ -19,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +64,8 @@ def features(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     bucket = lambda c, n: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(n)).cast("int")
     shaped = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("n_chars").cast("double"), F.length(text).cast("double"), F.lit(0.0)).alias("n_chars"),
-        bucket("lang", LANG_BUCKETS).alias("lang_at"), bucket("source", SOURCE_BUCKETS).alias("source_at"), F.xxhash64("text", "doc_id").alias("tie"),
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.nanvl(F.col("n_chars").cast("double"), F.lit(None).cast("double")), F.length(text).cast("double"), F.lit(0.0)).alias("n_chars"),
+        bucket("lang", LANG_BUCKETS).alias("lang_at"), bucket("source", SOURCE_BUCKETS).alias("source_at"), F.xxhash64(text).alias("tie"),
     )
     return shaped.withColumn("n_chars", F.greatest("n_chars", F.lit(0.0))).mapInArrow(run, "doc_id long, tie long, text_view array<float>, meta_view array<float>")
 
@@ -97,24 +98,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)
 
 
-def _surest(views: tuple[View, View]):
-    """Of each task, the unlabelled documents that a view is surest of, by view and class."""
+def _surest(views: tuple[View, View], taken: list[int]):
+    """Of each task, the texts not yet taken that a view is surest of, by view and class.
+
+    Of copies the surest stays, of those that are equally sure the first id.
+    """
+    gone = np.array(taken, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[pa.RecordBatch]] = [[], [], [], []]
+        least = [SURE] * 4
         for batch in batches:
+            batch = batch.filter(pa.array(~np.isin(batch.column("tie").to_numpy(), gone)))
             for v, name in enumerate(("text_view", "meta_view")):
                 if not batch.num_rows:
                     continue
                 p = 1 / (1 + np.exp(-views[v].logit(_matrix(batch.column(name)))))
                 for label, sure in ((0, 1 - p), (1, p)):
                     at = 2 * v + label
-                    best = np.argsort(-sure, kind="stable")[:EXCHANGED]
-                    best = best[sure[best] >= SURE]
+                    best = np.flatnonzero(sure >= least[at])
                     rows = batch.take(pa.array(best))
                     rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(best), at, dtype=np.int32)), pa.array(sure[best]), *rows.columns], names=["of", "sure", *rows.schema.names])
-                    both = pa.Table.from_batches([*kept[at], rows]).sort_by([("sure", "descending"), ("tie", "ascending")]).slice(0, EXCHANGED)
-                    kept[at] = both.combine_chunks().to_batches()
+                    both = pa.Table.from_batches([*kept[at], rows]).sort_by([("sure", "descending"), ("tie", "ascending"), ("doc_id", "ascending")])
+                    first = np.sort(np.unique(both.column("tie").to_numpy(), return_index=True)[1])[:EXCHANGED]
+                    kept[at] = both.take(pa.array(first)).combine_chunks().to_batches()
+                    if len(first) == EXCHANGED:
+                        least[at] = kept[at][-1].column("sure")[-1].as_py()
         for part in kept:
             yield from part
 
@@ -139,27 +148,29 @@ def fit(seen: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled:
     unlabelled = seen.join(votes.select("doc_id"), "doc_id", "left_anti")
     stacked = lambda parts: View(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
     views = (stacked(training[0]), stacked(training[1]))
-    taken: set[int] = set()
+    taken = sorted(set(rows.column("tie").to_pylist()))
     for _ in range(rounds):
-        found = unlabelled.select("tie", "text_view", "meta_view").mapInArrow(_surest(views), "of int, sure double, tie long, text_view array<float>, meta_view array<float>")
+        found = unlabelled.mapInArrow(_surest(views, taken), "of int, sure double, doc_id long, tie long, text_view array<float>, meta_view array<float>")
+        # of copies in several tasks one stays
+        found = materialize(found, "surest").groupBy("of", "tie").agg(F.min_by(F.struct("sure", "text_view", "meta_view"), F.struct((-F.col("sure")).alias("sure"), "doc_id")).alias("x")).select("of", "tie", "x.*")
         found = materialize(found, "surest")
         best = None
         for of in range(4):
             top = found.filter(F.col("of") == of).orderBy(F.desc("sure"), "tie").limit(EXCHANGED)
             best = top if best is None else best.union(top)
         gained = best.toArrow().combine_chunks()
-        fresh = 0
-        for of in range(4):
-            mine = gained.filter(pc.equal(gained.column("of"), of)) if gained.num_rows else gained
-            new = [i for i, tie in enumerate(mine.column("tie").to_pylist()) if (of, tie) not in taken] if mine.num_rows else []
-            if not new:
-                continue
-            taken.update((of, mine.column("tie")[i].as_py()) for i in new)
-            other = 1 - of // 2
-            column = mine.take(new).column(("text_view", "meta_view")[other]).combine_chunks()
-            training[other].append((_matrix(column), np.full(len(new), of % 2)))
-            fresh += len(new)
-        if not fresh:
+        if not gained.num_rows:
+            break
+        of, tie = (gained.column(c).to_numpy() for c in ("of", "tie"))
+        good, bad = (set(tie[of % 2 == label].tolist()) for label in (1, 0))
+        agreed = np.array([t not in good or t not in bad for t in tie.tolist()])
+        taken += sorted(good ^ bad)
+        for v in (0, 1):
+            mine = np.flatnonzero(agreed & (of // 2 == v))
+            if len(mine):
+                column = gained.take(pa.array(mine)).column(("text_view", "meta_view")[1 - v]).combine_chunks()
+                training[1 - v].append((_matrix(column), of[mine] % 2))
+        if not agreed.any():
             break
         views = (stacked(training[0]), stacked(training[1]))
     calibrated = tuple(View(views[v].logit(x[v][apart])[:, None], y[apart]) for v in (0, 1))
