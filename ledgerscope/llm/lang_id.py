@@ -9,12 +9,14 @@ is computed once into a table, and a text's exact code lengths are sums of table
 dealt into blocks of ``BLOCK_LANGUAGES``, each with a table of its own over the bytes that any block
 knows, so a code length is the same in every block; a task holds one table at a time.
 
-Learning uses at most ``MAX_TEXTS`` texts of a language in expectation, drawn by a hash; their
+Learning uses at most ``MAX_TEXTS`` distinct texts of a language in expectation, drawn by a hash, all
+where there are no more; their
 counts are made by Spark tasks and merged by a sum. Prediction reads whole texts.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or if nothing could be
 learned (an empty table, no ``lang``); ties go to the first language by name; a text of any length
-is scored whole; rows that repeat are scored alike; other columns are ignored.
+is scored whole; rows that repeat are scored alike; a zero byte counts as a byte of value one, since
+zero stands for the start of a text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,10 +48,15 @@ def held_out(doc_id: Column) -> Column:
 def learning_texts(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
     """``lang, text``: about ``max_texts`` texts of each language, by a hash of the text."""
     known = docs.filter("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = materialize(known.groupBy("lang").agg(F.count("*").alias("texts")), "languages")
+    known = known.withColumn("drawn", F.xxhash64("text", F.lit(5)))
+    sizes = materialize(known.groupBy("lang").agg(F.approx_count_distinct("drawn").alias("texts")), "languages")
     share = F.lit(float(max_texts)) / F.col("texts")
     known = known.join(small(sizes), "lang")
-    return known.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    return known.filter(F.pmod("drawn", F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text").dropDuplicates()
+
+
+def coded(text: str) -> bytes:
+    return text.encode().replace(b"\0", b"\1")
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +66,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             langs = part.column("lang").to_pylist()
             for lang in set(langs):
-                raw = b"".join(b"\0\0\0" + t.encode() for t, x in zip(part.column("text").to_pylist(), langs) if x == lang)
+                raw = b"".join(b"\0\0\0" + coded(t) for t, x in zip(part.column("text").to_pylist(), langs) if x == lang)
                 b = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
                 grams = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
                 grams = grams[(grams & 0xFF) != 0]
@@ -85,10 +92,11 @@ class Model:
                     followers[symbol] = followers.get(symbol, 0) + n
             trees.append([levels[0], *({c: f for c, f in level.items() if sum(f.values()) >= LEAST_COUNT} for level in levels[1:])])
         symbols = symbols if symbols is not None else sorted({s for t in trees for f in t[0].values() for s in f})
-        # one symbol more stands for all bytes never seen, and for the start of a text
+        # two symbols more: one stands for all bytes never seen, the last for the start of a text
         self.code = np.full(256, len(symbols), dtype=np.int32)
         self.code[symbols] = np.arange(len(symbols))
-        self.width = len(symbols) + 1
+        self.code[0] = len(symbols) + 1
+        self.width = len(symbols) + 2
         w = self.width
         contexts = sorted({(o, c) for t in trees for o in range(ORDER + 1) for c in t[o]})
         self.cost = np.zeros((len(contexts) or 1, w, len(trees)), dtype=np.float32)
@@ -183,8 +191,8 @@ def predict(docs: DataFrame, model: Blocks) -> DataFrame:
             parts = list(slices(batch))
             texts = [part.column("text").to_pylist() for part in parts]
             usable = [[i for i, t in enumerate(own) if t and model.languages and any(c.isalpha() for c in t)] for own in texts]
-            coded = [[own[i].encode() for i in at] for own, at in zip(texts, usable)]
-            for part, own, raw, bits in zip(parts, usable, coded, model.bits(coded) if model.languages else coded):
+            raw_texts = [[coded(own[i]) for i in at] for own, at in zip(texts, usable)]
+            for part, own, raw, bits in zip(parts, usable, raw_texts, model.bits(raw_texts) if model.languages else raw_texts):
                 langs, scores = [UNDECIDED] * part.num_rows, [0.0] * part.num_rows
                 if own:
                     mean = (bits - bits.min(axis=1, keepdims=True)) / np.array([[len(t)] for t in raw]) ** 0.5
