@@ -4,9 +4,11 @@ Patterns find assignments, access keys and long hex runs. The method looks at ev
 20 or more token characters: it infers the encoding from the characters used, and tests whether the
 symbols are a uniform random sequence over it: chi-squared of the alphabet in equal cells, runs above
 and below its middle, and serial correlation of neighbours. The smallest of the three p-values, times
-three, is the run's randomness. False discoveries are controlled by length: each run has a decoy, the
-letters and digits of its own document's prose cut to the same length, and a length band accepts from
-the least randomness on at which decoys suggest that at most ``MAX_FALSE`` of the accepted are prose.
+three, is the run's randomness. False discoveries are controlled by length: each run has a decoy, prose
+of its own document in the characters of the run's encoding, cut to the same length and tested over the
+same alphabet. A length band accepts from the least randomness on at which decoys suggest that at most
+``MAX_FALSE`` of the accepted are prose; runs of letters of one case, which words are too, have bands
+of their own.
 
 Defined results: null and empty texts have no spans; rows that repeat are scanned each; a text of
 any length is scanned whole; without runs (or an empty table) no band accepts anything; runs that
@@ -15,6 +17,8 @@ overlap a pattern's span add nothing; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,23 +42,42 @@ ENCODINGS = [
     ("base64url", "^[A-Za-z0-9_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("base64", "^[A-Za-z0-9+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 ]
+#: Encodings of letters alone.
+WORDLIKE = [3, 4]
 MAX_FALSE = 0.05
 #: Lengths from which a new band begins, and the steps of randomness that a band can accept from.
 BANDS = [20, 24, 32, 40, 64]
 STEPS = 100
+#: Matches of a text whose lengths are summed up together.
+BLOCK = 64
+
+
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of values, each of which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(n) for n, v in values.items()))), body), F.lit(0))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """``array<struct<start, end, found>>`` of leftmost non-overlapping matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    lengths = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    place = F.transform(
-        F.arrays_zip(found.alias("found"), F.sequence(F.lit(1), F.size(found)).alias("k")),
-        lambda m: F.struct(m["found"].alias("found"), (lengths(F.slice(between, F.lit(1), m["k"])) + lengths(F.slice(found, F.lit(1), m["k"] - 1))).alias("start")),
-    )
-    spans = F.transform(place, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["found"])).alias("end"), m["found"].alias("found")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
+    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+    behind = lambda a, k: F.slice(a, k * BLOCK + 1, F.lit(BLOCK))
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # what ends before a match: whole blocks of matches, and those of its own block; each array is made once
+    parts = _let({"found": found, "between": between}, lambda x: F.struct(x["found"].alias("found"), x["between"].alias("between"), F.zip_with(x["between"], x["found"], lambda b, f: F.length(b) + F.coalesce(F.length(f), F.lit(0))).alias("steps")))
+    parts = _let({"x": parts}, lambda x: F.struct(x["x"].alias("x"), F.transform(F.sequence(F.lit(0), F.floor(F.size(x["x"]["found"]) / BLOCK).cast("int")), lambda k: F.aggregate(behind(x["x"]["steps"], k), F.lit(0), lambda s, n: s + n)).alias("sums")))
+    parts = _let({"y": parts}, lambda y: F.struct(y["y"]["x"].alias("x"), F.transform(y["y"]["sums"], lambda _, k: total(y["y"]["sums"], k)).alias("before")))
+
+    def span(parts: Column) -> Column:
+        x, before = parts["p"]["x"], parts["p"]["before"]
+
+        def place(m: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            start = F.get(before, block) + total(behind(x["steps"], block), i % BLOCK) + F.length(F.get(x["between"], i))
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("found"))
+
+        return F.transform(x["found"], place)
+
+    return F.when(text.rlike(pattern), _let({"p": parts}, span)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
 
 
 def _text(spans: Column) -> Column:
@@ -69,22 +92,43 @@ def scanned(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_assign", F.filter("_assign", lambda m: F.length(F.regexp_extract(m["found"], ASSIGN, 2)) >= 6))
     tag = lambda column, order, kind: F.transform(column, lambda m: F.struct(m["start"].alias("start"), F.lit(order).alias("order"), m["end"].alias("end"), F.lit(kind).alias("kind")))
     base = F.concat(tag("_assign", 0, "assign"), tag("_access", 1, "access"), tag("_hex", 2, "hex"))
-    prose = F.when(F.size("_runs") > 0, F.regexp_replace(F.regexp_replace(F.lower("text"), RUN.replace("A-Z", ""), ""), "[^a-z0-9]+", ""))
-    df = df.select("doc_id", F.size("_assign").cast("long").alias("n_assign"), F.size("_access").cast("long").alias("n_access"), F.size("_hex").cast("long").alias("n_hex"), base.alias("base"), "_runs", prose.alias("_prose"))
-    # the decoy of the k-th run starts at a place of the prose that depends on the run, not on the row
-    runs = F.expr("transform(_runs, m -> struct(m.start as start, m.end as end, m.found as found, substring(_prose, cast(1 + pmod(xxhash64(m.found), greatest(1, length(_prose) - length(m.found))) as int), length(m.found)) as decoy, exists(base, b -> b.start < m.end and m.start < b.end) as covered))")
+    df = df.select("doc_id", F.size("_assign").cast("long").alias("n_assign"), F.size("_access").cast("long").alias("n_access"), F.size("_hex").cast("long").alias("n_hex"), base.alias("base"), "_runs", F.when(F.size("_runs") > 0, F.col("text")).alias("text"))
+    runs = _let({"prose": F.regexp_replace(F.regexp_replace("text", RUN, ""), "[^A-Za-z0-9]+", ""), "runs": F.col("_runs"), "base": F.col("base")}, _with_decoys)
     return df.select("doc_id", "n_assign", "n_access", "n_hex", "base", runs.alias("runs"), F.monotonically_increasing_id().alias("row"))
 
 
+def _encoding(token: Column) -> Column:
+    """The number of the narrowest encoding; one more than the last for a mixture."""
+    return F.coalesce(*(F.when(token.rlike(p), F.lit(i)) for i, (_, p, _) in enumerate(ENCODINGS)), F.lit(len(ENCODINGS)))
+
+
+def _with_decoys(x: Column) -> Column:
+    """Runs with their encoding and a decoy from a place of the prose that depends on the run, not on the row."""
+    prose = []
+    for _, _, letters in [*ENCODINGS, ("", "", ENCODINGS[-1][2])]:
+        same_case = F.lower(x["prose"]) if letters == letters.lower() else F.upper(x["prose"]) if letters == letters.upper() else x["prose"]
+        prose.append(F.regexp_replace(same_case, "[^" + letters.replace("-", "").replace("/", "") + "]+", ""))
+
+    def shaped(y: Column) -> Column:
+        def run(m: Column) -> Column:
+            source, size = F.get(y["prose"], _encoding(m["found"])), F.length(m["found"])
+            start = 1 + F.pmod(F.xxhash64(m["found"]), F.greatest(F.lit(1), F.length(source) - size))
+            covered = F.exists(y["base"], lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+            return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"), _encoding(m["found"]).alias("encoding"), F.substring(source, start.cast("int"), size).alias("decoy"), covered.alias("covered"))
+
+        return F.transform(y["runs"], run)
+
+    return _let({"prose": F.array(*prose), "runs": x["runs"], "base": x["base"]}, shaped)
+
+
 def _tail(z: Column) -> Column:
     """Chance that a standard normal exceeds z, by a logistic approximation."""
     return 1 / (1 + F.exp(F.greatest(F.least(1.5976 * z + 0.07056 * F.pow(z, 3), F.lit(300.0)), F.lit(-300.0))))
 
 
 def randomness(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Add ``out``: three times the smallest p-value of the battery, at most 1; null for texts under 16."""
-    token = F.col(column)
-    letters = F.coalesce(*(F.when(token.rlike(p), F.lit(a)) for _, p, a in ENCODINGS), F.lit(ENCODINGS[-1][2] + "-_"))
+    """Add ``out``: three times the smallest p-value of the battery over the alphabet of ``encoding``, at most 1; null for texts under 16."""
+    letters = F.get(F.array(*(F.lit(a) for _, _, a in ENCODINGS), F.lit(ENCODINGS[-1][2] + "-_")), F.col("encoding"))
     df = df.withColumn("_letters", letters).withColumn("_k", F.length("_letters"))
     df = df.withColumn("_v", F.expr(f"filter(transform(split({column}, ''), c -> locate(c, _letters) - 1), x -> x >= 0)"))
     df = df.withColumn("_n", F.size("_v")).withColumn("_g", F.greatest(F.lit(2), F.least("_k", F.floor(F.col("_n") / 4).cast("int"))))
@@ -134,6 +178,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     band = F.lit(0)
     for least in BANDS:
         band = F.when(F.length("found") >= least, F.lit(least)).otherwise(band)
+    band = F.when(F.col("encoding").isin(WORDLIKE), -band).otherwise(band)
     scored = randomness(randomness(runs, "found", "p"), "decoy", "decoy_p").select("row", "start", "end", "covered", band.alias("band"), "p", "decoy_p")
     scored = materialize(scored, "scored")
     limits = accept_from(scored)
