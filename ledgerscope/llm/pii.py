@@ -123,17 +123,14 @@ def _lookalike(c: str) -> str:
 
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """Finds of the normalised copy that cover a changed character, as source spans."""
-    unusual, spelled, written = _UNUSUAL.search(text), _SPELLED.search(text), _AT_DOT.search(text)
-    if not (unusual or spelled or written):
+    if not any(gate.search(text) for gate in (_UNUSUAL, _SPELLED, _AT_DOT, _AT)):
         return []
     copy = Copy(text)
-    if unusual:
-        copy.replace([(m.start(), m.end(), new) for m in _UNUSUAL.finditer(copy.text) if (new := _lookalike(m[0])) != m[0]])
+    copy.replace([(m.start(), m.end(), new) for m in _UNUSUAL.finditer(copy.text) if (new := _lookalike(m[0])) != m[0]])
     copy.replace([(m.start(), m.end(), "".join(DIGIT_WORDS[w[0].lower()] for w in _ONE.finditer(m[0]))) for m in _SPELLED.finditer(copy.text)])
-    if written:
-        copy.replace([(m.start(), m.end(), "@") for m in _AT.finditer(copy.text)])
-        copy.replace([(d.start(), d.end(), ".") for m in _AFTER_AT.finditer(copy.text) for d in _DOT_WORD.finditer(copy.text, m.start(), m.end())])
-        copy.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(copy.text)])
+    copy.replace([(m.start(), m.end(), "@") for m in _AT.finditer(copy.text)])
+    copy.replace([(d.start(), d.end(), ".") for m in _AFTER_AT.finditer(copy.text) for d in _DOT_WORD.finditer(copy.text, m.start(), m.end())])
+    copy.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(copy.text)])
     out = []
     for kind, a, b in plain(copy.text):
         if any(copy.changed[a:b]):
