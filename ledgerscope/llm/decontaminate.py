@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import mix, shingles, slices
+from ledgerscope.llm.text import mix, shingles, slices, unused
 from ledgerscope.session import materialize, small
 
 CONTAINED_PERCENT = 80
@@ -146,8 +146,9 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINED_
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose ``doc_id`` is not in ``ids(doc_id)``; documents without an id stay."""
-    gone = materialize(ids.select(F.col("doc_id").alias("_gone")).filter("_gone is not null").distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    (gone_id,) = unused(docs.columns, "gone")
+    gone = materialize(ids.filter("doc_id is not null").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    return docs.join(small(gone), F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def op4_size_partitioned_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.text import mix, shingles, slices
+from ledgerscope.llm.text import mix, shingles, slices, unused
 from ledgerscope.operators.components import components
 from ledgerscope.session import materialize, small
 
@@ -254,12 +254,13 @@ def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Ids of the others are dropped; rows that repeat an id and all other columns are reduced to one.
     """
     found = near_duplicates(docs, percent=percent)
-    gone = materialize(found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = materialize(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_twice")), "twice")
+    (other,) = unused(docs.columns, "other_id")
+    gone = materialize(found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(other)).distinct(), "gone")
+    kept = docs.join(small(gone), F.col("doc_id") == F.col(other), "left_anti")
+    twice = materialize(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias(other)), "twice")
     if twice.isEmpty():
         return kept
-    at = F.col("doc_id") == F.col("_twice")
+    at = F.col("doc_id") == F.col(other)
     return kept.join(small(twice), at, "left_anti").unionByName(kept.join(small(twice), at, "left_semi").dropDuplicates())
 
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerscope.llm.text import unused
+
 #: Function words by language.
 COMMON_WORDS = {
     "en": "the of and to in is that for was on with are".split(),
@@ -36,6 +38,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MAX_CHARACTER_DISTANCE, MIN_CHARACTERS = 0.22, 200
 MAX_WORD_DISTANCE, MIN_HISTOGRAM_WORDS = 0.4, 100
 
+WORKING = ["_text", "_odd", "_words", "_lines", "_windows", "_sorted", "_starts", "_letters", "_n_letters", "_common", "_word_shares", "_class_shares"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -113,7 +116,11 @@ def quality_rules(docs: DataFrame, known: list[dict] | None = None) -> DataFrame
     """Add the base counts, ``base_failed``, both distances and ``kept`` to documents."""
     known = references(docs) if known is None else known
     results = [*BASE, "base_failed", "character_distance", "word_distance", "kept"]
-    df = base_counts(docs.drop(*results))
+    docs = docs.drop(*results)
+    given = docs.columns
+    # a column of the caller's that is named like a working one steps aside until the end
+    aside = {c: unused(given + WORKING, c)[0] for c in given if c.lower() in WORKING}
+    df = base_counts(docs.withColumnsRenamed(aside))
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     if known:
         df = df.withColumn("_letters", _letters(F.col("_text")))
@@ -128,7 +135,7 @@ def quality_rules(docs: DataFrame, known: list[dict] | None = None) -> DataFrame
     else:
         df = df.withColumns({"character_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")})
     near = (F.coalesce("character_distance", F.lit(0.0)) <= MAX_CHARACTER_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return df.withColumn("kept", ~F.col("base_failed") & near).drop("_text", "_odd")
+    return df.withColumn("kept", ~F.col("base_failed") & near).drop("_text", "_odd").withColumnsRenamed({b: a for a, b in aside.items()})
 
 
 def without_rejected(docs: DataFrame) -> DataFrame:
@@ -137,8 +144,9 @@ def without_rejected(docs: DataFrame) -> DataFrame:
     The row number keeps the filter above the columns that it is made from: pushed below them, each
     of its terms would be spelled out down to the text, and planning would not end.
     """
-    judged = quality_rules(docs.withColumn("_whole", F.struct(*docs.columns))).select("_whole", "kept", F.monotonically_increasing_id().alias("_row"))
-    return judged.filter("kept and _row >= 0").select("_whole.*")
+    whole, row = unused(docs.columns, "whole", "row")
+    judged = quality_rules(docs.withColumn(whole, F.struct(*(F.col(f"`{c}`") for c in docs.columns)))).select(whole, "kept", F.monotonically_increasing_id().alias(row))
+    return judged.filter(F.col("kept") & (F.col(row) >= 0)).select(f"{whole}.*")
 
 
 def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

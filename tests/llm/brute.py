@@ -19,7 +19,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def near_duplicates(docs):
+def near_duplicates(docs, percent=85):
     """doc_id to (size of set, component) for ``[(doc_id, text)]``."""
     sets = [(i, shingle_set(t)) for i, t in docs]
     parent = list(range(len(sets)))
@@ -33,7 +33,7 @@ def near_duplicates(docs):
     for n, (_, s) in enumerate(sets):
         hits = collections.Counter(m for g in s for m in index[g])
         for m, k in hits.items():
-            if 100 * k >= 85 * (len(s) + len(sets[m][1]) - k):
+            if 100 * k >= percent * (len(s) + len(sets[m][1]) - k):
                 parent[root(n)] = root(m)
         for g in s:
             index[g].append(n)

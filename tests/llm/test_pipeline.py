@@ -14,7 +14,7 @@ def test_pipeline_is_its_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     judged = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs).select("doc_id", "kept").collect()}
     left = [(r["doc_id"], r["text"]) for r in docs.collect() if judged[r["doc_id"]]]
-    leaders = {i for i, _, c in brute.near_duplicates(sorted(left)) if i == c}
+    leaders = {i for i, _, c in brute.near_duplicates(sorted(left), corpus_pipeline.NEAR_PERCENT) if i == c}
     left = [d for d in left if d[0] in leaders]
     items = duckdb.connect().execute(f"select item_id, text from '{sf_dir}/benchmark.parquet'").fetchall()
     dirty = {d for d, _ in brute.contained(left, items)}
