@@ -180,6 +180,30 @@ def pick_session(scores: DataFrame, order: DataFrame, excluding: int | None = No
     return left.join(order.select("tid", "tx_seq"), "tid").orderBy(tier, "tx_seq").limit(1).drop("tx_seq")
 
 
+def remeet_report(ledger: Ledger, groups: DataFrame, tol: int = TOLERANCE) -> DataFrame:
+    """``tid, tx_seq, via, size, kind_before, kind_after, tier`` of sessions with re-met inputs ``groups(tid, via, in_pos, coin_id)``.
+
+    Verdicts with the inputs apart and with each group as one; ``via`` is the largest group of one owner,
+    else the largest. Two points for a group of one owner, one for a conclusive verdict of the groups.
+    """
+    of = materialize(groups.select("tid").distinct(), "regrouped")
+    values = ledger.with_inputs().select("tid", "in_pos", "value").join(of, "tid", "left_semi")
+    merged = merge_inputs(values, groups.withColumn("group", F.col("via"))).groupBy("tid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("ins"))
+    plain = materialize(amounts(ledger).join(of, "tid", "left_semi"), "amounts")
+    before = subtx_verdict(plain, tol).select("tid", F.col("kind").alias("kind_before"))
+    after = subtx_verdict(plain.drop("ins").join(merged, "tid"), tol).select("tid", F.col("kind").alias("kind_after"))
+    owned = groups.join(ledger.coin_truth.select("coin_id", "owner"), "coin_id").groupBy("tid", "via").agg((F.countDistinct(F.struct("owner")) == 1).alias("one_owner"), F.count("*").alias("size"), F.min("in_pos").alias("first"))
+    shown = owned.groupBy("tid").agg(F.max_by(F.struct("via", "size", "one_owner"), F.struct("one_owner", "size", (-F.col("first")).alias("first"))).alias("shown"))
+    tier = F.when(F.col("shown.one_owner"), 2).otherwise(0) + F.when(F.col("kind_after") != "inconclusive", 1).otherwise(0)
+    out = shown.join(before, "tid").join(after, "tid").join(ledger.txs.select("tid", "tx_seq"), "tid")
+    return out.select("tid", "tx_seq", "shown.via", "shown.size", "kind_before", "kind_after", tier.alias("tier"))
+
+
+def pick_remeet(report: DataFrame) -> DataFrame:
+    """The earliest session of the best tier."""
+    return report.orderBy(F.desc("tier"), "tx_seq").limit(1)
+
+
 def strands(ledger: Ledger, verdicts: DataFrame) -> DataFrame:
     """``tid, in_pos, out_pos, certain, small``: ways from inputs to outputs, by part where parts are unique."""
     txs = ledger.txs.select("tid", "n_in", "n_out").join(verdicts, "tid", "left")

@@ -50,9 +50,14 @@ def transfer_adjacency(ledger: Ledger, clusters: DataFrame) -> DataFrame:
 
 def pseudonym_graph(ledger: Ledger, clusters: DataFrame) -> DataFrame:
     """``src, dst``: distinct directed edges between clusters of two coins at least."""
-    large = clusters.groupBy("rep").count().filter("count >= 2").select("rep")
-    edges = contracted_edges(ledger, clusters).select("src", "dst").distinct()
-    return edges.join(large.withColumnRenamed("rep", "src"), "src", "left_semi").join(large.withColumnRenamed("rep", "dst"), "dst", "left_semi")
+    member = clusters.select("coin_id", "rep").join(pseudonyms(clusters), "rep", "left_semi")
+    side = lambda legs, name: legs.join(member, "coin_id").select("tid", F.col("rep").alias(name)).distinct()
+    return side(ledger.tx_inputs, "src").join(side(ledger.tx_outputs, "dst"), "tid").filter("src <> dst").select("src", "dst").distinct()
+
+
+def pseudonyms(clusters: DataFrame) -> DataFrame:
+    """``rep`` of clusters of two coins at least, those without an edge too."""
+    return clusters.groupBy("rep").count().filter("count >= 2").select("rep")
 
 
 def aux_graph(relationships: DataFrame) -> DataFrame:

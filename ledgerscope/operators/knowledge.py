@@ -65,10 +65,12 @@ def agent_knowledge(ledger: Ledger, payments: DataFrame, clusters: DataFrame | N
     own = truth.filter("owner is not null").select(F.col("owner").alias("agent"), "coin_id", "owner")
     sides = payments.select("tid", "form", F.col("payer").alias("agent"), F.col("payee").alias("other")).unionByName(payments.filter("payee is not null").select("tid", "form", F.col("payee").alias("agent"), F.col("payer").alias("other")))
     two = sides.filter("form in ('unilateral', 'payjoin')").join(legs, "tid").select("agent", "coin_id", "owner")
-    parties = legs.filter("owner is not null").groupBy("tid").agg(F.countDistinct("owner").alias("n")).filter("n = 2").select("tid")
-    settled = payments.filter("form = 'settlement'").select("tid").join(parties, "tid")
-    members = settled.join(legs.filter("owner is not null").select("tid", F.col("owner").alias("agent")).distinct(), "tid")
-    of_two = members.join(legs, "tid").filter("owner <> agent").select("agent", "coin_id", "owner")
+    # the parties of a settlement are those whose obligations it settles
+    parties = sides.filter("form = 'settlement'").select("tid", F.explode(F.array("agent", "other")).alias("agent")).filter("agent is not null").distinct()
+    two_sided = parties.groupBy("tid").agg(F.count("*").alias("n")).filter("n = 2").select("tid")
+    members = parties.join(two_sided, "tid")
+    other = members.select("tid", F.col("agent").alias("owner"))
+    of_two = members.join(other, "tid").filter("owner <> agent").join(legs, ["tid", "owner"]).select("agent", "coin_id", "owner")
     outs = ledger.tx_outputs.select("tid", "coin_id").join(truth, "coin_id")
     joint = payments.filter("form = 'coinjoin' and payee is not null").select("tid", F.col("payer").alias("agent"), "payee").join(outs, "tid").filter("owner = payee").select("agent", "coin_id", "owner")
     known = own.unionByName(two).unionByName(of_two).unionByName(joint).distinct().withColumn("direct", F.lit(True))
@@ -80,6 +82,15 @@ def agent_knowledge(ledger: Ledger, payments: DataFrame, clusters: DataFrame | N
     return known.unionByName(spread.select("agent", "coin_id", "owner", F.lit(False).alias("direct")))
 
 
+def known_txs(ledger: Ledger, payments: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """``agent, tid`` of transactions that agents took part in: their payments, and ``sessions(tid)`` with an input of theirs."""
+    sides = payments.select(F.col("payer").alias("agent"), "tid").union(payments.select("payee", "tid")).filter("agent is not null")
+    if sessions is not None:
+        own = ledger.tx_inputs.join(sessions.select("tid"), "tid", "left_semi").join(ledger.coin_truth.select("coin_id", "owner"), "coin_id")
+        sides = sides.union(own.filter("owner is not null").select(F.col("owner").alias("agent"), "tid"))
+    return sides.distinct()
+
+
 def counterparty_tally(ledger: Ledger, known: DataFrame) -> DataFrame:
     """``agent, owner, coins, unspent`` of others' coins known directly."""
     others = known.filter("direct and not (owner <=> agent)").join(ledger.coins.select("coin_id", "dest"), "coin_id")

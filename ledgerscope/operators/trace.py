@@ -225,6 +225,12 @@ def footprint(ledger: Ledger, clusters: DataFrame) -> DataFrame:
     return clusters.select("rep", "coin_id").join(ledger.coins.select("coin_id", F.col("dest").alias("tid")), "coin_id")
 
 
+def joint_summary(traces: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``trace, clusters, coins`` of what every traced coin's cone has in common, by ``joint_trace`` under clusters."""
+    whole = traces.filter("whole").join(clusters.select("coin_id", "rep"), "coin_id")
+    return whole.groupBy("trace").agg(F.countDistinct("rep").alias("clusters"), F.count("*").alias("coins"))
+
+
 def origin_summary(cones: DataFrame, roots: DataFrame, robust: DataFrame) -> DataFrame:
     """``seed, coins, origins, robust``."""
     n = lambda df, name: df.groupBy("seed").agg(F.count("*").alias(name))

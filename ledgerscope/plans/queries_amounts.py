@@ -87,17 +87,21 @@ def d7_session_scores(g: Ledger) -> DataFrame:
     return A.session_scores(unit_amounts(g), sessions)
 
 
+def remeets(g: Ledger) -> DataFrame:
+    small = small_amounts(g)
+    return A.remeet_report(small, remeet_groups(small)).drop("tx_seq")
+
+
 @R.ledger()
 def d8_remeet_verdicts(g: Ledger) -> DataFrame:
     """Verdicts of sessions with and without their re-met inputs as one."""
+    return remeets(g)
+
+
+@R.ledger()
+def d8_picked_remeet(g: Ledger) -> DataFrame:
     small = small_amounts(g)
-    groups = remeet_groups(small)
-    values = small.with_inputs().select("tid", "in_pos", "value").join(groups.select("tid").distinct(), "tid", "left_semi")
-    merged = A.merge_inputs(values, groups.withColumn("group", F.col("via"))).groupBy("tid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("ins"))
-    plain = A.amounts(small).join(groups.select("tid").distinct(), "tid", "left_semi")
-    joined = plain.drop("ins").join(merged, "tid")
-    before, after = A.subtx_verdict(plain).select("tid", F.col("kind").alias("kind_before")), A.subtx_verdict(joined).select("tid", F.col("kind").alias("kind_after"))
-    return before.join(after, "tid").withColumn("concluded", F.col("kind_after").isin("unique", "atomic"))
+    return A.pick_remeet(A.remeet_report(small, remeet_groups(small))).drop("tx_seq")
 
 
 @R.ledger()

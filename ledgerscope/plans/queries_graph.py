@@ -53,7 +53,7 @@ def f4_transfer_adjacency(g: Ledger) -> DataFrame:
     return N.transfer_adjacency(g, owner_clusters(g))
 
 
-@R.ledger(f"{_EDGES}, big as (select rep from own group by 1 having count(*) >= 2) select distinct src, dst from ce where src in (select rep from big) and dst in (select rep from big)")
+@R.ledger(f"{_EDGES}, big as (select rep from own group by 1 having count(*) >= 2) select distinct src, dst from ins join (select distinct tid, dst from outs) using (tid) where src <> dst and src in (select rep from big) and dst in (select rep from big)")
 def f5_pseudonym_graph(g: Ledger) -> DataFrame:
     return N.pseudonym_graph(g, owner_clusters(g))
 
@@ -136,10 +136,11 @@ def g6_grant_fusion(g: Ledger) -> DataFrame:
 _KNOWN = """
 legs as (select distinct tid, coin_id, owner from (select tid, coin_id from tx_inputs union all select tid, coin_id from tx_outputs) join coin_truth using (coin_id)),
 sides as (select tid, form, payer as agent from payments union all select tid, form, payee from payments where payee is not null),
-n2 as (select tid from legs group by 1 having count(distinct owner) = 2),
+pt as (select tid, payer as agent from payments where form = 'settlement' union select tid, payee from payments where form = 'settlement' and payee is not null),
+n2 as (select tid from pt group by 1 having count(*) = 2),
 known as (select owner as agent, coin_id, owner from coin_truth
   union select agent, coin_id, owner from sides join legs using (tid) where form in ('unilateral', 'payjoin')
-  union select m.owner, l.coin_id, l.owner from payments p join n2 using (tid) join legs m on m.tid = p.tid join legs l on l.tid = p.tid where form = 'settlement' and l.owner <> m.owner
+  union select m.agent, l.coin_id, l.owner from n2 join pt m using (tid) join pt o using (tid) join legs l on l.tid = n2.tid and l.owner = o.agent where m.agent <> o.agent
   union select payer, coin_id, owner from payments join tx_outputs using (tid) join coin_truth using (coin_id) where form = 'coinjoin' and owner = payee)"""
 
 
@@ -148,6 +149,21 @@ def g7_agent_knowledge(g: Ledger) -> DataFrame:
     return K.agent_knowledge(g, adapter.payments(g))
 
 
+@R.ledger(f"""{_KNOWN}, ad as (select coin_id, first_value(coin_id) over (partition by addr_key order by coin_seq) as rep from coins),
+un as (select agent, rep, min(owner) as owner from known join ad using (coin_id) group by 1, 2 having count(distinct owner) = 1)
+select agent, coin_id, owner, false as direct from un join ad using (rep) where (agent, coin_id) not in (select agent, coin_id from known)""")
+def g7_spread_knowledge(g: Ledger) -> DataFrame:
+    """What agents infer beyond what they know, through clusters of one address."""
+    from ledgerscope.operators.components import cluster_by
+
+    return K.agent_knowledge(g, adapter.payments(g), cluster_by(g.coins, F.col("addr_key"))).filter("not direct")
+
+
+@R.ledger("select distinct agent, tid from (select payer as agent, tid from payments union all select payee, tid from payments union all select owner, tid from payments join tx_inputs using (tid) join coin_truth using (coin_id) where form = 'coinjoin') where agent is not null")
+def g7_known_txs(g: Ledger) -> DataFrame:
+    return K.known_txs(g, adapter.payments(g), adapter.sessions(g))
+
+
 @R.ledger(f"{_KNOWN} select agent, owner, count(*) as coins, count(*) filter (dest is null) as unspent from known join coins using (coin_id) where owner <> agent group by 1, 2")
 def g8_counterparty_tally(g: Ledger) -> DataFrame:
     return K.counterparty_tally(g, K.agent_knowledge(g, adapter.payments(g)))
@@ -191,10 +207,21 @@ def h6_net_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.net_positions(groups, owed)
 
 
-QUERIES["h5_netting_groups"], QUERIES["h6_net_positions"] = h5_netting_groups, h6_net_positions
+def h5_eligible_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of obligations whose parties all care for privacy and whose payers don't batch."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("party"), (F.col("n_regionkey") > 0).alias("private"), (F.length("n_name") > 8).alias("batches"))
+    found = M.netting_groups(adapter.obligations(spark, sf_dir), nations)
+    return found.select("kind", F.array_join("ids", ",").alias("ids"))
+
+
+QUERIES["h5_netting_groups"], QUERIES["h6_net_positions"], QUERIES["h5_eligible_groups"] = h5_netting_groups, h6_net_positions, h5_eligible_groups
 SQL["h5_netting_groups"] = adapter.LEDGER_SQL.rstrip() + f""", {_TWO}
 select 'mutual' as kind, concat_ws(',', i, j) as ids from two where p = q and i < j union all select 'chain', concat_ws(',', i, j) from two where p <> q
 union all select 'cycle', concat_ws(',', i, j, c.id) from two join obligations c on c.payer = q and c.payee = p where p <> q and i < j and i < c.id"""
+SQL["h5_eligible_groups"] = adapter.LEDGER_SQL.rstrip() + f""", el as (select o.* from obligations o join nation p on p.n_nationkey = payer join nation q on q.n_nationkey = payee where p.n_regionkey > 0 and q.n_regionkey > 0 and length(p.n_name) <= 8),
+{_TWO.replace('obligations', 'el')}
+select 'mutual' as kind, concat_ws(',', i, j) as ids from two where p = q and i < j union all select 'chain', concat_ws(',', i, j) from two where p <> q
+union all select 'cycle', concat_ws(',', i, j, c.id) from two join el c on c.payer = q and c.payee = p where p <> q and i < j and i < c.id"""
 SQL["h6_net_positions"] = adapter.LEDGER_SQL.rstrip() + f""", {_TWO}, cy as (select concat_ws(',', i, j, c.id) as "group", unnest([i, j, c.id]) as id from two join obligations c on c.payer = q and c.payee = p where p <> q and i < j and i < c.id)
 select "group", party, sum(net)::bigint as net, sum(gross)::bigint as gross from (select "group", payer as party, -cents as net, cents as gross from cy join obligations using (id) union all select "group", payee, cents, 0 from cy join obligations using (id)) group by 1, 2"""
 

@@ -92,21 +92,29 @@ def epoch_adjacency(g: Ledger, k: int = 2) -> DataFrame:
     return kept(f"epochs{k}", g, lambda: materialize(N.adjacency(g, owner_clusters(g), N.tx_epochs(g, k)), "epoch-adjacency"))
 
 
-@R.ledger()
+@R.ledger(f"""{_ADJ}, ep as (select tid, least(place * 2 // (select count(*) from txs), 1)::int as epoch from (select tid, row_number() over (order by tx_seq) - 1 as place from txs)),
+ea as (select epoch, a, b, count(*)::double as w from (select tid, a, b from adjp union all select tid, b, a from adjp) join ep using (tid) group by 1, 2, 3), nm as (select epoch, a, sum(w * w) as n from ea group by 1, 2),
+dt as (select x.a, y.a as b, x.epoch as e, y.epoch as f, sum(x.w * y.w) as dot from ea x join ea y on x.b = y.b where x.a < y.a and x.epoch <> y.epoch group by 1, 2, 3, 4)
+select dt.a, dt.b, e, f, round(dot / sqrt((p.n - coalesce(u.w * u.w, 0)) * (q.n - coalesce(v.w * v.w, 0))), 9) as score from dt join nm p on p.a = dt.a and p.epoch = e join nm q on q.a = dt.b and q.epoch = f
+ left join ea u on u.epoch = e and u.a = dt.a and u.b = dt.b left join ea v on v.epoch = f and v.a = dt.b and v.b = dt.a""")
 def h8_epoch_pairs(g: Ledger) -> DataFrame:
     none = g.coins.sparkSession.createDataFrame([], "node long, label long")
     return S.epoch_pairs(epoch_adjacency(g), none).withColumn("score", F.round("score", 9))
 
 
+def social(g: Ledger) -> DataFrame:
+    return kept("social", g, lambda: materialize(S.social_matches(epoch_adjacency(g), 0.1), "social"))
+
+
 @R.ledger()
 def h9_social_matches(g: Ledger) -> DataFrame:
-    return S.social_matches(epoch_adjacency(g), 0.1, 3)
+    return social(g)
 
 
 @R.ledger()
 def h10_rejudged_matches(g: Ledger) -> DataFrame:
-    events = S.social_matches(epoch_adjacency(g), 0.1, 1)
-    return S.rejudge(epoch_adjacency(g), materialize(events.filter("kind = 'merge'").select("a", "b"), "active"), 0.1)
+    """What one more pass would split of all that a run has ever merged."""
+    return S.rejudge(epoch_adjacency(g), materialize(social(g).filter("kind = 'merge'").select("a", "b").distinct(), "active"), 0.1)
 
 
 def _mapping(g: Ledger) -> DataFrame:
@@ -115,12 +123,40 @@ def _mapping(g: Ledger) -> DataFrame:
 
 
 def _graphs(g: Ledger) -> tuple[DataFrame, DataFrame]:
-    return N.pseudonym_graph(g, owner_clusters(g)), N.aux_graph(relationships(g))
+    return kept("graphs", g, lambda: (materialize(N.pseudonym_graph(g, owner_clusters(g)), "target"), materialize(N.aux_graph(relationships(g)), "aux")))
+
+
+def _nodes(g: Ledger) -> dict[str, DataFrame]:
+    agents = g.coin_truth.filter("owner is not null").select(F.col("owner").alias("node")).distinct()
+    return {"nodes": N.pseudonyms(owner_clusters(g)).select(F.col("rep").alias("node")), "images": agents}
+
+
+def _sweep(g: Ledger, theta: float = 1.5, exact_order: bool = True) -> DataFrame:
+    return kept(f"sweep {theta} {exact_order}", g, lambda: materialize(P.propagation_sweep(*_graphs(g), _mapping(g), theta, exact_order, **_nodes(g)), "sweep"))
 
 
 _SEEDS = f"{OWNERS}, pu as (select rep as node, min(owner) as image, count(*) as size from own join coin_truth using (coin_id) group by 1 having count(*) >= 2 and count(distinct owner) = 1), sds as (select node, image from pu order by size desc, node limit 8)"
 
 
+#: The threshold of the sweeps: the dense graphs of the tables hold few nodes that stand out far.
+LOOSE = 0.1
+_VOUCH = """select node, cand, round(sum(s), 12) as score from (
+ select t.{b} as node, x.{d} as cand, 1 / sqrt((select count(*) from {aux} y where y.{d} = x.{d})) as s from {target} t join {map} m on m.{k} = t.{a} join {aux} x on x.{c} = m.{v}
+ union all select t.{a}, x.{c}, 1 / sqrt((select count(*) from {aux} y where y.{c} = x.{c})) from {target} t join {map} m on m.{k} = t.{b} join {aux} x on x.{d} = m.{v})
+ where node not in (select {k} from {map}) and cand not in (select {v} from {map}) group by 1, 2"""
+_ENDS = dict(a="src", b="dst", c="src", d="dst", map="sds")
+_BEST = """select node, max(case when i = 1 then cand end) as best, case when {n} < 2 then null when greatest(sum(score * score) / {n} - power(sum(score) / {n}, 2), 0) < 1e-18 then 0
+ else (max(score) - coalesce(max(case when i = 2 then score end), 0)) / sqrt(greatest(sum(score * score) / {n} - power(sum(score) / {n}, 2), 0)) end as ecc
+ from (select *, row_number() over (partition by node order by score desc, cand) as i from {of}) group by 1"""
+_ROUND = f"""tin as (select distinct tid, rep from tx_inputs join own using (coin_id)), tout as (select distinct tid, rep from tx_outputs join own using (coin_id)), big as (select rep as node from own group by 1 having count(*) >= 2),
+tg as (select distinct a.rep as src, b.rep as dst from tin a join tout b using (tid) where a.rep <> b.rep and a.rep in (select node from big) and b.rep in (select node from big)),
+{_REL}, ax as (select distinct payer as src, payee as dst from rel where payer <> payee),
+fs as ({_VOUCH.format(target='tg', aux='ax', k='node', v='image', **_ENDS)}), bs as ({_VOUCH.format(target='ax', aux='tg', k='image', v='node', **_ENDS)}),
+nt as (select (select count(*) from big) - (select count(*) from sds) as t, (select count(distinct owner) from coin_truth where owner is not null) - (select count(*) from sds) as a),
+fb as ({_BEST.format(of='fs', n='(select a from nt)')}), bb as ({_BEST.format(of='bs', n='(select t from nt)')}),
+judged as (select node, fb.best, fb.ecc, bb.best as back, bb.ecc as back_ecc from (select node from big where node not in (select node from sds)) left join fb using (node) left join bb on bb.node = fb.best)"""
+
+
 @R.ledger(f"{_SEEDS} select node, image from sds")
 def h12_pure_seeds(g: Ledger) -> DataFrame:
     return _mapping(g).select("node", "image")
@@ -128,22 +164,36 @@ def h12_pure_seeds(g: Ledger) -> DataFrame:
 
 @R.ledger()
 def h11_propagation_sweep(g: Ledger) -> DataFrame:
-    return P.propagation_sweep(*_graphs(g), _mapping(g)).drop("run")
+    return _sweep(g, LOOSE).drop("run")
+
+
+@R.ledger(f"""{_SEEDS}, {_ROUND} select node, case when best is null then 'no-signal' when not (ecc >= {LOOSE}) then 'below-threshold' when back = node and back_ecc >= {LOOSE} then 'accepted' else 'reverse-mismatch' end as outcome,
+ case when ecc >= {LOOSE} and back = node and back_ecc >= {LOOSE} then best end as mapped from judged""")
+def h11_one_round(g: Ledger) -> DataFrame:
+    """All nodes against the seeds alone."""
+    return _sweep(g, LOOSE, False).drop("run")
 
 
 @R.ledger()
 def h13_graded_mappings(g: Ledger) -> DataFrame:
-    return P.grade_mappings(P.propagation_sweep(*_graphs(g), _mapping(g), 0.5), owner_clusters(g), g.coin_truth).drop("run")
+    return P.grade_mappings(_sweep(g, LOOSE), owner_clusters(g), g.coin_truth).drop("run")
 
 
 @R.ledger()
 def h14_seed_scan(g: Ledger) -> DataFrame:
-    return P.scan_seed_choices(*_graphs(g), owner_clusters(g), g.coin_truth, 0.5)
+    return P.scan_seed_choices(*_graphs(g), owner_clusters(g), g.coin_truth, LOOSE, **_nodes(g))
 
 
 @R.ledger()
 def i18_sweep_report(g: Ledger) -> DataFrame:
-    return P.sweep_report(P.propagation_sweep(*_graphs(g), _mapping(g))).drop("run")
+    rel = relationships(g).select("payer", "payee").distinct()
+    return P.sweep_report(_sweep(g, LOOSE), _mapping(g), owner_clusters(g), rel, N.outsider_edges(relationships(g), 600.0), _nodes(g)["images"]).drop("run")
+
+
+@R.ledger()
+def i18_mapped_edges(g: Ledger) -> DataFrame:
+    known = N.outsider_edges(relationships(g), 600.0).select(F.col("payer").alias("src"), F.col("payee").alias("dst"))
+    return P.mapped_edges(_sweep(g, LOOSE), _mapping(g), known).drop("run")
 
 
 @R.ledger(f"{_FEATURES} select rep, block, arg_max(idx, weight * 1000000 - idx * 0.001) as peak from (select rep, block, idx, round(weight, 6) as weight from feat where block not in ('spends', 'drift')) group by 1, 2")
@@ -177,7 +227,7 @@ def i1_support_chains(g: Ledger) -> DataFrame:
 
 @R.ledger()
 def i2_remove_one_method(g: Ledger) -> DataFrame:
-    return V.remove_one_method(g, adapter.prices(g), V.claim_pairs(g).select("a", "b").distinct(), O.Options(subsum=False))
+    return V.remove_one_method(g, adapter.prices(g), V.claim_pairs(g).select("a", "b").distinct(), O.Options(), K.kyc_grants(g.coin_truth))
 
 
 @R.ledger()
@@ -205,6 +255,12 @@ def i17_claim_pairs(g: Ledger) -> DataFrame:
     return V.claim_pairs(g)
 
 
+@R.ledger()
+def i17_claim_report(g: Ledger) -> DataFrame:
+    found = V.claim_report(g, adapter.prices(g), reading(g), O.Options(), K.kyc_grants(g.coin_truth))
+    return found.withColumn("chain", F.array_join("chain", ","))
+
+
 @R.ledger()
 def i20_analysis_bundle(g: Ledger) -> DataFrame:
     """Grants, clusters with grants as vetoes, attribution, fused base and graded links, as counts."""

@@ -80,6 +80,13 @@ def e5_joint_trace_clusters(g: Ledger) -> DataFrame:
     return T.joint_trace(cones(g), _sets(g), materialize(cioh_clusters(g), "clusters"))
 
 
+@R.ledger(f"""{_JOINT}, {CIOH}, w as (select trace, rep from sets join cone using (seed) join cl using (coin_id) group by 1, 2 having count(distinct seed) = (select n from nn where nn.trace = sets.trace))
+select trace, count(distinct rep) as clusters, count(*) as coins from w join cl using (rep) group by 1""")
+def i12_joint_summary(g: Ledger) -> DataFrame:
+    clusters = materialize(cioh_clusters(g), "clusters")
+    return T.joint_summary(T.joint_trace(cones(g), _sets(g), clusters), clusters)
+
+
 @R.ledger(f"{_FLOW} select distinct producer as trace, flow.coin_id from flow join coins on coins.coin_id = seed")
 def e6_joint_true_flow(g: Ledger) -> DataFrame:
     return _sets(g).join(T.true_flow(g, seeds(g)), "seed").select("trace", "coin_id").distinct()

@@ -1,8 +1,10 @@
 import random
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.components import apply_merges, cluster, components, from_groups, partition_join, partition_meet, ranked, refines, same_partition
+from ledgerscope.operators.provenance import payjoin_detection
 from ledgerscope.plans.observer import Options, cluster_observer
 from tests.ledgers import build, classes, fee, prices
 
@@ -100,3 +102,39 @@ def test_rank_and_merges(spark):
     assert {r["rep"]: r["rank"] for r in got.collect()} == {0: 1, 2: 2, 4: 3}
     fused = apply_merges(got, spark.createDataFrame([(0, 4), (2, 4)], "a long, b long"))
     assert classes(fused) == [[0, 1, 2, 3, 4]]
+
+
+def addressed(g, keys):
+    return replace(g, coins=g.coins.withColumn("addr_key", F.element_at(F.create_map(*(F.lit(x) for pair in keys.items() for x in pair)), F.col("coin_id"))))
+
+
+def detected_by_reading_again(g, price, opts):
+    """I3 by its definition: the observer's clusters with one spend left out, for each spend."""
+    spark, out = g.coins.sparkSession, {}
+    for tid, coins in g.tx_inputs.groupBy("tid").agg(F.collect_list("coin_id")).filter("size(`collect_list(coin_id)`) > 1").collect():
+        rep = {r["coin_id"]: r["rep"] for r in cluster_observer(g, price, opts, excluded=spark.createDataFrame([(tid,)], "tid long")).clusters.collect()}
+        sizes = [sum(r == rep[c] for r in rep.values()) for c in coins]
+        distinct = len({rep[c] for c in coins}) == len(coins)
+        out[tid] = (distinct, min(sizes), distinct and min(sizes) >= 2)
+    return out
+
+
+def test_payjoin_detection_is_the_record_read_again(spark):
+    g = build(spark, {1: 3_000_000, 2: 2_000_000}, [(1, 1, 1, [1, 2], [100_000, 4_871_337]), (2, 1, 1, [102], [2_000_000, 2_000_000, 871_000])])
+    g, price = addressed(g, {1: "a", 201: "a", 2: "b", 102: "b"}), prices(spark, {1: 100_000})
+    got = {r["tid"]: tuple(r)[1:] for r in payjoin_detection(g, cluster_observer(g, price, PLAIN)).collect()}
+    assert got == detected_by_reading_again(g, price, PLAIN) == {1: (False, 6, False)}
+
+    rnd = random.Random(6)
+    free, txs, roots = [1, 2, 3, 4, 5, 6], [], {c: rnd.choice([2_000_000, 3_000_000]) for c in range(1, 7)}
+    values = dict(roots)
+    for tid in range(10, 17):
+        inputs = rnd.sample(free, min(len(free), rnd.randint(1, 3)))
+        total = sum(values[c] for c in inputs) - 1_000
+        outs = [total // 3, total // 3, total - 2 * (total // 3)] if rnd.random() < 0.5 else [100_000, total - 100_000]
+        txs.append((tid, 1, 1, inputs, outs))
+        values |= {100 * tid + k: v for k, v in enumerate(outs, 1)}
+        free = [c for c in free if c not in inputs] + [100 * tid + k for k in range(1, len(outs) + 1)]
+    g = addressed(build(spark, roots, txs), {c: rnd.choice("pqrstuvwxyz") for c in values if rnd.random() < 0.6})
+    got = {r["tid"]: tuple(r)[1:] for r in payjoin_detection(g, cluster_observer(g, price, PLAIN)).collect()}
+    assert got == detected_by_reading_again(g, price, PLAIN) and got
