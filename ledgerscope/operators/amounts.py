@@ -165,11 +165,11 @@ def merge_inputs(inputs: DataFrame, groups: DataFrame) -> DataFrame:
     return merged.select("tid", place.alias("place"), "value", "positions")
 
 
-def session_scores(values: DataFrame, parties: DataFrame) -> DataFrame:
+def session_scores(values: DataFrame, parties: DataFrame, tol: int = TOLERANCE) -> DataFrame:
     """``tid, density, kind, determined`` with a tolerance that grows by the fee a party bears."""
     of = values.join(parties, "tid")
-    density = ambiguity(of, (F.lit(TOLERANCE) + F.ceil(F.col("fee") / F.col("parties"))).cast("long"))
-    return density.join(subtx_verdict(of).select("tid", "kind"), "tid").withColumn("determined", F.col("kind") == "unique")
+    density = ambiguity(of, (F.lit(tol) + F.ceil(F.col("fee") / F.col("parties"))).cast("long"))
+    return density.join(subtx_verdict(of, tol).select("tid", "kind"), "tid").withColumn("determined", F.col("kind") == "unique")
 
 
 def pick_session(scores: DataFrame, order: DataFrame, excluding: int | None = None) -> DataFrame:

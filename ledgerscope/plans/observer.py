@@ -49,6 +49,7 @@ class Reading:
     pay_guess: DataFrame
     change_guess: DataFrame
     drawn: DataFrame
+    verdicts: DataFrame | None
 
 
 def units(ledger: Ledger, verdicts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -157,10 +158,11 @@ def accepted(events: DataFrame) -> DataFrame:
     return materialize(events.join(free.union(replayed), "event"), "accepted")
 
 
-def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(), grants: DataFrame | None = None, excluded: DataFrame | None = None) -> Reading:
+def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(), grants: DataFrame | None = None, excluded: DataFrame | None = None, verdicts: DataFrame | None = None) -> Reading:
     """Read the whole record; ``excluded(tid)`` are transactions that give no evidence of their own.
 
     They stay on record all the same: another session may still point to one that issued its inputs.
+    ``verdicts`` of a reading with the same grants, fingerprints and re-met inputs save the search for them.
     """
     seen = ledger
     out = lambda df: df if excluded is None else df.join(excluded.select("tid"), "tid", "left_anti")
@@ -183,8 +185,7 @@ def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(
         regrouped = materialize(L.remeet_groups(seen, grants, opts.fingerprints), "remeet")
         by = regrouped.groupBy("tid", "via").agg(F.transform(F.array_sort(F.collect_list(F.struct("in_pos", "coin_id"))), lambda x: x["coin_id"]).alias("coins"), F.min("in_pos").alias("first")).join(seq, "tid")
         event(by, "remeet", 1, F.col("first"), via=F.col("via"))
-    verdicts = None
-    if opts.subsum:
+    if opts.subsum and verdicts is None:
         wanted = seen.txs.filter("n_in >= 2 and n_out >= 3").select("tid")
         values = A.amounts(seen).join(wanted, "tid", "left_semi")
         if regrouped is not None and not regrouped.isEmpty():
@@ -200,6 +201,7 @@ def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(
         else:
             verdicts = A.subtx_verdict(values, opts.tolerance)
         verdicts = materialize(verdicts, "verdicts")
+    verdicts = verdicts if opts.subsum else None
     parts, judged = units(seen, verdicts)
     parts = parts.withColumn("unit", F.xxhash64("tid", "part")).withColumn("all", F.when(F.col("kind") == "unique", F.concat("ins", "outs")).otherwise(F.col("ins")))
     parts = materialize(_vetoed(seen, parts, grants, opts.fingerprints), "units")
@@ -249,7 +251,7 @@ def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(
     guess = held.filter("basis = 'residue'").select("tid", F.element_at("coins", 1).alias("coin_id"), F.col("pos").cast("int").alias("part"))
     if reads is None:
         empty = held.limit(0)
-        return Reading(held, clusters, empty, empty, guess.drop("part"), events)
+        return Reading(held, clusters, empty, empty, guess.drop("part"), events, verdicts)
     met = materialize(one_cluster(reads.filter("state = 'contingent'"), events, held), "met")
     reads = reads.join(met, "unit", "left").join(guess.withColumnRenamed("coin_id", "change"), ["tid", "part"], "left")
     linked = (F.col("state") == "linked") | F.coalesce("met", F.lit(False))
@@ -257,7 +259,7 @@ def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(
     why = F.when(~linked, F.when(rest, F.when(F.col("state") == "contingent", "inputs").otherwise(F.col("state"))))
     why = F.when(linked, F.when((F.size("unknowns") == 1) & (F.bit_count("kinds") < opts.bar), "bar").when((F.size("unknowns") == 1) & F.col("change").isNull(), "refuted").when(F.size("unknowns") > 1, "batch")).otherwise(why)
     change_reads = reads.select("tid", F.col("part").alias("part_no"), "payments", F.when(linked, F.col("selfs")).otherwise(F.array().cast("array<long>")).alias("selfs"), "change", F.size("unknowns").alias("unknowns"), why.alias("abstain"))
-    return Reading(held, clusters, change_reads, pay, guess.drop("part"), events)
+    return Reading(held, clusters, change_reads, pay, guess.drop("part"), events, verdicts)
 
 
 def one_cluster(contingent: DataFrame, events: DataFrame, held: DataFrame) -> DataFrame:

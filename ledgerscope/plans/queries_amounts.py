@@ -84,7 +84,7 @@ def d6_merged_inputs(g: Ledger) -> DataFrame:
 @R.ledger()
 def d7_session_scores(g: Ledger) -> DataFrame:
     sessions = unit_amounts(g).join(adapter.sessions(g), "tid", "left_semi").select("tid", F.size("ins").alias("parties"))
-    return A.session_scores(unit_amounts(g), sessions)
+    return A.session_scores(unit_amounts(g), sessions, 0)
 
 
 def remeets(g: Ledger) -> DataFrame:

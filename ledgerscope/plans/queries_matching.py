@@ -42,6 +42,10 @@ def plain_reading(g: Ledger) -> O.Reading:
     return kept("plain reading", g, lambda: O.cluster_observer(g, adapter.prices(g)))
 
 
+def without(g: Ledger) -> dict[str, DataFrame]:
+    return kept("without", g, lambda: V.clusters_without(g, adapter.prices(g), reading(g), O.Options(), K.kyc_grants(g.coin_truth)))
+
+
 _MEDIAN = "med as (select day, feerate as median from (select day, feerate, row_number() over (partition by day order by feerate) - 1 as i, count(*) over (partition by day) as n from txs) where i = n // 2)"
 _AMT = "least(greatest(floor(log2(greatest(value, 1)))::int - 8, 0), 23)"
 _EIGHTH = "least(greatest(floor(greatest(d, 0) * 8 / (top + 1))::int, 0), 7)"
@@ -227,7 +231,7 @@ def i1_support_chains(g: Ledger) -> DataFrame:
 
 @R.ledger()
 def i2_remove_one_method(g: Ledger) -> DataFrame:
-    return V.remove_one_method(g, adapter.prices(g), V.claim_pairs(g).select("a", "b").distinct(), O.Options(), K.kyc_grants(g.coin_truth))
+    return V.remove_one_method(V.claim_pairs(g).select("a", "b").distinct(), without(g))
 
 
 @R.ledger()
@@ -257,18 +261,24 @@ def i17_claim_pairs(g: Ledger) -> DataFrame:
 
 @R.ledger()
 def i17_claim_report(g: Ledger) -> DataFrame:
-    found = V.claim_report(g, adapter.prices(g), reading(g), O.Options(), K.kyc_grants(g.coin_truth))
+    found = V.claim_report(g, reading(g), without(g))
     return found.withColumn("chain", F.array_join("chain", ","))
 
 
 @R.ledger()
 def i20_analysis_bundle(g: Ledger) -> DataFrame:
-    """Grants, clusters with grants as vetoes, attribution, fused base and graded links, as counts."""
-    from ledgerscope.plans.analysis import run_analysis
-
-    out = run_analysis(g, adapter.prices(g), O.Options(), K.kyc_grants(g.coin_truth), reading(g))
-    rows = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in out.items()]
-    total = rows[0]
-    for more in rows[1:]:
-        total = total.unionByName(more)
+    """All frames of the bundle as rows ``name, a, b, what, score``: coins or clusters, and what is said of them."""
+    from ledgerscope.plans.analysis import WANTS, run_analysis
+
+    out = run_analysis(g, adapter.prices(g), O.Options(), K.kyc_grants(g.coin_truth), reading(g), WANTS, 0.1)
+    none = F.lit(None)
+    shaped = {
+        "clusters": ("coin_id", "rep", none, none), "base": ("coin_id", "rep", none, none), "attribution": ("coin_id", "owner", F.when(F.col("direct"), "direct").otherwise("indirect") if "attribution" in out else none, none),
+        "links": ("event", "tid", F.col("reason"), F.col("owners")), "social": ("a", "b", F.col("kind"), F.round("score", 9)), "behaviour": ("a", "b", F.col("round"), F.round("score", 9)),
+    }
+    total = None
+    for name, df in out.items():
+        a, b, what, score = shaped[name]
+        rows = df.select(F.lit(name).alias("name"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), what.cast("string").alias("what"), score.cast("double").alias("score"))
+        total = rows if total is None else total.unionByName(rows)
     return total

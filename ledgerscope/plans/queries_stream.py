@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.links import links_cioh
 from ledgerscope.plans.queries_ledger import MENU, small_amounts
 from ledgerscope.plans.registry import Registry
-from ledgerscope.session import fresh_path
+from ledgerscope.session import fresh_path, materialize
 from ledgerscope.sources.ledger import LOG_SCHEMA, Ledger, digest, ledger_from_log
 from ledgerscope.streaming import jobs as J
 
@@ -41,22 +43,43 @@ def j2_enriched_habits(g: Ledger) -> DataFrame:
     return J.enrich_habits(g, wallets).txs.select("tid", "locktime")
 
 
-@R.ledger("select 'create' as kind, count(*) as n from coins union all select 'spend', count(*) from tx_inputs")
+def arriving(rows: DataFrame, key: str, schema: str, job: Callable[[DataFrame], DataFrame], out_schema: str, backwards: bool = False) -> DataFrame:
+    """What a streaming job makes of rows that arrive in three pieces by ``key``, stopped and started again after each."""
+    spark = rows.sparkSession
+    path, out, checkpoint = (fresh_path(spark, name) for name in ("arriving", "stream-out", "stream-checkpoint"))
+    low, high = rows.approxQuantile(key, [1 / 3, 2 / 3], 0.01)
+    at = F.col(key)
+    pieces = [at < low, (at >= low) & (at < high), at >= high]
+    for piece in reversed(pieces) if backwards else pieces:
+        rows.filter(piece).write.mode("append").parquet(path)
+        J.drained(job(spark.readStream.schema(schema).parquet(path)), out=out, checkpoint=checkpoint)
+    return spark.read.schema(out_schema).parquet(out)
+
+
+_INDEX = """select coin_id, null::bigint as tid, 'create' as kind from coins where producer is null union all select coin_id, producer, 'create' from coins where producer is not null union all select coin_id, tid, 'spend' from tx_inputs"""
+
+
+def _index(g: Ledger, backwards: bool) -> DataFrame:
+    log = materialize(J.log_of(g), "log")
+    found = arriving(log, "log_seq", LOG_SCHEMA, J.stream_ledger, "coin_id long, log_seq long, tid long, kind string, version int", backwards)
+    return J.latest(found).select("coin_id", "tid", "kind")
+
+
+@R.ledger(_INDEX)
 def j3_streamed_index(g: Ledger) -> DataFrame:
-    path = fresh_path(g.coins.sparkSession, "log")
-    J.log_of(g).coalesce(1).write.parquet(path)
-    spark = g.coins.sparkSession
-    found = spark.read.parquet(J.drained(J.stream_ledger(spark.readStream.schema(LOG_SCHEMA).parquet(path))))
-    return found.groupBy("kind").agg(F.count("*").alias("n"))
+    return _index(g, False)
+
+
+@R.ledger(_INDEX)
+def j3_late_index(g: Ledger) -> DataFrame:
+    """The log's last part arrives first: spends come before the creation of their coins."""
+    return _index(g, True)
 
 
 @R.ledger("select addr_key, coin_id from (select addr_key, coin_id, row_number() over (partition by addr_key order by coin_seq) as i from coins) where i = 2")
 def j4_streamed_reuse(g: Ledger) -> DataFrame:
-    spark = g.coins.sparkSession
-    path = fresh_path(spark, "coins")
-    g.coins.select("coin_id", "coin_seq", "addr_key").coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema("coin_id long, coin_seq long, addr_key string").parquet(path)
-    return spark.read.schema("addr_key string, coin_id long").parquet(J.drained(J.stream_reuse(stream)))
+    coins = g.coins.select("coin_id", "coin_seq", "addr_key")
+    return arriving(coins, "coin_seq", "coin_id long, coin_seq long, addr_key string", J.stream_reuse, "addr_key string, coin_id long")
 
 
 def j5_streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
