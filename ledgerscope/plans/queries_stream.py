@@ -11,7 +11,8 @@ from ledgerscope.operators.links import links_cioh
 from ledgerscope.plans.queries_ledger import MENU, small_amounts
 from ledgerscope.plans.registry import Registry
 from ledgerscope.session import fresh_path, materialize
-from ledgerscope.sources.ledger import LOG_SCHEMA, Ledger, digest, ledger_from_log
+from ledgerscope.sources import adapter
+from ledgerscope.sources.ledger import LOG_SCHEMA, Ledger, digest, ledger_from_log, memo_lines, payments_from_log
 from ledgerscope.streaming import jobs as J
 
 R = Registry()
@@ -29,6 +30,16 @@ def a2_replayed_log(g: Ledger) -> DataFrame:
     return ledger_from_log(J.log_of(g)).coins.select("coin_id", "value", "producer", "dest", "in_pos", "entered")
 
 
+@R.ledger("select tid, day, payer, payee, memo, form from payments")
+def a2_replayed_payments(g: Ledger) -> DataFrame:
+    return payments_from_log(J.log_of(g, adapter.payments(g)))
+
+
+@R.ledger("select tid, concat_ws(' ', 'tx', tid, payer, coalesce(payee::varchar, '-'), form, memo) as line from payments")
+def a6_memo_lines(g: Ledger) -> DataFrame:
+    return memo_lines(adapter.payments(g))
+
+
 @R.ledger()
 def a7_digests(g: Ledger) -> DataFrame:
     named = lambda name, df: digest(df).withColumn("name", F.lit(name))

@@ -70,6 +70,11 @@ def ledger_from_log(log: DataFrame) -> Ledger:
     return Ledger(coins, root_truth.unionByName(out_truth), tx_rows, legs_in.withColumn("low_r", F.lit(None).cast("boolean")), outs.select("tid", "out_pos", "coin_id"))
 
 
+def payments_from_log(log: DataFrame) -> DataFrame:
+    """A2: ``tid, day, payer, payee, memo, form`` of the notes of a log."""
+    return log.filter("kind = 'note'").select("note.tid", "day", "note.payer", "note.payee", "note.memo", "note.form")
+
+
 def validate(ledger: Ledger, check_size: bool = True) -> DataFrame:
     """A3: ``rule, tid, coin_id`` of every violated constraint."""
     coins, txs, ins = ledger.coins, ledger.txs, ledger.tx_inputs
@@ -148,6 +153,11 @@ def truth_lines(ledger: Ledger) -> DataFrame:
     return ledger.coin_truth.select("coin_id", F.concat_ws(" ", "coin_id", _dash("owner"), funders, _dash("label"), _dash("kyc")).alias("line"))
 
 
+def memo_lines(payments: DataFrame) -> DataFrame:
+    """``tid, line``: who pays whom and what for, apart from the public record."""
+    return payments.select("tid", F.concat_ws(" ", F.lit("tx"), "tid", _dash("payer"), _dash("payee"), _dash("form"), _dash("memo")).alias("line"))
+
+
 def digest(df: DataFrame) -> DataFrame:
     """A fingerprint of a table that doesn't depend on the order of its rows."""
     h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
