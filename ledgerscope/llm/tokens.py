@@ -59,6 +59,7 @@ class Encoder:
         self.starts, self.lengths = np.zeros((2, 1 << 14), dtype=np.int32)
         self.spaced: dict[str, int] = {}  # pieces behind a space
         self.bare: dict[str, int] = {}  # behind a newline or at the start of a text
+        self.line = self._keep(self.newline, np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)).start
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -107,17 +108,15 @@ class Encoder:
             parts = pc.split_pattern(parts, "\0")
             coded, offsets = parts.flatten().dictionary_encode(), parts.offsets.to_numpy().astype(np.int64)
             names, at, firsts = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(), offsets[:-1] - offsets[0]
-            if "\n" not in self.bare:
-                self.bare["\n"] = self._keep(self.newline, np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)).start
-            used = self._numbers(names[np.unique(at)], self.bare, "\n")[at] if mark == "\n" else np.zeros(len(at), dtype=np.int32)
-            if mark == " ":
-                later = np.ones(len(at), dtype=bool)
-                later[firsts] = False
-                for where, table, char in ((later, self.bare, "\n"), (~later, self.spaced, " ")):
-                    wide = np.zeros(len(names), dtype=np.int32)
-                    mine = np.unique(at[where])
-                    wide[mine] = self._numbers(names[mine], table, char)
-                    used[where] = wide[at[where]]
+            used = np.zeros(len(at), dtype=np.int32)
+            first = np.zeros(len(at), dtype=bool)
+            first[firsts] = True
+            for where, table, char in ((first, known, mark), (~first, self.bare, "\n")):
+                wide = np.full(len(names), self.line, dtype=np.int32)
+                mine = np.unique(at[where])
+                mine = mine[names[mine] != "\n"]
+                wide[mine] = self._numbers(names[mine], table, char)
+                used[where] = wide[at[where]]
             ids, sizes = self._gather(used)
             sizes = np.add.reduceat(sizes, firsts)
             known.update(zip(pieces.to_numpy(zero_copy_only=False).tolist(), self._keep(ids, np.cumsum(sizes) - sizes, sizes)))

@@ -43,12 +43,12 @@ def test_simple8b_round_trip(runs):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab.,'\n \t é1!<|>\x1c　Z-"), max_size=40))
+@given(st.text(alphabet=st.sampled_from("ab.,'\n \t é1!<|>\x1c\u3000Z-sжΩ\u0301_#$\0"), max_size=40))
 def test_encoder_is_the_library(text):
     global ENCODER
     if "ENCODER" not in globals():
         ENCODER = Encoder()
-    texts = ["", text, "a " + text + "b", None, text[::-1]]
+    texts = ["", text, "a " + text + "b", "\n a", None, text[::-1], "é\nb"]
     ids, counts = ENCODER.encode(pa.array(texts), 7)
     assert ids.tolist() == [i for t in texts for i in [*ENCODER.whole([t or ""])[0].tolist(), 7]] and counts.sum() == len(ids)
     assert ENCODER.encode(pa.array(texts))[0].tolist() == [i for t in texts for i in ENCODER.whole([t or ""])[0].tolist()]
