@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 
 END_ID = 0
 #: Text bytes that are encoded in one step.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 #: Distinct pieces and words whose ids a worker remembers; beyond it the memory is emptied and refilled.
-REMEMBERED = 1_600_000
+REMEMBERED = 700_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΈ-ΊΎ-ΡΣ-ώЀ-ҁҊ-ԧ"
 #: No apostrophe: the library reads some letters behind one as a unit.
 _MARKS = "[!-&(-/:-@\\[-`{-~]"
@@ -54,6 +54,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
+        pa.default_memory_pool().release_unused()
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.held = self.known = 0
         self.starts, self.lengths = np.zeros((2, 1 << 14), dtype=np.int32)
