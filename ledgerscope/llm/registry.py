@@ -8,6 +8,7 @@ from ledgerscope.llm.packing import op2_sum_of_squares_packing
 from ledgerscope.llm.pii import op8_offset_preserving_deobfuscation
 from ledgerscope.llm.quality_rules import op6_distribution_divergence
 from ledgerscope.llm.secret_scan import op9_randomness_battery
+from ledgerscope.llm.suffix_dedup import OP11_SQL, op11_difference_cover_dedup
 from ledgerscope.llm.token_files import op10_simple8b_token_files
 from ledgerscope.llm.warc import OP1_SQL, op1_merkle_fixity_audit
 
@@ -24,6 +25,7 @@ QUERIES = {
         op8_offset_preserving_deobfuscation,
         op9_randomness_battery,
         op10_simple8b_token_files,
+        op11_difference_cover_dedup,
     )
 }
-SQL = {"op1_merkle_fixity_audit": OP1_SQL, "op4_size_partitioned_containment": OP4_SQL}
+SQL = {"op1_merkle_fixity_audit": OP1_SQL, "op4_size_partitioned_containment": OP4_SQL, "op11_difference_cover_dedup": OP11_SQL}
