@@ -9,6 +9,7 @@ from ledgerscope.llm.pii import op8_offset_preserving_deobfuscation
 from ledgerscope.llm.quality_rules import op6_distribution_divergence
 from ledgerscope.llm.secret_scan import op9_randomness_battery
 from ledgerscope.llm.suffix_dedup import OP11_SQL, op11_difference_cover_dedup
+from ledgerscope.llm.token_alignment import op13_perfect_hash_alignment
 from ledgerscope.llm.token_files import op10_simple8b_token_files
 from ledgerscope.llm.warc import OP1_SQL, op1_merkle_fixity_audit
 
@@ -26,6 +27,7 @@ QUERIES = {
         op9_randomness_battery,
         op10_simple8b_token_files,
         op11_difference_cover_dedup,
+        op13_perfect_hash_alignment,
     )
 }
 SQL = {"op1_merkle_fixity_audit": OP1_SQL, "op4_size_partitioned_containment": OP4_SQL, "op11_difference_cover_dedup": OP11_SQL}
