@@ -127,6 +127,7 @@ def _by(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 POSTS = "bucket long, vals binary, texts binary, nth binary, counts binary"
 _POSTS = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("vals", "texts", "nth", "counts"))])
+KEPT = "part long, keys binary, vals binary"
 HITS = "key long, vals binary"
 
 
@@ -161,7 +162,7 @@ def _post(buckets: int, length: int) -> Callable:
 
 
 def _keep(buckets: int, hot: int) -> Callable:
-    """Anchors of several texts, by text; under no text those of more than ``hot`` runs."""
+    """Anchors of several texts with these texts, dealt to parts by text; in no part those of more than ``hot`` runs."""
 
     def run(group: pa.Table) -> pa.Table:
         vals, keys, counts = [], [], []
@@ -179,14 +180,28 @@ def _keep(buckets: int, hot: int) -> Callable:
             very = value[first][total > hot]
             there = np.repeat(kept, np.diff(first, append=len(value)))
             value, key = value[there], key[there]
-        order, first = _by(key)
-        rows = [(int(key[d[0]]), _packed(np.unique(value[d]))) for d in np.split(order, first[1:])] if len(key) else []
-        rows += [(None, _packed(very[i : i + 1])) for i in range(len(very))]
-        return pa.table({"key": pa.array([r[0] for r in rows], pa.int64()), "vals": pa.array([r[1] for r in rows], pa.binary())})
+        order, first = _by((mix(key.astype(_U)) % _U(buckets)).astype(np.int64))
+        rows = [(int(mix(key[d[:1]].astype(_U))[0] % _U(buckets)), key[d].astype("<i8").tobytes(), _packed(value[d])) for d in np.split(order, first[1:])] if len(key) else []
+        rows += [(None, b"", _packed(very))] if len(very) else []
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "vals": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
 
 
+def _by_text(group: pa.Table) -> pa.Table:
+    """Kept anchors of one part, a row for each text."""
+    key = np.concatenate([np.frombuffer(x.as_py(), dtype="<i8") for x in group.column("keys")])
+    value = np.concatenate([_unpacked(x.as_py()) for x in group.column("vals")])
+    order, first = _by(key)
+    return pa.table({"key": pa.array(key[order][first]), "vals": pa.array([_packed(value[d]) for d in np.split(order, first[1:])], pa.binary())})
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for vals in batch.column("vals"):
+            yield pa.RecordBatch.from_arrays([pa.array(_unpacked(vals.as_py()).astype(np.int64))], names=["anchor"])
+
+
 RUNS = "bucket long, anchor long, rank long, key long, start long, size long, bytes binary"
 _RUNS = pa.schema([("bucket", pa.int64()), ("anchor", pa.int64()), ("rank", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("bytes", pa.binary())])
 
@@ -219,8 +234,7 @@ def _send(buckets: int, length: int) -> Callable:
                 buf, ends = _bytes_of(part.column("text"))
                 start, size, value = anchors(buf, ends, length)
                 nth = np.searchsorted(ends, start, "right")
-                lists = part.column("vals").to_pylist()
-                kept = [_unpacked(b"".join(x)) for x in lists]
+                kept = [_unpacked(x) for x in part.column("vals").to_pylist()]
                 wanted = np.concatenate([np.zeros(0, dtype=_U), *kept]) | (np.repeat(np.arange(len(kept), dtype=_U), [len(x) for x in kept]) << _U(8 * _KEPT_BYTES))
                 mine = np.isin(value | (nth.astype(_U) << _U(8 * _KEPT_BYTES)), wanted)
                 start, size, value, nth = start[mine], size[mine], value[mine], nth[mine]
@@ -426,15 +440,14 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, hot: int = HOT, ancho
     n_anchor, n_bucket = max(total // anchor_bytes, parallel) + 1, max(total // bucket_bytes, 4 * parallel) + 1
     long_enough = F.octet_length("text") >= length
     posts = docs.filter(long_enough).select("key", "text").mapInArrow(_post(n_anchor, length), POSTS)
-    hits = materialize(posts.groupBy("bucket").applyInArrow(_keep(n_anchor, hot), HITS), "anchors")
+    hits = materialize(posts.groupBy("bucket").applyInArrow(_keep(n_anchor, hot), KEPT), "anchors")
     heads = docs.filter(long_enough).groupBy("digest", "key").agg(F.min("rank").alias("first"))
-    wanted = heads.join(hits.filter("key is not null").groupBy("key").agg(F.collect_list("vals").alias("vals")), "key").select("digest", F.col("first").alias("rank"), "vals")
+    wanted = heads.join(hits.filter("part is not null").groupBy("part").applyInArrow(_by_text, HITS), "key").select("digest", F.col("first").alias("rank"), "vals")
     met = docs.join(wanted, ["digest", "rank"]).select("rank", "key", "text", "vals")
     runs = met.mapInArrow(_send(n_bucket, length), RUNS)
-    frequent = hits.filter("key is null")
+    frequent = hits.filter("part is null").select("vals")
     if not frequent.isEmpty():
-        value = F.conv(F.hex(F.reverse(F.col("vals"))), 16, 10).cast("long")
-        frequent = materialize(frequent.select(value.alias("anchor"), F.lit(True).alias("hot")).distinct(), "frequent")
+        frequent = materialize(frequent.mapInArrow(_frequent, "anchor long").distinct().withColumn("hot", F.lit(True)), "frequent")
         runs = runs.join(small(frequent), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
         runs = runs.select("bucket", "anchor", "rank", "key", "start", "size", "bytes", "hot").mapInArrow(_alone(n_bucket, length), RUNS)
     found = runs.select("bucket", "rank", "key", "start", "size", "bytes").groupBy("bucket").applyInArrow(_sort(length), FOUND)
