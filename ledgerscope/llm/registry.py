@@ -1,5 +1,6 @@
 """The queries of this package by name, and the SQL of those that SQL can express."""
 
+from ledgerscope.llm.conversation_repair import OP12_SQL, op12_auction_repair
 from ledgerscope.llm.cotrain import op3_cotraining_quality
 from ledgerscope.llm.decontaminate import OP4_SQL, op4_size_partitioned_containment
 from ledgerscope.llm.lang_id import op5_partial_matching
@@ -27,7 +28,8 @@ QUERIES = {
         op9_randomness_battery,
         op10_simple8b_token_files,
         op11_difference_cover_dedup,
+        op12_auction_repair,
         op13_perfect_hash_alignment,
     )
 }
-SQL = {"op1_merkle_fixity_audit": OP1_SQL, "op4_size_partitioned_containment": OP4_SQL, "op11_difference_cover_dedup": OP11_SQL}
+SQL = {"op1_merkle_fixity_audit": OP1_SQL, "op4_size_partitioned_containment": OP4_SQL, "op11_difference_cover_dedup": OP11_SQL, "op12_auction_repair": OP12_SQL}
