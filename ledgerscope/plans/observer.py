@@ -2,22 +2,22 @@
 
 Most links don't depend on others. A change link of a transaction whose inputs no own link joins
 holds only if earlier links have joined them; and a radix link counts only if it joins something
-new. Both depend on nothing outside the component that all possible links make together, so these
-components, and only those with such a link, are replayed in record order, each in one group.
+new. Links are numbered in record order, and the spanning forest of all that hold says which of them
+first joins two coins; so both kinds are judged by joins, whatever the size of a component.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import exprs as X
 from ledgerscope.operators import amounts as A
 from ledgerscope.operators import links as L
-from ledgerscope.operators.components import components, ranked
+from ledgerscope.operators.components import ranked
+from ledgerscope.operators.joined import joined_at, settled
 from ledgerscope.session import materialize
 from ledgerscope.sources.ledger import Ledger
 
@@ -103,59 +103,32 @@ def identify_payments(ledger: Ledger, prices: DataFrame, parts: DataFrame, grant
     return outs.select("unit", "coin_id", role.alias("role"), F.when(role == "payment", kinds).otherwise(F.lit(0)).alias("kinds"))
 
 
-class Joined:
-    """Coins joined so far."""
+#: Places of change links: the part, radix links before others, the output.
+_PART, _OTHER = 32, 31
 
-    def __init__(self):
-        self.parent: dict = {}
 
-    def root(self, coin: int) -> int:
-        parent = self.parent
-        while (up := parent.get(coin, coin)) != coin:
-            parent[coin] = parent.get(up, up)
-            coin = parent[coin]
-        return coin
+def numbered(events: DataFrame) -> DataFrame:
+    """Events with ``event``: numbers in record order, ties in the order of their coins; the numbers have gaps."""
+    order = ["seq", "stage", "pos", "coins"]
+    return materialize(events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("event", F.monotonically_increasing_id()), "events")
 
-    def roots(self, coins) -> set:
-        return {self.root(c) for c in coins}
 
-    def take(self, coins, requires, new_only: bool) -> bool:
-        """Join the coins of an event if it holds."""
-        if requires is not None and len(self.roots(requires)) > 1:
-            return False
-        roots = self.roots(coins)
-        if new_only and len(roots) == 1:
-            return False
-        low = min(roots)
-        for r in roots:
-            self.parent[r] = low
-        return True
+def accepted(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The links that hold, the asked units whose inputs they join before, and the ways to the top of all coins."""
+    held, ways = settled(events)
+    held = materialize(events.join(held, "event"), "held")
+    # a link that must join something new does so if the forest took it
+    wanted = held.filter("new_only and not ask")
+    stale = joined_at(wanted.select(F.col("event").alias("group"), "coins"), ways).filter("at < group").select(F.col("group").alias("event"))
+    links = materialize(held.filter("not ask").join(stale, "event", "left_anti").drop("ask", "unit"), "accepted")
+    return links, held.filter("ask").select("unit"), ways
 
 
-ORDER = ["seq", "stage", "pos", "event"]
-
-
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Accepted events of one component in record order."""
-    joined = Joined()
-    kept = [row.event for row in pdf.sort_values(ORDER).itertuples() if joined.take(row.coins, row.requires, row.new_only)]
-    return pd.DataFrame({"event": pd.Series(kept, dtype="int64")})
-
-
-def within_components(events: DataFrame) -> DataFrame:
-    """Events with the ``label`` of the component that all of them would make."""
-    pairs = events.select(F.element_at("coins", 1).alias("a"), F.explode("coins").alias("b"))
-    labels = components(pairs, "a", "b")
-    return events.withColumn("a", F.element_at("coins", 1)).join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")).drop("a")
-
-
-def accepted(events: DataFrame) -> DataFrame:
-    """Events that hold; those of components without a dependent link all do."""
-    placed = materialize(within_components(events), "events")
-    dependent = placed.filter("requires is not null or new_only").select("label").distinct()
-    free = placed.join(dependent, "label", "left_anti").select("event")
-    replayed = placed.join(dependent, "label", "left_semi").select("label", "event", "seq", "stage", "pos", "coins", "requires", "new_only").groupBy("label").applyInPandas(_replay, "event long")
-    return materialize(events.join(free.union(replayed), "event"), "accepted")
+def clusters_of(ledger: Ledger, ways: DataFrame) -> DataFrame:
+    """``coin_id, rep`` of all coins; the first coin of a cluster leads it."""
+    seq = ledger.coins.select("coin_id", "coin_seq").join(ways.select(F.col("node").alias("coin_id"), F.element_at("labels", -1).alias("top")), "coin_id", "left").withColumn("top", F.coalesce("top", "coin_id"))
+    lead = seq.groupBy("top").agg(F.min_by("coin_id", "coin_seq").alias("rep"))
+    return seq.join(lead, "top").select("coin_id", "rep")
 
 
 def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(), grants: DataFrame | None = None, excluded: DataFrame | None = None, verdicts: DataFrame | None = None) -> Reading:
@@ -170,11 +143,11 @@ def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(
     none = F.lit(None)
     found: list[DataFrame] = []
 
-    def event(df: DataFrame, method: str, stage: int, pos: Column | int, basis: Column | None = None, via: Column | None = None, requires: Column | None = None, new_only: Column | bool = False, seq_col: str = "tx_seq", tid: str | None = "tid") -> None:
+    def event(df: DataFrame, method: str, stage: int, pos: Column | int, basis: Column | None = None, via: Column | None = None, requires: Column | None = None, new_only: Column | bool = False, tid: str | None = "tid", ask: bool = False) -> None:
         lit = lambda v: F.lit(v) if isinstance(v, (int, bool)) else v
         found.append(df.select(
-            F.col(seq_col).cast("long").alias("seq") if tid else F.lit(-1).cast("long").alias("seq"), F.lit(stage).alias("stage"), lit(pos).cast("long").alias("pos"), (F.col(tid) if tid else none).cast("long").alias("tid"), F.lit(method).alias("method"),
-            (none if basis is None else basis).cast("string").alias("basis"), (none if via is None else via).cast("long").alias("via"), "coins", (none if requires is None else requires).cast("array<long>").alias("requires"), lit(new_only).alias("new_only"),
+            F.col("tx_seq").cast("long").alias("seq") if tid else F.lit(-1).cast("long").alias("seq"), F.lit(stage).alias("stage"), lit(pos).cast("long").alias("pos"), (F.col(tid) if tid else none).cast("long").alias("tid"), F.lit(method).alias("method"),
+            (none if basis is None else basis).cast("string").alias("basis"), (none if via is None else via).cast("long").alias("via"), "coins", (none if requires is None else requires).cast("array<long>").alias("requires"), lit(new_only).alias("new_only"), F.lit(ask).alias("ask"), (F.col("unit") if ask else none.cast("long")).alias("unit"),
         ))
 
     if opts.reuse:
@@ -228,31 +201,32 @@ def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(
         read = materialize(parts.join(seen_roles, "unit").withColumns({"state": state, "anchor": F.element_at("ins", 1)}), "reads")
         live = read.filter("state in ('linked', 'contingent')")
         requires = F.when(F.col("state") == "contingent", F.col("ins"))
+        place = seen.tx_outputs.select(F.col("coin_id").alias("coin"), "out_pos")
+        pos = lambda other: F.shiftleft(F.col("part").cast("long"), _PART) + F.lit(other << _OTHER) + F.col("out_pos")
+        event(read.filter("state = 'contingent'").withColumn("coins", F.col("ins")), "ask", 3, -1, requires=F.col("ins"), ask=True)
 
         def change_links(df: DataFrame, coin: str) -> DataFrame:
             rows = df.withColumns({"coins": F.array(F.col(coin), "anchor"), "all": F.concat(F.array(coin), "ins"), "unit": F.xxhash64("unit", coin)})
-            return _vetoed(seen, rows.drop("refuted", "mixed"), grants, False)
+            return _vetoed(seen, rows.drop("refuted", "mixed"), grants, False).join(place, "coin")
 
         selfs = change_links(live.withColumn("coin", F.explode("selfs")), "coin").filter("not refuted")
-        event(selfs, "change", 3, F.col("part"), basis=F.lit("radix"), requires=requires, new_only=True)
+        event(selfs, "change", 3, pos(0), basis=F.lit("radix"), requires=requires, new_only=True)
         single = change_links(live.filter(F.size("unknowns") == 1).withColumn("coin", F.element_at("unknowns", 1)), "coin")
         clear = F.bit_count("kinds") >= opts.bar
-        event(single.filter(clear & ~F.col("refuted")), "change", 3, F.col("part"), basis=F.lit("residue"), requires=requires)
+        event(single.filter(clear & ~F.col("refuted")), "change", 3, pos(1), basis=F.lit("residue"), requires=requires)
         reads, pay = out(read), roles.filter("role = 'payment'").join(out(parts.select("unit", "tid")), "unit").select("tid", "coin_id")
     events = found[0]
     for more in found[1:]:
         events = events.unionByName(more)
-    events = materialize(out(events).withColumn("event", F.monotonically_increasing_id()), "events")
-    held = accepted(events)
-    pairs = held.select(F.element_at("coins", 1).alias("a"), F.explode("coins").alias("b"))
-    from ledgerscope.operators.components import cluster
-
-    clusters = ranked(materialize(cluster(ledger.coins, pairs.select(F.col("a").alias("coin_a"), F.col("b").alias("coin_b"))), "clusters"))
-    guess = held.filter("basis = 'residue'").select("tid", F.element_at("coins", 1).alias("coin_id"), F.col("pos").cast("int").alias("part"))
+    events = numbered(out(events))
+    held, joined_units, ways = accepted(events)
+    events = events.filter("not ask").drop("ask", "unit")
+    clusters = ranked(materialize(clusters_of(ledger, ways), "clusters"))
+    guess = held.filter("basis = 'residue'").select("tid", F.element_at("coins", 1).alias("coin_id"), F.shiftright("pos", _PART).cast("int").alias("part"))
     if reads is None:
         empty = held.limit(0)
         return Reading(held, clusters, empty, empty, guess.drop("part"), events, verdicts)
-    met = materialize(one_cluster(reads.filter("state = 'contingent'"), events, held), "met")
+    met = joined_units.withColumn("met", F.lit(True))
     reads = reads.join(met, "unit", "left").join(guess.withColumnRenamed("coin_id", "change"), ["tid", "part"], "left")
     linked = (F.col("state") == "linked") | F.coalesce("met", F.lit(False))
     rest = (F.size("unknowns") > 0) | (F.size("selfs") > 0)
@@ -262,25 +236,6 @@ def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(
     return Reading(held, clusters, change_reads, pay, guess.drop("part"), events, verdicts)
 
 
-def one_cluster(contingent: DataFrame, events: DataFrame, held: DataFrame) -> DataFrame:
-    """C11: ``unit, met``: whether earlier links join the inputs of each contingent unit."""
-    ends = contingent.select(F.col("unit").alias("event"), F.col("tx_seq").alias("seq"), F.lit(3).alias("stage"), F.lit(-1).cast("long").alias("pos"), F.col("ins").alias("coins"), F.col("ins").alias("requires"))
-    rows = held.select("event", "seq", "stage", "pos", "coins", F.lit(None).cast("array<long>").alias("requires")).withColumn("ask", F.lit(False)).unionByName(ends.withColumn("ask", F.lit(True)))
-    placed = within_components(rows)
-    asked = placed.filter("ask").select("label").distinct()
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        joined, out = Joined(), []
-        for row in pdf.sort_values(ORDER).itertuples():
-            if row.ask:
-                out.append((row.event, len(joined.roots(row.coins)) == 1))
-            else:
-                joined.take(row.coins, None, False)
-        return pd.DataFrame(out, columns=["unit", "met"]).astype({"unit": "int64", "met": "bool"})
-
-    return placed.join(asked, "label", "left_semi").select("label", "event", "seq", "stage", "pos", "coins", "ask").groupBy("label").applyInPandas(answer, "unit long, met boolean")
-
-
 def summarise_reads(reads: DataFrame) -> DataFrame:
     """``tid, payments, selfs, changes, abstain``: counts, and the first reason to abstain."""
     return reads.groupBy("tid").agg(F.sum(F.size("payments")).alias("payments"), F.sum(F.size("selfs")).alias("selfs"), F.count("change").alias("changes"), F.min_by("abstain", F.when(F.col("abstain").isNotNull(), F.col("part_no"))).alias("abstain"))
