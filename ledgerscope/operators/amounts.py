@@ -1,7 +1,9 @@
 """Sub-transaction amounts of all transactions at once.
 
-Subsets are bit masks over the places of inputs and outputs. Sums of one side are matched with sums
-of the other by a band join: equal transaction and bucket of the sum, then the exact tolerance.
+Distinct sums are folded, one amount at a time: the sums so far and the same with the amount added,
+without repeats, so many inputs of few values have few sums. Larger sides are taken as two halves.
+Sums of one side are matched with sums of the other by a band join: equal transaction and bucket of
+the sum, then the exact tolerance.
 """
 
 from __future__ import annotations
@@ -14,9 +16,15 @@ from ledgerscope.session import materialize
 from ledgerscope.sources.ledger import Ledger
 
 TOLERANCE = 500
-#: Verdicts are inconclusive beyond this many inputs, beyond this many outputs (the bits of a mask), and
-#: where subsets of inputs times multisets of output values are more than this.
-MAX_INPUTS, MAX_OUTPUTS, MAX_READINGS = 10, 62, 1 << 22
+#: Distinct sums of half a side, and pairs of half sums of the inputs. Beyond that a transaction has no density
+#: (null), and others are judged all the same.
+HALF_SUMS, SUM_PAIRS = 1 << 17, 1 << 26
+#: Places of a transaction whose subsets are listed with their masks; beyond that it has one row of nulls.
+MASKED = 30
+#: Verdicts are inconclusive beyond this many inputs, beyond this many readings of half of the output values
+#: or of these times subsets of inputs, and where this many pairs of subsets are to be expected in balance.
+MAX_INPUTS, MAX_HALF, MAX_MET, MAX_BALANCED = 10, 1 << 20, 1 << 24, 1 << 22
+PARTS = "array<struct<i: int, o: array<int>>>"
 
 
 def amounts(ledger: Ledger) -> DataFrame:
@@ -28,16 +36,26 @@ def amounts(ledger: Ledger) -> DataFrame:
 
 
 def subset_sums(values: DataFrame, column: str, max_degree: int | None = None) -> DataFrame:
-    """``tid, mask, total`` of nonempty subsets of an array column, of ``max_degree`` elements at most."""
+    """``tid, mask, total`` of nonempty subsets of an array column, of ``max_degree`` elements at most.
+
+    All subsets are listed of ``MASKED`` elements at most; a larger transaction has one row without mask and
+    total. Bounded subsets of more than 63 elements have no mask.
+    """
     if max_degree is None:
-        masks = values.filter(F.size(column) > 0).select("tid", column, F.explode(F.expr(f"sequence(1L, shiftleft(1L, size({column})) - 1)")).alias("mask"))
-        return masks.select("tid", "mask", _masked(column).alias("total"))
+        n = F.size(column)
+        # high and low bits apart: no array is longer than 2^15
+        bits = lambda k: F.explode(F.expr(f"sequence(0L, shiftleft(1L, {k}) - 1)"))
+        some = values.filter((n > 0) & (n <= MASKED)).select("tid", column, bits(f"greatest(size({column}) - 15, 0)").alias("high"))
+        masks = some.select("tid", column, "high", bits(f"least(size({column}), 15)").alias("low")).select("tid", column, F.shiftleft("high", 15).bitwiseOR(F.col("low")).alias("mask")).filter("mask > 0")
+        none = F.lit(None).cast("long")
+        return masks.select("tid", "mask", _masked(column).alias("total")).union(values.filter(n > MASKED).select("tid", none, none))
     # a subset of one element more takes an element behind its last
-    level = values.select("tid", F.col(column).alias("all"), F.posexplode(column).alias("last", "total")).withColumn("mask", F.expr("shiftleft(1L, last)"))
+    one = "if(size(all) <= 63, shiftleft(1L, last), null)"
+    level = values.select("tid", F.col(column).alias("all"), F.posexplode(column).alias("last", "total")).withColumn("mask", F.expr(one))
     out = level
     for _ in range(max_degree - 1):
         level = level.filter("last + 1 < size(all)").withColumn("last", F.explode(F.expr("sequence(last + 1, size(all) - 1)")))
-        level = level.withColumns({"total": F.col("total") + F.expr("all[last]"), "mask": F.col("mask").bitwiseOR(F.expr("shiftleft(1L, last)"))})
+        level = level.withColumns({"total": F.col("total") + F.expr("all[last]"), "mask": F.col("mask").bitwiseOR(F.expr(one))})
         out = out.unionByName(level)
     return out.select("tid", "mask", "total")
 
@@ -46,28 +64,47 @@ def _masked(column: str) -> Column:
     return F.expr(f"aggregate(transform({column}, (v, i) -> if(shiftright(mask, i) & 1 = 1, v, 0L)), 0L, (a, x) -> a + x)")
 
 
+def folded_sums(amounts: Column) -> Column:
+    """The distinct sums of subsets, the empty one's 0 first; null beyond ``HALF_SUMS``."""
+    more = lambda sums, v: F.array_distinct(F.concat(sums, F.transform(sums, lambda x: x + v)))
+    held = F.aggregate(amounts, F.array(F.lit(0).cast("long")), lambda sums, v: F.when(F.size(sums) <= HALF_SUMS, more(sums, v)))
+    return F.when(F.size(held) <= HALF_SUMS, held)
+
+
+def halves(values: DataFrame, column: str) -> DataFrame:
+    """Add ``x`` and ``y``: the distinct sums of the first half of an array column and of the rest."""
+    half = F.expr(f"cast(size({column}) / 2 as int)")
+    return values.withColumns({"x": folded_sums(F.slice(column, F.lit(1), half)), "y": folded_sums(F.slice(column, half + 1, F.size(column)))})
+
+
+def distinct_sums(values: DataFrame, column: str) -> DataFrame:
+    """``tid, total``: the distinct sums of nonempty subsets of positive amounts; one null row where they are too many."""
+    both = halves(values.select("tid", column), column)
+    fits = F.coalesce(F.size("x").cast("long") * F.size("y") <= SUM_PAIRS, F.lit(False))
+    rows = both.filter(fits).select("tid", "y", F.explode("x").alias("a")).select("tid", F.explode(F.transform("y", lambda b: b + F.col("a"))).alias("total"))
+    return rows.filter("total > 0").distinct().union(both.filter(~fits).select("tid", F.lit(None).cast("long")))
+
+
 def ambiguity(values: DataFrame, tol: int | Column = TOLERANCE) -> DataFrame:
-    """D3: ``tid, density``: the share of distinct input sums within ``tol`` of an output sum.
+    """D3: ``tid, density``: the share of distinct input sums within ``tol`` of an output sum; null where the sums of a side are too many.
 
     Sums of the outputs are those of their first half plus those of the rest, matched by a band join:
     ``tol`` is constant in a transaction, so two buckets of 2 tol + 1 cover a band. Amounts are positive.
     """
     values = values.withColumn("tol", F.lit(tol) if isinstance(tol, int) else tol)
-    sums = subset_sums(values, "ins").select("tid", "total").distinct()
-    n = sums.groupBy("tid").agg(F.count("*").alias("n"))
-    half = F.expr("cast(size(outs) / 2 as int)")
-
-    def half_sums(part: Column, name: str) -> DataFrame:
-        masks = values.withColumn("part", part).select("tid", "tol", "part", F.explode(F.expr("sequence(0L, shiftleft(1L, size(part)) - 1)")).alias("mask"))
-        return masks.select("tid", "tol", _masked("part").alias(name)).distinct()
-
-    first, rest = half_sums(F.slice("outs", F.lit(1), half), "x"), half_sums(F.slice("outs", half + 1, F.size("outs")), "y")
+    sums = distinct_sums(values, "ins")
+    n = sums.groupBy("tid").agg(F.count("*").alias("n"), F.count("total").alias("there"))
+    outs = halves(values.select("tid", "tol", "outs"), "outs")
+    over = outs.filter("x is null or y is null").select("tid", F.lit(True).alias("over"))
+    first, rest = outs.select("tid", "tol", F.explode("x").alias("x")), outs.select("tid", "tol", F.explode("y").alias("y"))
     width = 2 * F.col("tol") + 1
-    wanted = sums.join(first, "tid").withColumn("want", F.col("total") - F.col("x")).filter("want >= -tol")
+    wanted = sums.filter("total is not null").join(first, "tid").withColumn("want", F.col("total") - F.col("x")).filter("want >= -tol")
     low = F.floor((F.col("want") - F.col("tol")) / width)
     near = wanted.withColumn("bucket", F.explode(F.array(low, low + 1))).join(rest.withColumn("bucket", F.floor(F.col("y") / width)).drop("tol"), ["tid", "bucket"])
     near = near.filter((F.abs(F.col("y") - F.col("want")) <= F.col("tol")) & (F.col("x") + F.col("y") > 0)).select("tid", "total").distinct().groupBy("tid").agg(F.count("*").alias("k"))
-    return values.select("tid").join(n, "tid", "left").join(near, "tid", "left").select("tid", F.coalesce(F.col("k") / F.col("n"), F.lit(0.0)).alias("density"))
+    judged = values.select("tid").join(n, "tid", "left").join(near, "tid", "left").join(over, "tid", "left")
+    lost = F.coalesce("over", F.lit(False)) | F.coalesce(F.col("there") < F.col("n"), F.lit(False))
+    return judged.select("tid", F.when(~lost, F.coalesce(F.col("k") / F.col("n"), F.lit(0.0))).alias("density"))
 
 
 def _within(part: str, whole: str) -> str:
@@ -82,15 +119,25 @@ def balanced(values: DataFrame, tol: int = TOLERANCE) -> DataFrame:
     """
     width = F.col("fee") + 2 * tol + 1
     ins = subset_sums(values, "ins").join(values.select("tid", "fee"), "tid").select("tid", F.col("mask").cast("int").alias("i"), "total", "fee", width.alias("width"))
-    radix = F.expr("transform(counts, (c, k) -> aggregate(slice(counts, 1, k), 1L, (a, x) -> a * (x + 1)))")
-    outs = values.select("tid", "fee", "kinds", "counts", radix.alias("radix"), F.explode(F.expr("sequence(1L, aggregate(counts, 1L, (a, x) -> a * (x + 1)) - 1)")).alias("code"))
-    outs = outs.withColumn("o", F.expr("transform(counts, (c, k) -> cast((code div radix[k]) % (c + 1) as int))"))
-    outs = outs.select("tid", "o", F.expr("aggregate(zip_with(o, kinds, (x, v) -> x * v), 0L, (a, x) -> a + x)").alias("other"), width.alias("width"))
-    low = F.floor((F.col("total") - F.col("fee") - tol) / F.col("width"))
-    spread = ins.withColumn("bucket", F.explode(F.array(low, low + 1))).drop("width")
-    dealt = outs.withColumn("bucket", F.floor(F.col("other") / F.col("width"))).drop("width")
-    gap = F.col("total") - F.col("other")
-    return spread.join(dealt, ["tid", "bucket"]).filter((gap >= -tol) & (gap <= F.col("fee") + tol)).select("tid", "i", "o")
+    half = "cast(size(kinds) / 2 as int)"
+
+    def readings(start: str, length: str, code: str, other: str) -> DataFrame:
+        """How often each of some output values is taken, and what that makes."""
+        part = values.select("tid", F.expr(f"slice(kinds, {start}, {length})").alias("v"), F.expr(f"slice(counts, {start}, {length})").alias("c"))
+        radix = F.expr("transform(c, (x, k) -> aggregate(slice(c, 1, k), 1L, (a, x) -> a * (x + 1)))")
+        part = part.select("tid", "v", "c", radix.alias("radix"), F.explode(F.expr("sequence(0L, aggregate(c, 1L, (a, x) -> a * (x + 1)) - 1)")).alias("n"))
+        part = part.withColumn(code, F.expr("transform(c, (x, k) -> cast((n div radix[k]) % (x + 1) as int))"))
+        return part.select("tid", code, F.expr(f"aggregate(zip_with({code}, v, (x, v) -> x * v), 0L, (a, x) -> a + x)").alias(other))
+
+    first, rest = readings("1", half, "o1", "x"), readings(f"{half} + 1", "size(kinds)", "o2", "y")
+    # what the rest has to make: between total - x - fee - tol and total - x + tol
+    wanted = ins.join(first, "tid").withColumn("want", F.col("total") - F.col("x")).filter(F.col("want") >= -tol)
+    low = F.floor((F.col("want") - F.col("fee") - tol) / F.col("width"))
+    spread = wanted.withColumn("bucket", F.explode(F.array(low, low + 1)))
+    dealt = rest.join(values.select("tid", width.alias("w")), "tid").withColumn("bucket", F.floor(F.col("y") / F.col("w"))).drop("w")
+    gap = F.col("want") - F.col("y")
+    met = spread.join(dealt, ["tid", "bucket"]).filter((gap >= -tol) & (gap <= F.col("fee") + tol) & (F.col("x") + F.col("y") > 0))
+    return met.select("tid", "i", F.concat("o1", "o2").alias("o"))
 
 
 def minimal_parts(pairs: DataFrame) -> DataFrame:
@@ -103,28 +150,31 @@ def minimal_parts(pairs: DataFrame) -> DataFrame:
 
 
 def subtx_verdict(values: DataFrame, tol: int = TOLERANCE) -> DataFrame:
-    """``tid, kind, parts``; parts are pairs of masks, given where the partition is unique.
+    """``tid, kind, parts``; parts are masks of inputs and places of outputs, given where the partition is unique.
 
     Exact covers of all inputs and outputs by minimal parts, counted up to two: each round takes the
     part that holds the lowest free input. A part that takes some but not all outputs of a value could
-    take others of them, so it counts twice. Transactions beyond ``MAX_INPUTS``, ``MAX_OUTPUTS`` or
-    ``MAX_READINGS`` are inconclusive.
+    take others of them, so it counts twice. Transactions beyond ``MAX_INPUTS``, ``MAX_HALF``, ``MAX_MET`` or
+    ``MAX_BALANCED`` are inconclusive.
     """
     sized = values.withColumn("n", F.size("ins")).withColumn("m", F.size("outs"))
     trivial = sized.filter("n < 2 or m < 2").select("tid", F.lit("atomic").alias("kind"))
     sized = sized.filter("n >= 2 and m >= 2").withColumn("kinds", F.array_sort(F.array_distinct("outs"))).withColumn("counts", F.expr("transform(kinds, v -> size(filter(outs, x -> x = v)))"))
-    sized = sized.withColumn("readings", F.expr("pow(2D, n) * aggregate(counts, 1D, (a, x) -> a * (x + 1))"))
-    fits = f"n <= {MAX_INPUTS} and m <= {MAX_OUTPUTS} and readings <= {MAX_READINGS}"
+    of = lambda part: f"aggregate({part}, 1D, (a, x) -> a * (x + 1))"
+    half = "cast(size(kinds) / 2 as int)"
+    sized = sized.withColumns({"r1": F.expr(of(f"slice(counts, 1, {half})")), "r2": F.expr(of(f"slice(counts, {half} + 1, size(counts))")), "all": F.expr("aggregate(outs, 1D, (a, x) -> a + x)")})
+    sized = sized.withColumn("expected", F.expr(f"pow(2D, n) * r1 * r2 * least(1D, (fee + 2 * {tol} + 1) / all)"))
+    fits = f"n <= {MAX_INPUTS} and r2 <= {MAX_HALF} and pow(2D, n) * r1 <= {MAX_MET} and expected <= {MAX_BALANCED}"
     large = sized.filter(f"not ({fits})").select("tid", F.lit("inconclusive").alias("kind"))
-    fit = sized.filter(fits).withColumn("places", F.expr("transform(kinds, v -> aggregate(transform(outs, (x, k) -> if(x = v, shiftleft(1L, k), 0L)), 0L, (a, x) -> a | x))"))
+    fit = sized.filter(fits).withColumn("places", F.expr("transform(kinds, v -> filter(transform(outs, (x, k) -> if(x = v, k, null)), k -> k is not null))"))
     fit = materialize(fit, "amounts")
     # the whole is no part of two, and parts are found within what balances
     whole = fit.select("tid", F.expr("cast(shiftleft(1, n) - 1 as int)").alias("all_i"), F.col("counts").alias("all_o"), "places")
     parts = minimal_parts(materialize(balanced(fit, tol), "balanced")).join(whole, "tid").filter("i <> all_i and o <> all_o")
     several = F.expr("if(forall(zip_with(o, all_o, (x, c) -> x = 0 or x = c), z -> z), 1, 2)")
-    mask = F.expr("aggregate(zip_with(o, places, (x, p) -> if(x > 0, p, 0L)), 0L, (a, x) -> a | x)")
+    mask = F.expr("array_sort(flatten(zip_with(o, places, (x, p) -> if(x > 0, p, slice(p, 1, 0)))))")
     parts = materialize(parts.select("tid", "i", "o", several.alias("several"), mask.alias("mask")), "parts")
-    empty = "cast(array() as array<struct<i: int, o: bigint>>)"
+    empty = f"cast(array() as {PARTS})"
     state = whole.select("tid", F.col("all_i").alias("free_i"), F.col("all_o").alias("free_o"), F.lit(1).alias("ways"), F.expr(empty).alias("parts"))
     done = None
     for _ in range(MAX_INPUTS):
@@ -142,7 +192,7 @@ def subtx_verdict(values: DataFrame, tol: int = TOLERANCE) -> DataFrame:
     found = done.groupBy("tid").agg(F.sum("ways").alias("ways"), F.min("parts").alias("parts"))
     kind = F.when(F.col("ways").isNull(), "atomic").when(F.col("ways") == 1, "unique").otherwise("ambiguous")
     judged = fit.select("tid").join(found, "tid", "left").select("tid", kind.alias("kind"), F.when(F.col("ways") == 1, F.col("parts")).alias("parts"))
-    none = F.lit(None).cast("array<struct<i: int, o: bigint>>")
+    none = F.lit(None).cast(PARTS)
     return judged.unionByName(trivial.withColumn("parts", none)).unionByName(large.withColumn("parts", none))
 
 
@@ -208,7 +258,7 @@ def strands(ledger: Ledger, verdicts: DataFrame) -> DataFrame:
     """``tid, in_pos, out_pos, certain, small``: ways from inputs to outputs, by part where parts are unique."""
     txs = ledger.txs.select("tid", "n_in", "n_out").join(verdicts, "tid", "left")
     pairs = ledger.tx_inputs.select("tid", "in_pos").join(ledger.tx_outputs.select("tid", "out_pos"), "tid").join(txs, "tid")
-    same = F.expr("exists(filter(parts, p -> shiftright(p.i, in_pos) & 1 = 1), p -> shiftright(p.o, out_pos - 1) & 1 = 1)")
+    same = F.expr("exists(filter(parts, p -> shiftright(p.i, in_pos) & 1 = 1), p -> array_contains(p.o, out_pos - 1))")
     kept = pairs.filter(F.col("parts").isNull() | same)
     certain = F.col("parts").isNotNull() | ((F.col("n_in") == 1) & (F.col("n_out") == 1))
     return kept.select("tid", "in_pos", "out_pos", certain.alias("certain"), (F.col("n_in") * F.col("n_out") <= 150).alias("small"))

@@ -65,7 +65,7 @@ def units(ledger: Ledger, verdicts: DataFrame | None) -> tuple[DataFrame, DataFr
     judged = whole.join(verdicts.select("tid", F.col("kind").alias("verdict"), "parts"), "tid", "left").withColumn("kind", F.coalesce("verdict", F.lit("atomic")))
     pick = lambda arr, mask: F.expr(f"filter({arr}, (c, i) -> shiftright({mask}, i) & 1 = 1)")
     parts = judged.filter("kind = 'unique'").select("*", F.posexplode("parts").alias("part", "p")).withColumns({"mi": F.col("p.i"), "mo": F.col("p.o")})
-    parts = parts.withColumns({"ins": pick("ins", "mi"), "outs": pick("outs", "mo")}).drop("p", "mi", "mo")
+    parts = parts.withColumns({"ins": pick("ins", "mi"), "outs": F.expr("filter(outs, (c, i) -> array_contains(mo, i))")}).drop("p", "mi", "mo")
     return parts.unionByName(judged.filter("kind <> 'unique'").withColumn("part", F.lit(0))).drop("verdict", "parts"), judged
 
 

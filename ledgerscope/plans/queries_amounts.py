@@ -63,7 +63,7 @@ def d3_ambiguity(g: Ledger) -> DataFrame:
 @R.ledger()
 def d4_subtx_verdicts(g: Ledger) -> DataFrame:
     found = A.subtx_verdict(unit_amounts(g), 0)
-    return found.select("tid", "kind", F.array_join(F.transform("parts", lambda p: F.concat_ws("/", p["i"], p["o"])), ",").alias("parts"))
+    return found.select("tid", "kind", F.array_join(F.transform("parts", lambda p: F.concat_ws("/", p["i"].cast("string"), F.array_join(p["o"], "+"))), ",").alias("parts"))
 
 
 @R.ledger("""

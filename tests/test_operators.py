@@ -36,7 +36,7 @@ def test_subtransaction_verdicts(spark):
 
 def test_parts_of_a_unique_mapping(spark):
     row = A.subtx_verdict(values(spark, [([10_000_000, 30_000_000, 200_000_000, 500_000_000], [40_000_000, 700_000_000], 0)])).first()
-    assert sorted((p["i"], p["o"]) for p in row["parts"]) == [(0b0011, 0b01), (0b1100, 0b10)]
+    assert sorted((p["i"], p["o"]) for p in row["parts"]) == [(0b0011, [0]), (0b1100, [1])]
 
 
 def test_density(spark):
@@ -50,6 +50,57 @@ def test_density(spark):
     assert got == naive
 
 
+def test_distinct_sums_of_many_amounts(spark):
+    rnd = random.Random(8)
+    sides = [[rnd.choice([3, 7, 50, 1000]) for _ in range(n)] for n in (1, 12, 31, 40, 64)] + [[2**i for i in range(60)], []]
+    got = {}
+    for r in A.distinct_sums(values(spark, [(s, [1], 0) for s in sides]), "ins").collect():
+        got.setdefault(r["tid"], set()).add(r["total"])
+
+    def naive(side):
+        sums = {0}
+        for x in side:
+            sums |= {x + y for y in sums}
+        return sums - {0}
+
+    assert all(got.get(i, set()) == naive(s) for i, s in enumerate(sides) if i != 5)
+    assert got[5] == {None}  # too many: the others are judged all the same
+    rows = [(s, [500, 1003, 57] * k, 0) for s, k in zip(sides[1:5], (1, 2, 12, 20))]
+    density = {r["tid"]: r["density"] for r in A.ambiguity(values(spark, [*rows, (sides[5], [1], 0), ([1, 2], [2**i for i in range(60)], 0)]), 2).collect()}
+    outs = [naive(o) for _, o, _ in rows]
+    assert [density[i] for i in range(4)] == [sum(any(abs(a - b) <= 2 for b in o) for a in naive(s)) / len(naive(s)) for (s, _, _), o in zip(rows, outs)]
+    assert density[4] is None and density[5] is None
+
+
+def test_masks_of_wide_transactions(spark):
+    rows = [(list(range(1, 18)), [1], 0), (list(range(1, 41)), [1], 0), (list(range(1, 71)), [1], 0)]
+    got = {r["tid"]: (r["n"], r["masks"], r["high"]) for r in A.subset_sums(values(spark, rows), "ins").groupBy("tid").agg(F.count("*").alias("n"), F.countDistinct("mask").alias("masks"), F.max("total").alias("high")).collect()}
+    assert got == {0: (2**17 - 1, 2**17 - 1, 153), 1: (1, 0, None), 2: (1, 0, None)}
+    pairs = {r["tid"]: (r["n"], r["masks"], r["high"]) for r in A.subset_sums(values(spark, rows), "ins", 2).groupBy("tid").agg(F.count("*").alias("n"), F.countDistinct("mask").alias("masks"), F.max("total").alias("high")).collect()}
+    assert pairs == {0: (153, 153, 33), 1: (820, 820, 79), 2: (2485, 0, 139)}
+
+
+def test_verdicts_of_ten_inputs_and_twenty_outputs(spark):
+    rnd, rows, want = random.Random(4), [], []
+    for k in (1, 2, 3):
+        # parts of large distinct amounts that balance by themselves alone
+        ins, outs = [], []
+        for part in range(k):
+            mine = [rnd.randint(10**11, 10**12) for _ in range(20 // k)]
+            cuts = sorted(rnd.sample(range(1, sum(mine)), 10 // k - 1))
+            ins += [b - a for a, b in zip([0, *cuts], [*cuts, sum(mine)])]
+            outs += mine
+        rows.append((ins, outs, 0))
+        want.append("atomic" if k == 1 else "unique")
+    outs = [rnd.randint(10**11, 10**12) for _ in range(19)]
+    rows.append(([outs[0] + outs[1], outs[2], sum(outs[3:]), outs[0]], [*outs, outs[0]], 0))
+    want.append("ambiguous")
+    wide = [rnd.randint(1, 3) for _ in range(70)]
+    rows.append(([sum(wide[:30]), sum(wide[30:])], wide, 0))
+    want.append("ambiguous")
+    assert verdicts(spark, rows, 0) == want
+
+
 def test_bounded_sums_at_full_degree(spark):
     v = values(spark, [([1, 2, 3, 4], [1], 0)])
     assert sorted(A.subset_sums(v, "ins", 4).collect()) == sorted(A.subset_sums(v, "ins").collect())
