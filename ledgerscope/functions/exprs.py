@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 USD, BTC, AUX, SCRIPT, ALL = 1, 2, 4, 8, 15
-SCRIPT_TITLES = {"legacy": "legacy (p2pkh)", "compat": "compat (p2sh)", "segwit": "segwit (p2wpkh)", "taproot": "taproot (p2tr)"}
+SCRIPT_TITLES = {"legacy": "P2PKH (legacy)", "compat": "P2SH-wrapped segwit", "segwit": "P2WPKH (segwit v0)", "taproot": "P2TR (segwit v1, taproot)"}
+SCRIPT_LABELS = {"legacy": "P2PKH", "compat": "P2SH", "segwit": "P2WPKH", "taproot": "P2TR"}
 DUST, WHOLE = 330, 100_000_000
 RATE_EDGES = [0.7, 0.85, 0.95, 1.05, 1.2, 1.45, 2.0]
 
@@ -59,13 +60,23 @@ def is_denomination(value: Column) -> Column:
     return value.isin(DENOMINATIONS)
 
 
-def script_title(script: Column) -> Column:
+def _named(script: Column, names: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
-    for name, title in SCRIPT_TITLES.items():
+    for name, title in names.items():
         out = F.when(script == name, F.lit(title)).otherwise(out)
     return out
 
 
+def script_title(script: Column) -> Column:
+    """The type and its family, for first mentions."""
+    return _named(script, SCRIPT_TITLES)
+
+
+def script_label(script: Column) -> Column:
+    """The type as the record shows it."""
+    return _named(script, SCRIPT_LABELS)
+
+
 def format_sats(value: Column) -> Column:
     return F.format_number(value, 0)
 

@@ -185,7 +185,7 @@ def cluster_observer(ledger: Ledger, prices: DataFrame, opts: Options = Options(
         forced = A.forced_pairs(seen, opts.tolerance).join(open_txs, "tid", "left_semi").join(seen.tx_inputs.select("tid", "in_pos", F.col("coin_id").alias("i")), ["tid", "in_pos"]).join(seen.tx_outputs.select("tid", "out_pos", F.col("coin_id").alias("o")), ["tid", "out_pos"])
         forced = forced.withColumns({"coins": F.array("i", "o"), "unit": F.xxhash64("tid", "in_pos", "out_pos")})
         forced = _vetoed(seen, forced.withColumns({"all": F.col("coins"), "ins": F.col("coins")}), grants, False).filter("not refuted").join(seq, "tid")
-        event(forced, "subtx", 2, F.col("in_pos") * 1000 + F.col("out_pos"), basis=F.lit("bound"))
+        event(forced, "subtx", 2, F.shiftleft(F.col("in_pos").cast("long"), _PART) + F.col("out_pos"), basis=F.lit("bound"))
     joined = (F.col("kind") == "atomic") & (F.col("n_in") >= 2) & ~F.col("refuted") & ~F.col("mixed") & F.lit(opts.cioh)
     if opts.cap is not None:
         joined = joined & (F.col("n_in") <= opts.cap)

@@ -282,7 +282,7 @@ def i13_wallet_history(g: Ledger) -> DataFrame:
 
 @R.ledger("""
 n as (select count(*) as n from coins join coin_truth using (coin_id) where dest is null group by owner), o as (select n, row_number() over (order by n) - 1 as i, count(*) over () as k from n)
-select (select min(n) from n) as least, (select n from o where i = k // 2) as median, count(*) as spends, count(*) filter (n_in >= 2) as many from payments join txs using (tid) where form = 'unilateral'""")
+select (select min(n) from n) as least, (select n from o where i = k // 2) as median, count(*) as spends, count(*) filter (n_in >= 2) as many from payments join txs using (tid) where form = 'unilateral' and not starts_with(memo, 'batch')""")
 def i14_wallet_shape(g: Ledger) -> DataFrame:
     return G.wallet_shape(g, adapter.payments(g))
 

@@ -49,7 +49,7 @@ def a5_unspent(g: Ledger) -> DataFrame:
 ins as (select tid, string_agg(coin_id || '/' || low_r, ',' order by in_pos) as ins from tx_inputs group by 1),
 outs as (select t.tid, string_agg(concat_ws('/', c.coin_id, value, addr_key, script), ',' order by t.out_pos) as outs from tx_outputs t join coins c on c.coin_id = t.coin_id group by 1)
 select coin_seq as seq, concat_ws(' ', 'root', entered, concat_ws('/', coin_id, value, addr_key, script)) as line from coins where producer is null
-union all select tx_seq, concat_ws(' ', 'tx', tid, day, fee, coalesce(locktime, '-'), minute, ins, outs) from txs join ins using (tid) join outs using (tid)""")
+union all select tx_seq, concat_ws(' ', 'tx', tid, day, feerate, fee, coalesce(locktime, '-'), minute, ins, outs) from txs join ins using (tid) join outs using (tid)""")
 def a6_public_lines(g: Ledger) -> DataFrame:
     return public_lines(g)
 
@@ -120,9 +120,9 @@ def b10_input_families(g: Ledger) -> DataFrame:
     return families.join(alone, "tid")
 
 
-@R.ledger("select coin_id, case script when 'legacy' then 'legacy (p2pkh)' when 'compat' then 'compat (p2sh)' when 'segwit' then 'segwit (p2wpkh)' else 'taproot (p2tr)' end as title, format('{:,}', value) as sats from coins")
+@R.ledger("select coin_id, case script when 'legacy' then 'P2PKH (legacy)' when 'compat' then 'P2SH-wrapped segwit' when 'segwit' then 'P2WPKH (segwit v0)' else 'P2TR (segwit v1, taproot)' end as title, case script when 'legacy' then 'P2PKH' when 'compat' then 'P2SH' when 'segwit' then 'P2WPKH' else 'P2TR' end as label, format('{:,}', value) as sats from coins")
 def b11_labels(g: Ledger) -> DataFrame:
-    return g.coins.select("coin_id", X.script_title(F.col("script")).alias("title"), X.format_sats(F.col("value")).alias("sats"))
+    return g.coins.select("coin_id", X.script_title(F.col("script")).alias("title"), X.script_label(F.col("script")).alias("label"), X.format_sats(F.col("value")).alias("sats"))
 
 
 @R.ledger("select coin_id, coalesce(day, entered, -1) as coin_day from coins left join txs on producer = tid")

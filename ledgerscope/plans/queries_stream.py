@@ -25,14 +25,33 @@ def _log_stream(g: Ledger) -> DataFrame:
     return g.coins.sparkSession.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@R.ledger("select coin_id, value, producer, dest, in_pos, entered from coins")
+@R.ledger("select coin_id, coin_seq, value, producer, out_pos, dest, in_pos, entered, addr_key, script from coins")
 def a2_replayed_log(g: Ledger) -> DataFrame:
-    return ledger_from_log(J.log_of(g)).coins.select("coin_id", "value", "producer", "dest", "in_pos", "entered")
+    return ledger_from_log(J.log_of(g)).coins.select("coin_id", "coin_seq", "value", "producer", "out_pos", "dest", "in_pos", "entered", "addr_key", "script")
 
 
-@R.ledger("select tid, day, payer, payee, memo, form from payments")
+@R.ledger("select tid, day, feerate, fee, n_in, n_out, locktime, minute from txs")
+def a2_replayed_txs(g: Ledger) -> DataFrame:
+    return ledger_from_log(J.log_of(g)).txs.drop("tx_seq")
+
+
+@R.ledger("select tid, in_pos, coin_id, low_r from tx_inputs")
+def a2_replayed_inputs(g: Ledger) -> DataFrame:
+    return ledger_from_log(J.log_of(g)).tx_inputs
+
+
+@R.ledger("""
+payers as (select tid, string_agg(owner::varchar, ',' order by owner) as paid_by from (select distinct tid, owner from tx_inputs join coin_truth using (coin_id)) group by 1)
+select coin_id, owner, case when producer is not null then coalesce(funder::varchar, paid_by) end as funders, label, kyc from coin_truth join coins using (coin_id) left join payers on tid = producer""")
+def a2_replayed_truth(g: Ledger) -> DataFrame:
+    """Outputs without funders on record are paid by all owners of their transaction's inputs."""
+    return ledger_from_log(J.log_of(g)).coin_truth.withColumn("funders", F.array_join("funders", ","))
+
+
+@R.ledger("select tid, day, payer, payee, memo, form, case when form = 'settlement' then tid || ',' || (tid + 1) end as obligations from payments")
 def a2_replayed_payments(g: Ledger) -> DataFrame:
-    return payments_from_log(J.log_of(g, adapter.payments(g)))
+    owed = F.when(F.col("form") == "settlement", F.array("tid", F.col("tid") + 1))
+    return payments_from_log(J.log_of(g, adapter.payments(g).withColumn("obligations", owed))).withColumn("obligations", F.array_join("obligations", ","))
 
 
 @R.ledger("select tid, concat_ws(' ', 'tx', tid, payer, coalesce(payee::varchar, '-'), form, memo) as line from payments")
@@ -87,6 +106,17 @@ def j3_late_index(g: Ledger) -> DataFrame:
     return _index(g, True)
 
 
+@R.ledger(f"{_INDEX} union all select coin_id, -tid, 'double spend' from tx_inputs where tid % 50 = 0 union all select -tid, -tid, 'unknown input' from txs where tid % 50 = 0")
+def j3_violations(g: Ledger) -> DataFrame:
+    """The log with transactions that spend again what some have spent, and a coin that is on no record."""
+    log = materialize(J.log_of(g), "log")
+    tid = F.col("tx.tid")
+    again = F.col("tx").withField("tid", -tid).withField("inputs", F.concat("tx.inputs", F.array(-tid))).withField("outputs", F.slice("tx.outputs", 1, 0))
+    bad = log.filter("kind = 'tx' and tx.tid % 50 = 0").withColumns({"log_seq": F.col("log_seq") + 50, "tx": again})
+    found = arriving(materialize(log.unionByName(bad), "log"), "log_seq", LOG_SCHEMA, J.stream_ledger, "coin_id long, log_seq long, tid long, kind string, version int")
+    return J.latest(found).select("coin_id", "tid", "kind")
+
+
 @R.ledger("select addr_key, coin_id from (select addr_key, coin_id, row_number() over (partition by addr_key order by coin_seq) as i from coins) where i = 2")
 def j4_streamed_reuse(g: Ledger) -> DataFrame:
     coins = g.coins.select("coin_id", "coin_seq", "addr_key")

@@ -83,7 +83,7 @@ def payments(ledger: Ledger) -> DataFrame:
     first_in = ledger.tx_inputs.filter("in_pos = 0").join(ledger.coin_truth, "coin_id").select("tid", F.col("owner").alias("payer"))
     first_out = ledger.tx_outputs.filter("out_pos = 1").join(ledger.coin_truth, "coin_id").select("tid", F.col("owner").alias("payee"))
     form = F.element_at(F.array(*map(F.lit, ("coinjoin", "payjoin", "settlement", "unilateral", "unilateral"))), (F.col("tid") % 5).cast("int") + 1)
-    memo = F.concat(F.lit("memo"), (F.col("tid") % 3).cast("string"))
+    memo = F.concat(F.when(F.col("tid") % 3 == 0, F.lit("batch")).otherwise(F.lit("memo")), (F.col("tid") % 3).cast("string"))
     return ledger.txs.select("tid", "day").join(first_in, "tid").join(first_out, "tid").select("tid", "day", "payer", F.when(F.col("tid") % 7 != 0, F.col("payee")).alias("payee"), memo.alias("memo"), form.alias("form"))
 
 
@@ -147,7 +147,7 @@ with recursive ords as (
 ), first_out as (
   select tid, owner as payee from tx_outputs join coin_truth using (coin_id) where out_pos = 1
 ), payments as (
-  select tid, day, payer, case when tid % 7 <> 0 then payee end as payee, 'memo' || (tid % 3) as memo, ['coinjoin', 'payjoin', 'settlement', 'unilateral', 'unilateral'][(tid % 5 + 1)::int] as form
+  select tid, day, payer, case when tid % 7 <> 0 then payee end as payee, case when tid % 3 = 0 then 'batch' else 'memo' end || (tid % 3) as memo, ['coinjoin', 'payjoin', 'settlement', 'unilateral', 'unilateral'][(tid % 5 + 1)::int] as form
   from txs join first_in using (tid) join first_out using (tid)
 ), obligations as (
   select c_nationkey * 100 + s_nationkey as id, c_nationkey as payer, s_nationkey as payee, sum(round(l_extendedprice * 100)::bigint)::bigint as cents

@@ -42,37 +42,40 @@ class Ledger:
         return self.tx_inputs.join(self.coins.drop("in_pos", "dest"), "coin_id")
 
 
-LOG_SCHEMA = (
-    "log_seq long, day int, kind string, root struct<coin_id: long, value: long, owner: int, addr_key: string, script: string>, "
-    "tx struct<tid: long, feerate: double, fee: long, inputs: array<long>, outputs: array<struct<owner: int, value: long, label: string, funders: array<int>>>>, "
-    "note struct<tid: long, payer: int, payee: int, memo: string, form: string>"
-)
+#: Events name their coins and the places of these in the record; nothing is derived from numbers of outputs.
+COIN_TYPE = "coin_id: long, coin_seq: long, value: long, owner: int, label: string, kyc: boolean, addr_key: string, script: string"
+ROOT_TYPE = f"struct<{COIN_TYPE}>"
+TX_TYPE = f"struct<tid: long, feerate: double, fee: long, locktime: string, minute: int, inputs: array<long>, low_r: array<boolean>, outputs: array<struct<{COIN_TYPE}, funders: array<int>>>>"
+NOTE_TYPE = "struct<tid: long, payer: int, payee: int, memo: string, form: string, obligations: array<long>>"
+LOG_SCHEMA = f"log_seq long, day int, kind string, root {ROOT_TYPE}, tx {TX_TYPE}, note {NOTE_TYPE}"
 
 
 def ledger_from_log(log: DataFrame) -> Ledger:
     """A2: replay an append-only log of root, tx and note events into tables.
 
-    An output of transaction t at place k (from 1) has the id 100 * t + k.
+    Coins keep the ids and places that the log gives them, whatever the number of outputs; inputs
+    beyond the list of signature habits have none. Roots enter on their event's day.
     """
-    roots = log.filter("kind = 'root'").select("log_seq", "day", "root.*")
+    none = lambda t: F.lit(None).cast(t)
+    roots = log.filter("kind = 'root'").select("day", "root.*")
     txs = log.filter("kind = 'tx'").select("log_seq", "day", "tx.*")
-    legs_in = txs.select("tid", F.posexplode("inputs").alias("in_pos", "coin_id"))
-    outs = txs.select("log_seq", "tid", F.posexplode("outputs").alias("place", "o")).select("log_seq", "tid", (F.col("place") + 1).alias("out_pos"), "o.*").withColumn("coin_id", F.col("tid") * 100 + F.col("out_pos"))
-    made = outs.select("coin_id", (F.col("log_seq") * 100 + F.col("out_pos")).alias("coin_seq"), "value", F.col("tid").alias("producer"), "out_pos", F.lit(None).cast("int").alias("entered"), F.lit(None).cast("string").alias("addr_key"), F.lit(None).cast("string").alias("script"))
-    born = roots.select("coin_id", (F.col("log_seq") * 100).alias("coin_seq"), "value", F.lit(None).cast("long").alias("producer"), F.lit(None).cast("int").alias("out_pos"), F.col("day").alias("entered"), "addr_key", "script")
+    legs_in = txs.select("tid", "low_r", F.posexplode("inputs").alias("in_pos", "coin_id")).select("tid", "in_pos", "coin_id", F.get("low_r", F.col("in_pos")).alias("low_r"))
+    outs = txs.select("tid", F.posexplode("outputs").alias("place", "o")).select("tid", (F.col("place") + 1).alias("out_pos"), "o.*")
+    made = outs.select("coin_id", "coin_seq", "value", F.col("tid").alias("producer"), "out_pos", none("int").alias("entered"), "addr_key", "script")
+    born = roots.select("coin_id", "coin_seq", "value", none("long").alias("producer"), none("int").alias("out_pos"), F.col("day").alias("entered"), "addr_key", "script")
     spent = legs_in.select("coin_id", F.col("tid").alias("dest"), "in_pos")
-    coins = born.unionByName(made).join(spent, "coin_id", "left")
+    coins = born.unionByName(made).join(spent, "coin_id", "left").select(*(c.split()[0] for c in SCHEMAS["coins"].split(", ")))
     owners = roots.select("coin_id", "owner").unionByName(outs.select("coin_id", "owner"))
     paid_by = legs_in.join(owners, "coin_id").groupBy("tid").agg(F.array_sort(F.collect_set("owner")).alias("paid_by"))
-    out_truth = outs.join(paid_by, "tid", "left").select("coin_id", "owner", F.coalesce("funders", "paid_by").alias("funders"), "label", F.lit(None).cast("boolean").alias("kyc"))
-    root_truth = roots.select("coin_id", "owner", F.lit(None).cast("array<int>").alias("funders"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("boolean").alias("kyc"))
-    tx_rows = txs.select("tid", F.col("log_seq").alias("tx_seq"), "day", "feerate", "fee", F.size("inputs").alias("n_in"), F.size("outputs").alias("n_out"), F.lit(None).cast("string").alias("locktime"), F.lit(None).cast("int").alias("minute"))
-    return Ledger(coins, root_truth.unionByName(out_truth), tx_rows, legs_in.withColumn("low_r", F.lit(None).cast("boolean")), outs.select("tid", "out_pos", "coin_id"))
+    out_truth = outs.join(paid_by, "tid", "left").select("coin_id", "owner", F.coalesce("funders", "paid_by").alias("funders"), "label", "kyc")
+    root_truth = roots.select("coin_id", "owner", none("array<int>").alias("funders"), "label", "kyc")
+    tx_rows = txs.select("tid", F.col("log_seq").alias("tx_seq"), "day", "feerate", "fee", F.size("inputs").alias("n_in"), F.size("outputs").alias("n_out"), "locktime", "minute")
+    return Ledger(coins, root_truth.unionByName(out_truth), tx_rows, legs_in, outs.select("tid", "out_pos", "coin_id"))
 
 
 def payments_from_log(log: DataFrame) -> DataFrame:
-    """A2: ``tid, day, payer, payee, memo, form`` of the notes of a log."""
-    return log.filter("kind = 'note'").select("note.tid", "day", "note.payer", "note.payee", "note.memo", "note.form")
+    """A2: ``tid, day, payer, payee, memo, form, obligations`` of the notes of a log."""
+    return log.filter("kind = 'note'").select("note.tid", "day", "note.payer", "note.payee", "note.memo", "note.form", "note.obligations")
 
 
 def validate(ledger: Ledger, check_size: bool = True) -> DataFrame:
@@ -142,7 +145,7 @@ def public_lines(ledger: Ledger) -> DataFrame:
     coin = F.concat_ws("/", F.col("coin_id"), F.col("value"), _dash("addr_key"), _dash("script"))
     outs = ledger.tx_outputs.join(ledger.coins.drop("out_pos"), "coin_id").groupBy("tid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("out_pos", coin.alias("coin")))), lambda x: x["coin"]), ",").alias("outs"))
     tx = ledger.txs.join(ins, "tid").join(outs, "tid", "left")
-    tx = tx.select(F.col("tx_seq").alias("seq"), F.concat_ws(" ", F.lit("tx"), "tid", "day", "fee", _dash("locktime"), _dash("minute"), "ins", F.coalesce("outs", F.lit("-"))).alias("line"))
+    tx = tx.select(F.col("tx_seq").alias("seq"), F.concat_ws(" ", F.lit("tx"), "tid", "day", _dash("feerate"), "fee", _dash("locktime"), _dash("minute"), "ins", F.coalesce("outs", F.lit("-"))).alias("line"))
     roots = ledger.coins.filter("producer is null").select(F.col("coin_seq").alias("seq"), F.concat_ws(" ", F.lit("root"), _dash("entered"), coin).alias("line"))
     return roots.unionByName(tx)
 

@@ -3,7 +3,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerscope.functions import exprs as X
-from ledgerscope.sources.ledger import ledger_from_log, through, utxos, validate
+from ledgerscope.operators.links import links_reuse
+from ledgerscope.sources.ledger import LOG_SCHEMA, ledger_from_log, through, utxos, validate
 from ledgerscope.streaming import jobs
 from tests.ledgers import build, fee
 
@@ -57,3 +58,21 @@ def test_nonzero_digits(spark, values):
 def test_round_usd(spark):
     df = spark.createDataFrame([(100_000, 100000.0), (150_000, None), (12_345, 100000.0)], "v long, p double")
     assert [r[0] for r in df.select(X.round_usd(F.col("v"), F.col("p"))).collect()] == [True, False, False]
+
+
+def test_outputs_keep_their_ids_whatever_their_number(spark):
+    coin = lambda i: {"coin_id": i, "coin_seq": i, "value": 10, "owner": i % 3, "label": None, "kyc": i % 2 == 0, "addr_key": f"k{i % 40}", "script": "segwit"}
+    empty = {"root": None, "tx": None, "note": None}
+    tx = lambda tid, inputs, first: {"tid": tid, "feerate": 1.0, "fee": 5, "locktime": "zero", "minute": 7, "inputs": inputs, "low_r": [True, False], "outputs": [{**coin(first + k), "funders": None} for k in range(130)]}
+    rows = [{"log_seq": i, "day": 1, "kind": "root", **empty, "root": coin(i)} for i in range(3)]
+    rows += [{"log_seq": 10 + t, "day": 2, "kind": "tx", **empty, "tx": tx(t, inputs, first)} for t, inputs, first in ((1, [0, 1, 2], 100), (2, [100, 229], 230))]
+    log = spark.createDataFrame(rows, LOG_SCHEMA)
+    g = ledger_from_log(log)
+    assert g.coins.count() == g.coins.select("coin_id").distinct().count() == 263
+    assert {(r["tid"], r["in_pos"]): r["low_r"] for r in g.tx_inputs.collect()} == {(1, 0): True, (1, 1): False, (1, 2): None, (2, 0): True, (2, 1): False}
+    assert {r["coin_id"]: (r["dest"], r["addr_key"]) for r in g.coins.filter("dest is not null").collect()} == {0: (1, "k0"), 1: (1, "k1"), 2: (1, "k2"), 100: (2, "k20"), 229: (2, "k29")}
+    assert links_reuse(g).count() == 263 - 40
+    made = [r["coin_id"] for r in jobs.legs(log).filter("what = 'create'").collect()]
+    assert sorted(made) == sorted([0, 1, 2, *range(100, 360)])
+    again = jobs.log_of(g)
+    assert sorted(map(str, ledger_from_log(again).coins.collect())) == sorted(map(str, g.coins.collect()))
