@@ -220,7 +220,10 @@ def merged_links(lists: DataFrame, labels: DataFrame, classes: DataFrame, sets:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept, digest`` for each row of ``docs(doc_id, text)``."""
+    """``doc_id, n_shingles, component_id, kept, text_key, label`` for each row of ``docs(doc_id, text)``.
+
+    ``text_key`` is a hash of the text, ``label`` a number of the component; null without words.
+    """
     sketched = materialize(sketches(docs, size), "sketches")
     classes = sketched.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -242,27 +245,32 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
 
     named = classes.select("cid", "digest", "least_id").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = named.groupBy("label").agg(F.min("least_id").alias("component"))
-    names = materialize(named.join(least, "label").select("digest", "component"), "names")
-    out = sketched.select("doc_id", "n_shingles", "digest").join(names, "digest", "left")
+    names = materialize(named.join(least, "label").select("digest", "component", "label"), "names")
+    out = sketched.select("doc_id", "n_shingles", "digest", "text_key").join(names, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key", "label")
 
 
 def without_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Documents without all but one of each group.
+    """Documents without all rows but one of each group.
 
-    Ids of the others are dropped; rows that repeat an id and all other columns are reduced to one.
+    The row of the smallest id stays (null ids last, then by a hash of the text), whatever ids repeat;
+    of rows that share its id and text any one stays. Rows without words all stay.
     """
-    found = near_duplicates(docs, percent=percent)
-    (other,) = unused(docs.columns, "other_id")
-    gone = materialize(found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(other)).distinct(), "gone")
-    kept = docs.join(small(gone), F.col("doc_id") == F.col(other), "left_anti")
-    twice = materialize(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias(other)), "twice")
-    if twice.isEmpty():
-        return kept
-    at = F.col("doc_id") == F.col(other)
-    return kept.join(small(twice), at, "left_anti").unionByName(kept.join(small(twice), at, "left_semi").dropDuplicates())
+    found = near_duplicates(docs, percent=percent).filter("label is not null")
+    row = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")
+    lead = found.groupBy("label").agg(F.min(row).alias("lead"))
+    other_id, other_text, key = unused(docs.columns, "other_id", "other_text", "text_key")
+    named = lambda df: df.select(F.col("doc_id").alias(other_id), F.col("text_key").alias(other_text))
+    gone = materialize(named(found.join(lead, "label").filter(row != F.col("lead"))).distinct(), "gone")
+    twice = materialize(named(found.groupBy("label", "doc_id", "text_key").count().filter("count > 1").join(lead, "label").filter(row == F.col("lead"))), "twice")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    at = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_text))
+    kept = keyed.join(small(gone), at, "left_anti")
+    if not twice.isEmpty():
+        kept = kept.join(small(twice), at, "left_anti").unionByName(kept.join(small(twice), at, "left_semi").dropDuplicates(["doc_id", key]))
+    return kept.select(*docs.columns)
 
 
 def op7_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("digest")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key", "label")

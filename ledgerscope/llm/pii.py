@@ -2,9 +2,11 @@
 
 Plain identifiers are found by fixed patterns. Disguised ones are found in a normalised copy of the
 text that three transducers make one after the other: look-alike letters, digits and invisible
-characters; runs of spelled digits; and "at"/"dot" written out. Every character of the copy knows
-the source characters it stands for, so what is found there maps back. A find counts as added only
-if it covers a changed character and overlaps no plain find of its kind.
+characters; runs of spelled digits, with a "plus" before them; and "at"/"dot" written out. A bare "at"
+counts where a dot is written out behind it or the word before it is none of prose. Every character of
+the copy knows the source characters it stands for, so what is found there maps back. A find counts
+as added only if it covers a changed character, or one behind a character left out, and each plain
+find of its kind that it overlaps is a part of it.
 
 Defined results: null text counts as empty and has no spans; texts are scanned whole; rows that
 repeat are scanned each; an empty table gives no rows; all columns pass through, and a column
@@ -28,7 +30,8 @@ from ledgerscope.llm.text import slices
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Where the digits before a match's first dot begin makes no difference to the rest, so they are tried once a run.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Letters of other alphabets that look like ASCII ones.
@@ -37,7 +40,7 @@ DIGIT_WORDS = dict(zip("zero one two three four five six seven eight nine oh".sp
 INVISIBLE = "­​‌‍⁠﻿"
 
 _WORD = "|".join(f"[{w[0].upper()}{w[0]}]{w[1:]}" for w in DIGIT_WORDS)
-_SPELLED = re.compile(rf"\b(?:{_WORD})(?:[\s,.-]+(?:{_WORD})\b){{6,}}")
+_SPELLED = re.compile(rf"\b(?:[Pp]lus[\s,.-]+)?(?:{_WORD})(?:[\s,.-]+(?:{_WORD})\b){{6,}}")
 _ONE = re.compile(_WORD)
 _UNUSUAL = re.compile("[­Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९​-‍⁠﻿！-～\U0001d400-\U0001d7ff]")
 _AT_DOT = re.compile(r"[\[({<]\s?(?:[Aa][Tt]|[Dd][Oo][Tt])\s?[\])}>]|\s[Dd][Oo][Tt]\s")
@@ -49,6 +52,12 @@ TOP = "com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu|us"
 _CHAIN = rf"[A-Za-z0-9-]+(?:(?:{_BARE_DOT}|{_BRACKET_DOT}|\.)[A-Za-z0-9-]+)*?(?:{_BARE_DOT}|{_BRACKET_DOT}|\.)(?:{TOP})\b"
 _AT = re.compile(rf"{_BRACKET_AT}|(?<=[A-Za-z0-9])\s[Aa][Tt]\s(?={_CHAIN})")
 _AFTER_AT = re.compile("@" + _CHAIN)
+_WRITTEN_DOT = re.compile(rf"{_BARE_DOT}|{_BRACKET_DOT}")
+_TARGET = re.compile(_CHAIN)
+#: A bare "at" needs a dot written out behind it, or a local part that prose doesn't have: with one of these
+#: characters, or behind one of these words.
+_NO_WORD = frozenset("0123456789._%+")
+_ADDRESSED = (":", "mail", "mailto", "contact", "write", "write to", "reach")
 _DOT = re.compile(rf"{_BRACKET_DOT}|(?<=[0-9]){_BARE_DOT}(?=[0-9])")
 _DOT_WORD = re.compile(_BARE_DOT)
 
@@ -100,14 +109,18 @@ class Copy:
 
     def replace(self, spans: list[tuple[int, int, str]]) -> None:
         text, starts, ends, changed, at = [], [], [], [], 0
+        behind = []  # what stands behind a deletion counts as changed
         for a, b, new in spans:
             text += [self.text[at:a], new]
             starts += self.starts[at:a] + [self.starts[a]] * len(new)
             ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
             changed += self.changed[at:a] + [True] * len(new)
+            behind += [] if new else [len(changed)]
             at = b
         self.text = "".join([*text, self.text[at:]])
         self.starts, self.ends, self.changed = starts + self.starts[at:], ends + self.ends[at:], changed + self.changed[at:]
+        for i in behind:
+            self.changed[i : i + 1] = [True] * len(self.changed[i : i + 1])
 
 
 def _lookalike(c: str) -> str:
@@ -121,14 +134,28 @@ def _lookalike(c: str) -> str:
     return str(unicodedata.decimal(c, c))
 
 
+def _stands_for_at(text: str, m: re.Match) -> bool:
+    """Whether a match of ``_AT`` is part of an address and no word of prose."""
+    if not m[0].strip().isalpha() or _WRITTEN_DOT.search(_TARGET.match(text, m.end())[0]):
+        return True
+    start = m.start()
+    while start and text[start - 1] in LOCAL:
+        start -= 1
+    return not _NO_WORD.isdisjoint(text[start : m.start()]) or text[max(0, start - 20) : start].rstrip().lower().endswith(_ADDRESSED)
+
+
+def _digits(m: re.Match) -> str:
+    return "+" * (m[0][0] in "Pp") + "".join(DIGIT_WORDS[w[0].lower()] for w in _ONE.finditer(m[0]))
+
+
 def disguised(text: str) -> list[tuple[int, int, int]]:
     """Finds of the normalised copy that cover a changed character, as source spans."""
     if not any(gate.search(text) for gate in (_UNUSUAL, _SPELLED, _AT_DOT, _AT)):
         return []
     copy = Copy(text)
     copy.replace([(m.start(), m.end(), new) for m in _UNUSUAL.finditer(copy.text) if (new := _lookalike(m[0])) != m[0]])
-    copy.replace([(m.start(), m.end(), "".join(DIGIT_WORDS[w[0].lower()] for w in _ONE.finditer(m[0]))) for m in _SPELLED.finditer(copy.text)])
-    copy.replace([(m.start(), m.end(), "@") for m in _AT.finditer(copy.text)])
+    copy.replace([(m.start(), m.end(), _digits(m)) for m in _SPELLED.finditer(copy.text)])
+    copy.replace([(m.start(), m.end(), "@") for m in _AT.finditer(copy.text) if _stands_for_at(copy.text, m)])
     copy.replace([(d.start(), d.end(), ".") for m in _AFTER_AT.finditer(copy.text) for d in _DOT_WORD.finditer(copy.text, m.start(), m.end())])
     copy.replace([(m.start(), m.end(), ".") for m in _DOT.finditer(copy.text)])
     out = []
@@ -141,7 +168,9 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
 def spans_of(text: str) -> list[tuple[int, int, int, bool]]:
     """``(kind number, start, end, base)`` of all finds, sorted."""
     base = plain(text)
-    added = [d for d in disguised(text) if not any(k == d[0] and a < d[2] and d[1] < b for k, a, b in base)]
+    # a disguise may leave a part of an identifier plain: the whole is added to it
+    meets = lambda d: [(a, b) for k, a, b in base if k == d[0] and a < d[2] and d[1] < b]
+    added = [d for d in disguised(text) if all(d[1] <= a and b <= d[2] and b - a < d[2] - d[1] for a, b in meets(d))]
     return sorted([(*s, True) for s in base] + [(*s, False) for s in added])
 
 

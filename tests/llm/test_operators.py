@@ -1,3 +1,4 @@
+import time
 import collections
 import re
 import zlib
@@ -185,12 +186,48 @@ def test_disguised_pii_maps_back():
         "meet me at noon": [],
         "write john at example.com now": ["john at example.com"],
         "write john at example.com now (at) last": ["john at example.com"],
+        "we met at the.com": [],
+        "look at google.com now": [],
+        "we arrived at home dot": [],
+        "my address: jane at example.org": ["jane at example.org"],
+        "ann_b7 at example.net is gone": ["ann_b7 at example.net"],
+        "call plus one four one five five five five two six seven one": ["plus one four one five five five five two six seven one"],
+        "one plus one is two": [],
     }
     for text, expected in cases.items():
-        assert [text[a:b] for _, a, b, base in pii.spans_of(text) if not base] == expected
+        assert [text[a:b] for _, a, b, base in pii.spans_of(text) if not base] == expected, text
     assert pii.masked("a@b.co and 1.2.3.4") == "<EMAIL> and <IP>"
 
 
+def test_planted_disguises_are_found_and_prose_is_left_alone():
+    rng = np.random.default_rng(12)
+    pick = lambda options: options[int(rng.integers(len(options)))]
+    words = [pick(list("bdfglmnprst")) + pick(list("aeiou")) + pick(list("klmnrst")) for _ in range(400)]
+    spelled = {v: k for k, v in pii.DIGIT_WORDS.items() if k != "oh"}
+    found = planted = 0
+    for _ in range(400):
+        name, host, digits = f"{pick(words)}{rng.integers(10, 99)}", pick(words), "".join(str(d) for d in rng.integers(0, 10, 11))
+        secret = pick([
+            f"{name} (at) {host} (dot) org", f"{name} [at] {host}[dot]com", f"{name} at {host} dot net", f"{name}@{host}.com".replace("o", "\u043e").replace("a", "\u0430"), f"{name}\u200b@{host}.org",
+            "+" + " ".join(spelled[d] for d in digits), "plus " + "-".join(spelled[d] for d in digits), "+" + "".join(chr(0xFF10 + int(d)) for d in digits), ".".join(str(x) for x in rng.integers(1, 255, 4)).replace(".", " dot "),
+        ])
+        before, after = " ".join(pick(words) for _ in range(20)), " ".join(pick(words) for _ in range(20))
+        spans = [(a, b) for _, a, b, _ in pii.spans_of(f"{before} {secret} {after}")]
+        planted += secret != secret.encode("ascii", "ignore").decode() or "at" in secret or "dot" in secret or " " in secret or "-" in secret
+        whole = (len(before) + 1, len(before) + 1 + len(secret))
+        found += whole in spans and all(whole[0] <= a and b <= whole[1] for a, b in spans)
+    assert found >= 0.99 * planted, (found, planted)
+    prose = " ".join(pick([*words, "at", "dot", "plus", "one", "two", "at the.com", "look at it."]) for _ in range(20_000))
+    assert [prose[a:b] for _, a, b, _ in pii.spans_of(prose)] == []
+
+
+def test_long_runs_take_time_in_proportion():
+    for text in ("7" * 1_000_000, "1." * 500_000, "+" + "1(" * 500_000, "a@" * 300_000, "one " * 200_000, " at " * 200_000, "x dot " * 150_000):
+        began = time.process_time()
+        pii.spans_of(text)
+        assert time.process_time() - began < 8, text[:10]
+
+
 def test_secrets(spark, sf_dir, docs):
     got = {r["doc_id"]: r for r in secret_scan.op9_randomness_battery(spark, sf_dir).collect()}
     for doc_id, text in docs:

@@ -47,6 +47,30 @@ def test_near_duplicates_between_80_and_85_percent_are_linked(spark):
     assert near_dup.without_duplicates(frame).count() == len(docs)
 
 
+def test_rows_and_not_ids_are_dropped(spark):
+    """Repeated and null ids: of each group one row stays, whatever its id's other rows say."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t: t + " end"
+    rows = [(3, a), (5, a), (5, b), (None, near(b)), (None, near(b)), (None, c), (None, near(c)), (6, a.replace("a", "q")), (7, ""), (7, ""), (8, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in near_dup.without_duplicates(frame).collect())
+    # of the texts c and its near copy, both without an id, a hash of the text picks one
+    assert [g for g in got if g[1] not in (c, near(c))] == sorted([(3, a), (5, b), (6, a.replace("a", "q")), (7, ""), (7, ""), (8, "")])
+    assert len(got) == 7
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path, sf_dir):
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words, "en", "s", 9, "k"), (1, words, "en", "s", 9, "k"), (None, words + " end", None, None, None, None), (None, None, None, None, None, None), (2, "", "en", "s", 0, ""), (3, "mail me: a9@mail.example " + " ".join(f"other{i}" for i in range(40)), "en", "s", 0, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, text_key string"
+    for name, table in (("odd", rows), ("empty", [])):
+        at = tmp_path / name
+        spark.createDataFrame(table, schema).write.parquet(str(at / "documents.parquet"))
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(str(at / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(at)).toPandas()
+        assert sorted(got["doc_id"].fillna(0)) == ([1, 3] if table else [])
+
+
 def test_thresholds_follow_the_similarity():
     least = near_dup.least_agreement
     assert [least(64, 85), least(128, 85), least(64, 80), least(128, 80)] == [43, 93, 39, 85]
