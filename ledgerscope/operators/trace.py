@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ledgerscope.session import materialize
 from ledgerscope.sources.ledger import Ledger
 
+#: Rounds of a search; beyond it a search is an error and never cut short.
 MAX_ROUNDS = 10_000
+TOO_DEEP = f"the graph has a cycle, or ways with branches of more than {MAX_ROUNDS} transactions"
 
 
 def steps(ledger: Ledger) -> DataFrame:
@@ -35,7 +37,7 @@ def closure(seeds: DataFrame, step: DataFrame, blocked: DataFrame | None = None)
             return found
         # frontiers of different rounds are disjoint, so what was found is a union without a shuffle
         found = found.union(frontier)
-    raise RuntimeError("the graph has a cycle")
+    raise RuntimeError(TOO_DEEP)
 
 
 def ancestry(ledger: Ledger, seeds: DataFrame) -> DataFrame:
@@ -129,7 +131,7 @@ def dominated(ledger: Ledger, cone: DataFrame) -> DataFrame:
         if fresh.isEmpty():
             return settled
         settled = settled.union(fresh)
-    raise RuntimeError("the graph has a cycle")
+    raise RuntimeError(TOO_DEEP)
 
 
 def robust_origins(ledger: Ledger, cone: DataFrame) -> DataFrame:
@@ -176,6 +178,8 @@ def rank_grants(ledger: Ledger, seeds: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             break
         found = found.select("seed", "owner", "coin_id").union(frontier)
+    else:
+        raise RuntimeError(TOO_DEEP)
     left = found.join(ledger.coins.filter("producer is null").select("coin_id"), "coin_id", "left_semi").groupBy("seed", "owner").agg(F.count("*").alias("after"))
     scored = pairs.join(before, "seed").join(left, ["seed", "owner"], "left").withColumn("fractured", F.col("before") - F.col("granted") - F.coalesce("after", F.lit(0)))
     score = F.when(F.col("fractured") > 0, 1000).otherwise(0) + F.col("fractured") + F.col("granted")
@@ -194,6 +198,8 @@ def depth(ledger: Ledger) -> DataFrame:
         if frontier.isEmpty():
             break
         found.append(frontier)
+    else:
+        raise RuntimeError(TOO_DEEP)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
