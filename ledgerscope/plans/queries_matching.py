@@ -265,12 +265,11 @@ def i17_claim_report(g: Ledger) -> DataFrame:
     return found.withColumn("chain", F.array_join("chain", ","))
 
 
-@R.ledger()
-def i20_analysis_bundle(g: Ledger) -> DataFrame:
-    """All frames of the bundle as rows ``name, a, b, what, score``: coins or clusters, and what is said of them."""
-    from ledgerscope.plans.analysis import WANTS, run_analysis
+def _bundle(g: Ledger, wants: tuple[str, ...]) -> DataFrame:
+    """Frames of the bundle as rows ``name, a, b, what, score``: coins or clusters, and what is said of them."""
+    from ledgerscope.plans.analysis import run_analysis
 
-    out = run_analysis(g, adapter.prices(g), O.Options(), K.kyc_grants(g.coin_truth), reading(g), WANTS, 0.1)
+    out = run_analysis(g, adapter.prices(g), O.Options(), K.kyc_grants(g.coin_truth), reading(g), wants, 0.1)
     none = F.lit(None)
     shaped = {
         "clusters": ("coin_id", "rep", none, none), "base": ("coin_id", "rep", none, none), "attribution": ("coin_id", "owner", F.when(F.col("direct"), "direct").otherwise("indirect") if "attribution" in out else none, none),
@@ -282,3 +281,15 @@ def i20_analysis_bundle(g: Ledger) -> DataFrame:
         rows = df.select(F.lit(name).alias("name"), F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"), what.cast("string").alias("what"), score.cast("double").alias("score"))
         total = rows if total is None else total.unionByName(rows)
     return total
+
+
+@R.ledger()
+def i20_analysis_bundle(g: Ledger) -> DataFrame:
+    """Clusters, what grants say of them, the base that these merge, and the links' grades."""
+    return _bundle(g, ("clusters", "attribution", "base", "links"))
+
+
+@R.ledger()
+def i20_bundle_matches(g: Ledger) -> DataFrame:
+    """The matching runs over the base of the bundle."""
+    return _bundle(g, ("social", "behaviour"))
