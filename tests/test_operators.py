@@ -10,6 +10,7 @@ from ledgerscope.operators import social as S
 from ledgerscope.operators import trace as T
 from ledgerscope.operators.components import components
 from ledgerscope.operators.matching import accept_reciprocal
+from ledgerscope.operators.provenance import support
 from tests.ledgers import build
 
 
@@ -343,3 +344,34 @@ def test_matches_left_out_one_by_one(spark):
         left = [m for m, kind in last.items() if kind == "merge"]
         # nothing that the gate would refuse is left, wherever the run stopped
         assert not left or S.rejudge(adj, frame(left), 0.1).count() == 0
+
+
+def test_support_chains_by_brute_force(spark):
+    """Shortest chains of events, least by numbers, also through an event of many coins."""
+    rnd = random.Random(21)
+    events = [(i, sorted(rnd.sample(range(40), rnd.choice([2, 2, 2, 3])))) for i in range(30)] + [(30, list(range(40, 240))), (31, [3, 45]), (32, [7, 239])]
+    label = {c: c for c in range(241)}
+    for _ in range(60):
+        for _, coins in events:
+            low = min(label[c] for c in coins)
+            for c in coins:
+                label[c] = min(label[c], low)
+    pairs = [(rnd.randrange(240), rnd.randrange(240)) for _ in range(40)] + [(3, 7), (5, 5), (41, 200)]
+    want = {}
+    for a, b in pairs:
+        layer, seen, chain = {a: ()}, {a}, () if a == b else None
+        while chain is None and label[a] == label[b] and layer:
+            fresh = {}
+            for c, path in layer.items():
+                for e, coins in events:
+                    if c in coins:
+                        for d in coins:
+                            if d not in seen:
+                                fresh[d] = min(fresh.get(d, (*path, e)), (*path, e))
+            seen |= set(fresh)
+            layer, chain = fresh, fresh.get(b)
+        want[a, b] = None if chain is None else list(chain)
+    frame = spark.createDataFrame(events, "event long, coins array<long>")
+    clusters = spark.createDataFrame(list(label.items()), "coin_id long, rep long")
+    got = {(r["a"], r["b"]): r["chain"] for r in support(frame, clusters, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == want and max(len(c) for c in want.values() if c) >= 3
