@@ -1,7 +1,9 @@
 """Tracing over the graph of coins and transactions, many seeds in one job.
 
-Closures step through the graph one transaction at a time. The frontier of each round is written to
-the shared folder; a pair of seed and coin enters a frontier once, so the work follows the result.
+Closures contract stretches first: a coin with one coin before it goes on from one coin behind it at most,
+so such coins make up chains, which pointer doubling numbers in as many rounds as their length has
+binary digits. A search then steps from chain to chain; a pair of seed and chain enters a frontier
+once, and what it found of a chain is written out at the end, so the work follows the result.
 """
 
 from __future__ import annotations
@@ -23,21 +25,55 @@ def steps(ledger: Ledger) -> DataFrame:
     return made.join(ledger.tx_inputs.select("tid", F.col("coin_id").alias("before")), "tid").select("coin_id", "before")
 
 
+def chains(step: DataFrame) -> DataFrame:
+    """``coin_id, chain, pos`` of all coins of ``step(coin_id, before)``: the last coin of a coin's chain, and the steps to it.
+
+    A coin with one coin before it is on the chain of that one, if it is the first by id of those that go
+    there, coins with more behind them before others. All other coins end a chain.
+    """
+    single = step.groupBy("coin_id").agg(F.min("before").alias("before"), F.count("*").alias("n")).filter("n = 1").select("coin_id", "before")
+    behind = step.select(F.col("before").alias("coin_id")).distinct().withColumn("spent", F.lit(True))
+    wanted = single.join(behind, "coin_id", "left").groupBy("before").agg(F.min(F.struct(F.col("spent").isNull().alias("leaf"), "coin_id")).alias("x"))
+    links = wanted.select(F.col("x.coin_id").alias("coin_id"), F.col("before").alias("chain"), F.lit(1).cast("long").alias("pos"))
+    coins = step.select("coin_id").union(step.select("before")).distinct()
+    at = coins.join(links, "coin_id", "left").select("coin_id", F.coalesce("chain", "coin_id").alias("chain"), F.coalesce("pos", F.lit(0)).cast("long").alias("pos"))
+    at = materialize(at, "chains")
+    for _ in range(64):
+        above = at.select(F.col("coin_id").alias("chain"), F.col("chain").alias("end"), F.col("pos").alias("more"))
+        moved = at.join(above, "chain").select("coin_id", F.col("end").alias("chain"), (F.col("pos") + F.col("more")).alias("pos"), (F.col("more") > 0).alias("open"))
+        at = materialize(moved, "chains")
+        if at.filter("open").isEmpty():
+            return at.drop("open")
+        at = at.drop("open")
+    raise RuntimeError(TOO_DEEP)
+
+
 def closure(seeds: DataFrame, step: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """``seed, coin_id`` reached from ``seeds(seed, coin_id)``, themselves included; never onto ``blocked(coin_id)``."""
-    frontier = materialize(seeds.select("seed", "coin_id").distinct(), "frontier")
-    found = frontier
+    step = step.select("coin_id", "before").distinct()
+    if blocked is not None:
+        step = step.join(blocked.select(F.col("coin_id").alias("before")), "before", "left_anti").select("coin_id", "before")
     step = materialize(step, "steps")
+    at = chains(step)
+    on = lambda df, c: df.join(at.withColumnRenamed("coin_id", c), c, "left").withColumns({"chain": F.coalesce("chain", c), "pos": F.coalesce("pos", F.lit(0))})
+    # from the end of a chain to the places of others that come before it
+    ways = materialize(on(step.join(at.filter("pos = 0").select("coin_id"), "coin_id").select(F.col("coin_id").alias("end"), "before"), "before").select("end", "chain", "pos"), "ways")
+    frontier = materialize(on(seeds.select("seed", "coin_id").distinct(), "coin_id").groupBy("seed", "chain").agg(F.max("pos").alias("pos")), "frontier")
+    found, entered = frontier, frontier.select("seed", "chain")
     for _ in range(MAX_ROUNDS):
-        fresh = frontier.join(step, "coin_id").select("seed", F.col("before").alias("coin_id")).distinct()
-        if blocked is not None:
-            fresh = fresh.join(blocked.select("coin_id"), "coin_id", "left_anti")
-        frontier = materialize(fresh.join(found, ["seed", "coin_id"], "left_anti"), "frontier")
+        reached = frontier.select("seed", F.col("chain").alias("end")).join(ways, "end").groupBy("seed", "chain").agg(F.max("pos").alias("pos"))
+        reached = materialize(reached, "reached")
+        frontier = materialize(reached.join(entered, ["seed", "chain"], "left_anti"), "frontier")
+        # a chain that is entered again, further from its end, has the same way on
+        found = found.union(reached)
         if frontier.isEmpty():
-            return found
-        # frontiers of different rounds are disjoint, so what was found is a union without a shuffle
-        found = found.union(frontier)
-    raise RuntimeError(TOO_DEEP)
+            break
+        entered = entered.union(frontier.select("seed", "chain"))
+    else:
+        raise RuntimeError(TOO_DEEP)
+    deepest = found.groupBy("seed", "chain").agg(F.max("pos").alias("deepest"))
+    alone = deepest.join(at.select("chain"), "chain", "left_anti").select("seed", F.col("chain").alias("coin_id"))
+    return deepest.join(at, "chain").filter("pos <= deepest").select("seed", "coin_id").union(alone)
 
 
 def ancestry(ledger: Ledger, seeds: DataFrame) -> DataFrame:

@@ -375,3 +375,28 @@ def test_support_chains_by_brute_force(spark):
     clusters = spark.createDataFrame(list(label.items()), "coin_id long, rep long")
     got = {(r["a"], r["b"]): r["chain"] for r in support(frame, clusters, spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == want and max(len(c) for c in want.values() if c) >= 3
+
+
+def test_closures_by_brute_force_and_over_a_long_chain(spark):
+    rnd = random.Random(2)
+    for density in (1.2, 2.0):
+        steps = {(c, rnd.randrange(max(0, c - 30), c)) for c in range(1, 150) for _ in range(int(density + rnd.random()))}
+        blocked = rnd.sample(range(150), 8)
+        seeds = [(s, rnd.randrange(160)) for s in range(12)] + [(0, 149), (3, 75)]
+        step, seed = spark.createDataFrame(sorted(steps), "coin_id long, before long"), spark.createDataFrame(seeds, "seed long, coin_id long")
+        for out in ([], blocked):
+            want = set()
+            for s, c in seeds:
+                todo = [c]
+                while todo:
+                    x = todo.pop()
+                    if (s, x) not in want:
+                        want.add((s, x))
+                        todo += [b for a, b in steps if a == x and b not in out]
+            got = [tuple(r) for r in T.closure(seed, step, spark.createDataFrame([(b,) for b in out], "coin_id long") if out else None).collect()]
+            assert sorted(got) == sorted(want)
+    # 20 000 spends in a row, each with a payment beside the change
+    n = 20_000
+    step = spark.range(1, n).selectExpr("id as coin_id", "id - 1 as before").union(spark.range(1, n).selectExpr("id + 1000000 as coin_id", "id - 1 as before"))
+    got = T.closure(spark.createDataFrame([(1, n - 1), (2, 1_000_500), (2, 300)], "seed long, coin_id long"), step).groupBy("seed").count().collect()
+    assert {r["seed"]: r["count"] for r in got} == {1: n, 2: 501}
