@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions import exprs as X
 from ledgerscope.operators.links import links_reuse
+from ledgerscope.session import left_join
+from ledgerscope.sources import adapter
 from ledgerscope.sources.ledger import LOG_SCHEMA, ledger_from_log, through, utxos, validate
 from ledgerscope.streaming import jobs
 from tests.ledgers import build, fee
@@ -76,3 +78,25 @@ def test_outputs_keep_their_ids_whatever_their_number(spark):
     assert sorted(made) == sorted([0, 1, 2, *range(100, 360)])
     again = jobs.log_of(g)
     assert sorted(map(str, ledger_from_log(again).coins.collect())) == sorted(map(str, g.coins.collect()))
+
+
+def test_rows_without_a_key_are_spread_over_tasks(spark):
+    rows = spark.range(8000).select(F.col("id").alias("coin_id"), F.when(F.col("id") % 10 == 0, F.col("id") % 100).alias("dest"))
+    # all columns are read, or Spark leaves out the window
+    largest = lambda df: df.select(F.spark_partition_id().alias("task"), F.hash(*df.columns).alias("row")).groupBy("task").agg(F.count("*").alias("n"), F.max("row").alias("row")).agg(F.max("n"), F.max("row")).first()[0]
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        placed = adapter._placed(rows)
+        assert largest(placed) < 2000
+        assert {(r["dest"], r["in_pos"]) for r in placed.collect()} == {(None, None)} | {(d, i) for d in range(0, 100, 10) for i in range(80)}
+        known = spark.range(0, 100, 20).select(F.col("id").alias("dest"), F.lit("x").alias("name"))
+        joined = left_join(rows, known, "dest")
+        assert largest(joined) < 3000
+        canonical = lambda df: sorted(map(repr, df.select("coin_id", "dest", "name").collect()))
+        assert canonical(joined) == canonical(rows.join(known, "dest", "left"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
