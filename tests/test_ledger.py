@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions import exprs as X
 from ledgerscope.operators.links import links_reuse
-from ledgerscope.session import left_join
+from ledgerscope.session import honest_sizes, left_join
 from ledgerscope.sources import adapter
 from ledgerscope.sources.ledger import LOG_SCHEMA, ledger_from_log, through, utxos, validate
 from ledgerscope.streaming import jobs
@@ -100,3 +100,18 @@ def test_rows_without_a_key_are_spread_over_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark, tmp_path):
+    spark.range(1_000_000).write.option("compression", "zstd").parquet(f"{tmp_path}/ids")
+    ids = spark.read.parquet(f"{tmp_path}/ids")
+    name = "spark.sql.sources.fileCompressionFactor"
+    before = spark.conf.get(name)
+    plan = lambda: ids.join(spark.read.parquet(f"{tmp_path}/ids"), "id")._jdf.queryExecution().executedPlan().toString()
+    try:
+        spark.conf.set(name, "1.0")
+        assert "BroadcastHashJoin" in plan()
+        honest_sizes(spark)
+        assert "BroadcastHashJoin" not in plan()
+    finally:
+        spark.conf.set(name, before)
