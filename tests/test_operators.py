@@ -274,6 +274,22 @@ def test_a_sweep_applies_each_acceptance_at_once(spark):
     assert accepted > 1
 
 
+def test_acceptances_that_do_not_touch_share_a_round(spark, monkeypatch):
+    # eight parts of a graph: two seeds of each vouch for one node, which no other part concerns
+    parts = [(10 * i, 10 * i + 1, 10 * i + 2) for i in range(8)]
+    edges = [(a, c) for a, _, c in parts] + [(b, c) for _, b, c in parts]
+    frame = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    mapping = {n: 1000 + n for a, b, _ in parts for n in (a, b)}
+    known = spark.createDataFrame([(0, a, b) for a, b in mapping.items()], "run int, node long, image long")
+    target, aux = edges, [(1000 + a, 1000 + b) for a, b in edges]
+    rounds, judged = [], P._judged
+    monkeypatch.setattr(P, "_judged", lambda *args: rounds.append(1) or judged(*args))
+    got = {r["node"]: (r["outcome"], r["mapped"]) for r in P.propagation_sweep(frame(target), frame(aux), known, 0.4).collect()}
+    expected = one_sweep(target, aux, mapping, 0.4)
+    assert got == expected and sum(o == "accepted" for o, _ in expected.values()) > 4
+    assert len(rounds) < 4
+
+
 def test_rounds_and_steps_have_no_cap(spark, monkeypatch):
     from ledgerscope.operators import behaviour, provenance
 
