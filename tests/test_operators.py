@@ -452,3 +452,24 @@ def test_verdict_of_hundreds_of_thousands_of_balanced_pairs(spark):
     # a high fee: most subsets of the outputs balance one input, and pairs of pairs would be some 10^10
     outs = [3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 15, 17, 18, 19, 21]
     assert verdicts(spark, [([76, 75, 77, 74], outs, 302 - sum(outs))], 0) == ["ambiguous"]
+
+
+def test_products_of_tiles_by_brute_force(spark, monkeypatch):
+    from ledgerscope.operators import products as R
+
+    monkeypatch.setattr(R, "ROWS", 4)
+    monkeypatch.setattr(R, "COLUMNS", 3)
+    rnd = random.Random(31)
+    rows = {(k, e, a, n): float(rnd.randint(1, 9)) for k, e, a, n in {tuple(map(rnd.randrange, (2, 2, 15, 11))) for _ in range(260)}}
+    table = spark.createDataFrame([(*key, w) for key, w in rows.items()], "k int, e int, a long, n long, w double")
+    apart, within = {}, {}
+    for (k, e, a, n), v in rows.items():
+        for (m, f, b, o), w in rows.items():
+            if k == m and n == o and a < b:
+                for wanted, out, key in ((e != f, apart, (k, a, b, e, f)), (k == e == f == 0, within, (a, b))):
+                    if wanted:
+                        out[key] = out.get(key, 0) + v * w
+    got = R.products(table, ("k",), "e").select("k", "a", "b", "e", "f", "dot").collect()
+    assert {tuple(r)[:5]: r["dot"] for r in got} == apart and len(got) == len(apart)
+    got = R.products(table.filter("k = 0 and e = 0")).collect()
+    assert {tuple(r)[:2]: r["dot"] for r in got} == within and len(got) == len(within)
