@@ -160,6 +160,16 @@ def test_robust_origins_match_disjoint_paths_by_brute_force(spark):
     assert {tuple(r) for r in T.robust_origins(g, T.ancestry(g, seeds)).collect()} == expected
 
 
+def test_a_node_keeps_one_dominator(spark):
+    # a way of single spends behind a diamond: one row for each node, however many dominators it has
+    g = build(spark, {1: 9}, [(1, 1, 1, [1], [9]), (2, 1, 1, [101], [5, 4]), (3, 1, 1, [201], [5]), (4, 1, 1, [202], [4]), (5, 1, 1, [301, 401], [9]), (6, 1, 1, [501], [9])])
+    seeds = spark.createDataFrame([(501, 501), (601, 601)], "seed long, coin_id long")
+    got = [tuple(r) for r in T.top_dominators(g, T.ancestry(g, seeds)).collect()]
+    first = {"t5": None, "c301": "c301", "c401": "c401", "t3": "c301", "t4": "c401", "c201": "c301", "c202": "c401", "t2": "t2", "c101": "t2", "t1": "t2", "c1": "t2"}
+    second = {"t6": None, **{n: "c501" for n in [*first, "c501"]}}
+    assert sorted(got, key=str) == sorted([(501, *x) for x in first.items()] + [(601, *x) for x in second.items()], key=str)
+
+
 def test_joint_trace(spark):
     g = build(spark, {1: 100, 2: 50, 3: 50}, [(1, 1, 1, [1], [50, 50]), (2, 1, 1, [101, 2], [9]), (3, 1, 1, [102, 3], [9])])
     cones = T.ancestry(g, spark.createDataFrame([(201, 201), (301, 301)], "seed long, coin_id long"))
