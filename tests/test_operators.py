@@ -483,3 +483,41 @@ def test_products_of_tiles_by_brute_force(spark, monkeypatch):
     assert {tuple(r)[:5]: r["dot"] for r in got} == apart and len(got) == len(apart)
     got = R.products(table.filter("k = 0 and e = 0")).collect()
     assert {tuple(r)[:2]: r["dot"] for r in got} == within and len(got) == len(within)
+
+
+def test_grants_are_ranked_by_one_row_for_each_transaction_of_a_cone(spark, monkeypatch):
+    # 30 owners of roots meet in pairs and fours; what is written out must not grow by owners times coins
+    roots = {c: 100 for c in range(1, 33)}
+    txs, free, tid = [], list(roots), 10
+    while len(free) > 1:
+        made = []
+        for i in range(0, len(free), 2):
+            txs.append((tid, 1, 1, free[i : i + 2], [50, 40]))
+            made.append(100 * tid + 1)
+            tid += 1
+        free = made
+    txs.append((tid, 2, 1, [free[0], 100 * (tid - 1) + 2], [70]))
+    seed = 100 * tid + 1
+    owners = {c: c for c in roots} | {100 * t + k: t % 7 + 1 for t, *_ in txs for k in (1, 2)} | {seed: 99}
+    g = build(spark, roots, txs, owners)
+    before = {t: ins for t, _, _, ins, _ in txs}
+
+    def reached(owner):
+        out, left = set(), [seed]
+        while left:
+            c = left.pop()
+            if owners[c] != owner and c not in out:
+                out.add(c)
+                left += before.get(c // 100, []) if c > 100 else []
+        return {c for c in out if c in roots}
+
+    scores = {}
+    for owner in range(1, 33):
+        lost = 32 - len(reached(owner))
+        scores[owner] = lost + (1000 if lost > 1 else 0)
+    rows, write = [], T.materialize
+    monkeypatch.setattr(T, "materialize", lambda df, *name: (out := write(df, *name), rows.append(out.count() if "owner" in out.columns else 0))[0])
+    got = T.rank_grants(g, spark.createDataFrame([(seed, seed)], "seed long, coin_id long")).collect()
+    want = min(scores.items(), key=lambda x: (-x[1], x[0]))
+    assert [tuple(r) for r in got] == [(seed, *want)]
+    assert sum(rows) <= len(owners)
