@@ -4,6 +4,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.components import apply_merges, cluster, components, from_groups, partition_join, partition_meet, ranked, refines, same_partition
+from ledgerscope.operators import provenance
 from ledgerscope.operators.provenance import payjoin_detection
 from ledgerscope.plans.observer import Options, cluster_observer
 from tests.ledgers import build, classes, fee, prices
@@ -138,3 +139,25 @@ def test_payjoin_detection_is_the_record_read_again(spark):
     g = addressed(build(spark, roots, txs), {c: rnd.choice("pqrstuvwxyz") for c in values if rnd.random() < 0.6})
     got = {r["tid"]: tuple(r)[1:] for r in payjoin_detection(g, cluster_observer(g, price, PLAIN)).collect()}
     assert got == detected_by_reading_again(g, price, PLAIN) and got
+
+
+def test_clusters_without_a_method_are_those_of_the_record_read_again(spark, monkeypatch):
+    rnd = random.Random(8)
+    free, txs, roots = [1, 2, 3, 4, 5, 6], [], {c: rnd.choice([2_000_000, 3_000_000]) for c in range(1, 7)}
+    values = dict(roots)
+    for tid in range(10, 20):
+        inputs = rnd.sample(free, min(len(free), rnd.randint(1, 3)))
+        total = sum(values[c] for c in inputs) - 1_000
+        outs = [total // 3, total // 3, total - 2 * (total // 3)] if rnd.random() < 0.3 else [100_000, total - 100_000]
+        txs.append((tid, 1, 1, inputs, outs))
+        values |= {100 * tid + k: v for k, v in enumerate(outs, 1)}
+        free = [c for c in free if c not in inputs] + [100 * tid + k for k in range(1, len(outs) + 1)]
+    g = addressed(build(spark, roots, txs), {c: rnd.choice("pqrstuvwxyz") for c in values if rnd.random() < 0.5})
+    price, opts = prices(spark, {1: 100_000}), Options()
+    reading = cluster_observer(g, price, opts)
+    want = {m: classes(cluster_observer(g, price, replace(opts, **{m: False})).clusters) for m in provenance.METHODS}
+    assert len({str(c) for c in want.values()}) > 2
+    reads = []
+    monkeypatch.setattr(provenance, "cluster_observer", lambda *a, **k: (reads.append(1), cluster_observer(*a, **k))[1])
+    got = {m: classes(c) for m, c in provenance.clusters_without(g, price, reading, opts).items()}
+    assert got == want and len(reads) <= 2
