@@ -3,7 +3,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ledgerscope.operators.components import apply_merges, cluster, components, from_groups, partition_join, partition_meet, ranked, refines, same_partition
+from ledgerscope.operators.components import apply_merges, cluster, cluster_by, components, from_groups, partition_join, partition_meet, ranked, refines, same_partition
 from ledgerscope.operators import provenance
 from ledgerscope.operators.provenance import payjoin_detection
 from ledgerscope.plans.observer import Options, cluster_observer
@@ -161,3 +161,19 @@ def test_clusters_without_a_method_are_those_of_the_record_read_again(spark, mon
     monkeypatch.setattr(provenance, "cluster_observer", lambda *a, **k: (reads.append(1), cluster_observer(*a, **k))[1])
     got = {m: classes(c) for m, c in provenance.clusters_without(g, price, reading, opts).items()}
     assert got == want and len(reads) <= 2
+
+
+def test_coins_without_a_key_share_no_task(spark):
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    kept = {n: spark.conf.get(n) for n in names}
+    try:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "-1")
+        coins = spark.range(0, 4000, 1, 4).selectExpr("id as coin_id", "id as coin_seq", "if(id % 10 = 0, id div 20, null) as dest")
+        got = cluster_by(coins, F.col("dest"))
+        assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 2000
+    finally:
+        for n, v in kept.items():
+            spark.conf.set(n, v)
+    rep = {r["coin_id"]: r["rep"] for r in got.collect()}
+    assert rep == {i: i // 20 * 20 if i % 10 == 0 else i for i in range(4000)}
