@@ -177,3 +177,16 @@ def test_coins_without_a_key_share_no_task(spark):
             spark.conf.set(n, v)
     rep = {r["coin_id"]: r["rep"] for r in got.collect()}
     assert rep == {i: i // 20 * 20 if i % 10 == 0 else i for i in range(4000)}
+
+
+def test_clusters_of_one_size_are_ranked_in_several_tasks(spark):
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    rows = spark.range(4000).selectExpr("id as coin_id", "if(id < 3, 0, id) as rep")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = ranked(rows)
+        assert "PARTITION BY size" not in (plan := got._jdf.queryExecution().toString()) and "windowspecdefinition(size" not in plan
+        ranks = {r["rep"]: r["rank"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    assert ranks == {0: 1} | {rep: rep - 1 for rep in range(3, 4000)}
