@@ -115,3 +115,13 @@ def test_small_files_of_many_rows_are_not_broadcast(spark, tmp_path):
         assert "BroadcastHashJoin" not in plan()
     finally:
         spark.conf.set(name, before)
+
+
+def test_lines_that_cannot_be_spent_look_for_no_spender(spark, sf_dir, monkeypatch):
+    rows, write = {}, adapter.materialize
+    monkeypatch.setattr(adapter, "materialize", lambda df, name="step": (out := write(df, name), rows.setdefault(name, out.count()))[0])
+    g = adapter.build(spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert rows["linked"] == lines.filter("l_returnflag = 'R' and l_linestatus = 'F'").count() < rows["lines"] / 3
+    assert g.coins.count() == rows["lines"] == lines.count()
+    assert g.coins.filter("dest is not null").count() == g.tx_inputs.count() > 0
