@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerscope.operators.joined import NEVER, joined_at, settled, spanning_ways, star_edges
+from ledgerscope.plans.observer import numbered
 
 SCHEMA = "event long, coins array<long>, requires array<long>, ask boolean"
 
@@ -77,3 +80,16 @@ def test_a_long_chain_and_no_links(spark):
     assert {r["group"]: r["at"] for r in got} == {0: 2999, 1: 1202, 2: 5}
     held, ways = settled(spark.createDataFrame([], SCHEMA))
     assert held.count() == 0 and ways.count() == 0
+
+
+def test_links_are_made_once_to_be_numbered(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def coins(i):
+        made.add(1)
+        return [i, i + 1]
+
+    rows = spark.range(50).select((F.col("id") % 7).alias("seq"), F.lit(0).alias("stage"), F.lit(0).cast("long").alias("pos"), F.udf(coins, "array<long>")("id").alias("coins"))
+    got = [tuple(r) for r in numbered(rows).orderBy("event").select("seq", "coins").collect()]
+    assert got == sorted(got) and len(got) == 50
+    assert made.value == 50
