@@ -126,8 +126,8 @@ def quality_rules(docs: DataFrame, known: list[dict] | None = None) -> DataFrame
         df = df.withColumn("_letters", _letters(F.col("_text")))
         df = df.withColumn("_n_letters", F.size("_letters")).withColumn("_common", F.filter("_letters", lambda w: w.isin(WORDS)))
         counts = [F.size("_common") - F.size(F.array_remove("_common", w)) for w in WORDS]
-        df = df.withColumn("_word_shares", F.transform(F.array(*counts, F.col("_n_letters") - F.size("_common")), lambda n: n / F.col("_n_letters")))
-        df = df.withColumn("_class_shares", F.transform(F.array(*_classes(F.col("_odd"), F.length("_text") - F.col("word_chars"), F.length("_text"))), lambda n: n / F.length("_text")))
+        df = df.withColumn("_word_shares", F.transform(F.array(*counts, F.col("_n_letters") - F.size("_common")), lambda n: n / F.greatest("_n_letters", F.lit(1))))
+        df = df.withColumn("_class_shares", F.transform(F.array(*_classes(F.col("_odd"), F.length("_text") - F.col("word_chars"), F.length("_text"))), lambda n: n / F.greatest(F.length("_text"), F.lit(1))))
         nearest = lambda column, of: F.array_min(F.array(*(F.expr(_distance(column, r[of])) for r in known)))
         df = df.withColumn("character_distance", F.when(F.length("_text") >= MIN_CHARACTERS, nearest("_class_shares", "classes")))
         df = df.withColumn("word_distance", F.when(F.col("_n_letters") >= MIN_HISTOGRAM_WORDS, nearest("_word_shares", "words")))

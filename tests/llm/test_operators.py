@@ -148,6 +148,19 @@ def test_quality_base_and_distances(spark, sf_dir, docs):
         assert r["base_failed"] == (base[0] < 20 or 100 * base[4] > 30 * base[0]) and (not r["kept"] or not r["base_failed"])
 
 
+def test_quality_of_texts_without_letters_and_without_characters(spark):
+    """Shares of nothing are no error beside documents with references."""
+    plain = "the of and to in is that "
+    texts = [plain * 30, "", None, " \n", "4803721073686398 555-4293", "4803721073686398 " * 120, "der die das und in zu den " * 30]
+    frame = spark.createDataFrame([(i, t, "de" if i == 6 else "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    judged = {r["doc_id"]: r for r in quality_rules.quality_rules(frame).collect()}
+    assert [judged[i]["n_words"] for i in range(len(texts))] == [210, 0, 0, 0, 2, 120, 210]
+    assert judged[0]["word_distance"] == pytest.approx(0, abs=1e-6) and all(judged[i]["word_distance"] is None for i in range(1, 6))
+    assert judged[0]["character_distance"] is not None and all(judged[i]["character_distance"] is None for i in range(1, 5))
+    assert all(judged[i]["base_failed"] and not judged[i]["kept"] for i in range(1, 6))
+    assert quality_rules.without_rejected(frame).collect() == []  # its words repeat
+
+
 def test_quality_distance_by_hand(spark):
     text = "the cat " * 150
     frame = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
