@@ -38,3 +38,18 @@ def test_query_agrees_with_sql(spark, duck, sf_dir, name):
 
 def test_every_query_has_a_name_of_its_own():
     assert len(catalog.QUERIES) > 100 and set(catalog.SQL) <= set(catalog.QUERIES)
+
+
+@pytest.mark.parametrize("name", ["g7_agent_knowledge", "g7_spread_knowledge", "g8_counterparty_tally"])
+def test_knowledge_by_shuffles_alone(spark, duck, sf_dir, name):
+    """As on large tables: no broadcasts, no partitions put together."""
+    large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in large}
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        got, expected = both(spark, duck, sf_dir, name)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == expected
