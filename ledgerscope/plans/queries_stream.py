@@ -73,7 +73,7 @@ def j2_enriched_habits(g: Ledger) -> DataFrame:
     return J.enrich_habits(g, wallets).txs.select("tid", "locktime")
 
 
-def arriving(rows: DataFrame, key: str, schema: str, job: Callable[[DataFrame], DataFrame], out_schema: str, backwards: bool = False) -> DataFrame:
+def arriving(rows: DataFrame, key: str, schema: str, judge: Callable[[DataFrame, DataFrame], DataFrame], out_schema: str, backwards: bool = False) -> DataFrame:
     """What a streaming job makes of rows that arrive in three pieces by ``key``, stopped and started again after each."""
     spark = rows.sparkSession
     path, out, checkpoint = (fresh_path(spark, name) for name in ("arriving", "stream-out", "stream-checkpoint"))
@@ -82,7 +82,7 @@ def arriving(rows: DataFrame, key: str, schema: str, job: Callable[[DataFrame],
     pieces = [at < low, (at >= low) & (at < high), at >= high]
     for piece in reversed(pieces) if backwards else pieces:
         rows.filter(piece).write.mode("append").parquet(path)
-        J.drained(job(spark.readStream.schema(schema).parquet(path)), out=out, checkpoint=checkpoint)
+        J.drained(spark.readStream.schema(schema).parquet(path), job=J.growing(out, out_schema, judge), out=out, checkpoint=checkpoint)
     return spark.read.schema(out_schema).parquet(out)
 
 
@@ -91,7 +91,7 @@ _INDEX = """select coin_id, null::bigint as tid, 'create' as kind from coins whe
 
 def _index(g: Ledger, backwards: bool) -> DataFrame:
     log = materialize(J.log_of(g), "log")
-    found = arriving(log, "log_seq", LOG_SCHEMA, J.stream_ledger, "coin_id long, log_seq long, tid long, kind string, version int", backwards)
+    found = arriving(log, "log_seq", LOG_SCHEMA, J.stream_ledger, J.INDEX_SCHEMA, backwards)
     return J.latest(found).select("coin_id", "tid", "kind")
 
 
@@ -113,14 +113,15 @@ def j3_violations(g: Ledger) -> DataFrame:
     tid = F.col("tx.tid")
     again = F.col("tx").withField("tid", -tid).withField("inputs", F.concat("tx.inputs", F.array(-tid))).withField("outputs", F.slice("tx.outputs", 1, 0))
     bad = log.filter("kind = 'tx' and tx.tid % 50 = 0").withColumns({"log_seq": F.col("log_seq") + 50, "tx": again})
-    found = arriving(materialize(log.unionByName(bad), "log"), "log_seq", LOG_SCHEMA, J.stream_ledger, "coin_id long, log_seq long, tid long, kind string, version int")
+    found = arriving(materialize(log.unionByName(bad), "log"), "log_seq", LOG_SCHEMA, J.stream_ledger, J.INDEX_SCHEMA)
     return J.latest(found).select("coin_id", "tid", "kind")
 
 
 @R.ledger("select addr_key, coin_id from (select addr_key, coin_id, row_number() over (partition by addr_key order by coin_seq) as i from coins) where i = 2")
 def j4_streamed_reuse(g: Ledger) -> DataFrame:
     coins = g.coins.select("coin_id", "coin_seq", "addr_key")
-    return arriving(coins, "coin_seq", "coin_id long, coin_seq long, addr_key string", J.stream_reuse, "addr_key string, coin_id long")
+    found = arriving(coins, "coin_seq", "coin_id long, coin_seq long, addr_key string", J.stream_reuse, J.REUSE_SCHEMA)
+    return found.filter("place = 2").select("addr_key", "coin_id")
 
 
 def j5_streamed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
